@@ -19,7 +19,7 @@ def tokens(text: str | Column, max_bytes: int = MAX_TOKEN_BYTES) -> Column:
 def column_tokens(df: DataFrame, column: str) -> Column:
     """Tokens of a string column, or of all the strings of an array column."""
     if isinstance(df.schema[column].dataType, T.ArrayType):
-        return F.flatten(F.transform(F.filter(column, lambda s: s.isNotNull()), tokens))
+        return F.flatten(F.transform(F.filter(column, lambda s: s.isNotNull()), lambda s: tokens(s)))
     return tokens(F.col(column))
 
 

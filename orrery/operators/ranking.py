@@ -32,6 +32,10 @@ def check_k(k: int) -> None:
         raise InvalidQuery(f"k lies between 1 and {MAX_RESULTS}")
 
 
+def _occurrences(term: str) -> Column:
+    return F.size(F.filter("_t", lambda t: t == term))
+
+
 def bm25(df: DataFrame, id_col: str, column: str, query: str, params: Bm25 = Bm25(), keep: Filter | None = None) -> DataFrame:
     """``(id_col, score)`` of every document with a term of ``query``; statistics are those of the whole of ``df``, and ``keep`` filters after.
 
@@ -46,7 +50,7 @@ def bm25(df: DataFrame, id_col: str, column: str, query: str, params: Bm25 = Bm2
         return df.select(id_col, F.lit(0.0).alias("score")).where(F.lit(False))
     kept = compile_filter(keep, df.schema) if keep is not None else F.lit(True)
     counted = df.select(id_col, F.coalesce(kept, F.lit(False)).alias("_kept"), text.column_tokens(df, column).alias("_t")).where(F.size("_t") > 0)
-    tf = [F.size(F.filter("_t", lambda t, w=w: t == w)).alias(f"_tf{i}") for i, (w, _) in enumerate(terms)]
+    tf = [_occurrences(w).alias(f"_tf{i}") for i, (w, _) in enumerate(terms)]
     rows = counted.select(id_col, "_kept", F.size("_t").alias("_len"), *tf)
     stats = rows.agg(F.count(F.lit(1)).cast("double").alias("_n"), F.sum("_len").cast("double").alias("_total"), *(F.sum((F.col(f"_tf{i}") > 0).cast("double")).alias(f"_df{i}") for i in range(len(terms))))
     hit = rows.where("_kept").where(" OR ".join(f"_tf{i} > 0" for i in range(len(terms))))

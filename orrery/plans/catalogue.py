@@ -1,4 +1,507 @@
-"""The registered queries of the engine's own operators."""
+"""The registered queries of the engine's own operators, each with the SQL that says the same.
 
-QUERIES: dict = {}
-SQL: dict = {}
+Scores are rounded to 6 places and sums of money to 2; ranked results carry ``rank``; ties go to the lesser id.
+"""
+
+from __future__ import annotations
+
+import shutil
+import tempfile
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from orrery.functions import text, vectors
+from orrery.operators import ivf, mutations, ranking
+from orrery.operators.filters import And, Eq, Filter, Not, Or, Range, between, compile_filter, eq, gte, present
+from orrery.plans.query import Query, aggregate, execute, ordered
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def define(name: str, sql: str | None, f: Callable[[SparkSession, str], DataFrame]) -> None:
+    f.__name__ = name
+    query(sql)(f)
+
+
+def filtered(df: DataFrame, f: Filter) -> DataFrame:
+    return df.where(compile_filter(f, df.schema))
+
+
+def marked(s: SparkSession, d: str) -> DataFrame:
+    """Documents with the labels that some of them have."""
+    return table(s, d, "documents").select("doc_id", "lang", "source", "n_chars").join(table(s, d, "labels"), "doc_id", "left")
+
+
+def line_arrays(s: SparkSession, d: str) -> DataFrame:
+    rows = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_returnflag", "l_quantity")))
+    g = table(s, d, "lineitem").groupBy("l_orderkey").agg(rows.alias("r"))
+    return g.select("l_orderkey", F.transform("r", lambda x: x["l_returnflag"]).alias("flags"), F.transform("r", lambda x: x["l_quantity"]).alias("quantities"))
+
+
+# ---------------------------------------------------------------- scans and filters
+
+define("scan_all", "SELECT doc_id, lang, n_chars FROM documents", lambda s, d: table(s, d, "documents").select("doc_id", "lang", "n_chars"))
+define("point_lookup", "SELECT doc_id, lang, n_chars FROM documents WHERE doc_id = 42", lambda s, d: filtered(table(s, d, "documents"), eq("doc_id", 42)).select("doc_id", "lang", "n_chars"))
+
+
+@query("SELECT doc_id, lang FROM documents WHERE doc_id IN (3, 5, 8, 13, 21, 34, 55, 89, 144)")
+def multi_get(s, d):
+    ids = s.createDataFrame([(i,) for i in (3, 5, 8, 13, 21, 34, 55, 89, 144)], "doc_id bigint")
+    return table(s, d, "documents").join(F.broadcast(ids), "doc_id", "left_semi").select("doc_id", "lang")
+
+
+_ARRAYS = "SELECT l_orderkey, list(l_returnflag ORDER BY l_linenumber, l_returnflag, l_quantity) AS flags, list(l_quantity ORDER BY l_linenumber, l_returnflag, l_quantity) AS quantities FROM lineitem GROUP BY l_orderkey"
+_MARKED = "documents LEFT JOIN labels USING (doc_id)"
+for _name, _table, _filter, _cols, _from, _where in [
+    ("filter_eq_string", "documents", eq("lang", "en"), ["doc_id"], "documents", "lang = 'en'"),
+    ("filter_eq_int", "part", eq("p_size", 10), ["p_partkey"], "part", "p_size = 10"),
+    ("filter_eq_cross_type", "part", eq("p_size", 10.0), ["p_partkey"], "part", "p_size = 10"),
+    ("filter_incomparable", "part", ~eq("p_size", "10"), ["p_partkey"], "part", "true"),
+    ("filter_range", "orders", between("o_totalprice", 1000.0, 50000.0), ["o_orderkey"], "orders", "o_totalprice >= 1000 AND o_totalprice < 50000"),
+    ("filter_range_open", marked, present("quality"), ["doc_id"], _MARKED, "quality IS NOT NULL"),
+    ("filter_and", marked, And((eq("lang", "en"), gte("n_chars", 1000), eq("quality", 1))), ["doc_id"], _MARKED, "lang = 'en' AND n_chars >= 1000 AND quality = 1"),
+    ("filter_or", marked, Or((eq("lang", "de"), eq("toxic", 1))), ["doc_id"], _MARKED, "lang = 'de' OR toxic = 1"),
+    ("filter_not_missing", marked, Not(eq("quality", 1)), ["doc_id"], _MARKED, "quality IS NULL OR quality <> 1"),
+    ("filter_nested", marked, Not(Or((And((eq("lang", "en"), eq("quality", 1))), Range("n_chars", None, (500, False))))), ["doc_id"], _MARKED, "NOT ((lang = 'en' AND coalesce(quality = 1, false)) OR n_chars < 500)"),
+    ("filter_empty_or", "documents", Or(()), ["doc_id"], "documents", "false"),
+    ("filter_array_contains", line_arrays, eq("flags", "R"), ["l_orderkey"], f"({_ARRAYS})", "list_contains(flags, 'R')"),
+    ("filter_array_equals", line_arrays, Eq("flags", ["N", "N"]), ["l_orderkey"], f"({_ARRAYS})", "flags = ['N', 'N']"),
+    ("filter_array_range", line_arrays, between("quantities", 4.0, 6.0), ["l_orderkey"], f"({_ARRAYS})", "len(list_filter(quantities, lambda x: x >= 4 AND x < 6)) > 0"),
+]:
+    define(_name, f"SELECT {', '.join(_cols)} FROM {_from} WHERE {_where}", lambda s, d, t=_table, f=_filter, c=_cols: filtered(t(s, d) if callable(t) else table(s, d, t), f).select(*c))
+
+
+def postings(df: DataFrame, id_col: str, columns: list[str]) -> DataFrame:
+    """``(column, value, id)``: an inverted table of the attributes, in one pass."""
+    cells = F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns))
+    return df.select(F.col(id_col).alias("id"), F.explode(cells).alias("c")).select("c.*", "id").where("value IS NOT NULL")
+
+
+_POST = "SELECT 'lang' AS \"column\", lang AS value, doc_id FROM documents UNION ALL SELECT 'source', source, doc_id FROM documents"
+define("postings_build", f'SELECT "column", value, count(*) AS n_ids, min(doc_id) AS first_id FROM ({_POST}) WHERE value IS NOT NULL GROUP BY 1, 2', lambda s, d: postings(table(s, d, "documents"), "doc_id", ["lang", "source"]).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n_ids"), F.min("id").alias("first_id")))
+define("postings_eq", "SELECT doc_id AS id FROM documents WHERE source = 'src7'", lambda s, d: postings(table(s, d, "documents"), "doc_id", ["lang", "source"]).where("column = 'source' AND value = 'src7'").select("id"))
+
+# ---------------------------------------------------------------- aggregates and order
+
+define("agg_count", "SELECT count(*) AS count FROM lineitem WHERE l_quantity < 10", lambda s, d: aggregate(filtered(table(s, d, "lineitem"), Range("l_quantity", None, (10.0, False))), ("Count",)))
+define("agg_sum", "SELECT count(l_quantity) AS sum_l_quantity_values, sum(l_quantity) AS sum_l_quantity FROM lineitem", lambda s, d: aggregate(table(s, d, "lineitem"), (("Sum", "l_quantity"),)))
+define("agg_sum_missing", f"SELECT count(quality) AS sum_quality_values, coalesce(sum(quality::DOUBLE), 0.0) AS sum_quality FROM {_MARKED}", lambda s, d: aggregate(marked(s, d), (("Sum", "quality"),)))
+define("agg_sum_empty", "SELECT 0::BIGINT AS count, 0::BIGINT AS sum_n_chars_values, 0.0::DOUBLE AS sum_n_chars", lambda s, d: aggregate(filtered(table(s, d, "documents"), eq("lang", "xx")), ("Count", ("Sum", "n_chars"))))
+define("agg_multi", "SELECT count(*) AS count, count(n_chars) AS sum_n_chars_values, sum(n_chars::DOUBLE) AS sum_n_chars, count(doc_id) AS sum_doc_id_values, sum(doc_id::DOUBLE) AS sum_doc_id FROM documents WHERE lang = 'en'", lambda s, d: aggregate(filtered(table(s, d, "documents"), eq("lang", "en")), ("Count", ("Sum", "n_chars"), ("Sum", "doc_id"))))
+
+
+def ranked(df: DataFrame, id_col: str, by: tuple, n: int, *cols: str) -> DataFrame:
+    column, down = by
+    x = F.col(column or id_col)
+    order = [x.desc_nulls_last() if down else x.asc_nulls_last(), F.col(id_col).asc()]
+    # n is a limit of at most 10,000 rows
+    return ordered(df, id_col, by).limit(n).withColumn("rank", F.row_number().over(Window.orderBy(*order))).select(id_col, *cols, "rank")
+
+
+define("order_by_id_desc", "SELECT doc_id, row_number() OVER (ORDER BY doc_id DESC)::INT AS rank FROM documents QUALIFY rank <= 100", lambda s, d: ranked(table(s, d, "documents"), "doc_id", (None, True), 100))
+define("order_by_attr_asc", f"SELECT doc_id, quality, row_number() OVER (ORDER BY quality ASC NULLS LAST, doc_id)::INT AS rank FROM {_MARKED} QUALIFY rank <= 10000", lambda s, d: ranked(marked(s, d), "doc_id", ("quality", False), 10_000, "quality"))
+define("order_by_attr_desc", f"SELECT doc_id, quality, row_number() OVER (ORDER BY quality DESC NULLS LAST, doc_id)::INT AS rank FROM {_MARKED} QUALIFY rank <= 10000", lambda s, d: ranked(marked(s, d), "doc_id", ("quality", True), 10_000, "quality"))
+define("limit_default", "SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 10000", lambda s, d: execute(table(s, d, "orders"), "o_orderkey", Query()).rows.select("o_orderkey"))
+
+
+@query("SELECT doc_id, n_chars, row_number() OVER (ORDER BY n_chars DESC NULLS LAST, doc_id)::INT AS rank FROM documents WHERE lang = 'en' QUALIFY rank <= 10")
+def json_request(s, d):
+    q = Query.parse({"filter": {"Eq": {"column": "lang", "value": "en"}}, "order_by": {"target": {"Attribute": "n_chars"}, "direction": "Desc"}, "limit": 10})
+    rows = execute(table(s, d, "documents"), "doc_id", q).rows
+    return rows.select("doc_id", "n_chars", F.row_number().over(Window.orderBy(F.col("n_chars").desc_nulls_last(), "doc_id")).alias("rank"))
+
+
+# ---------------------------------------------------------------- text
+
+_TOK = r"list_filter(list_transform(regexp_extract_all({0}, '[\p{{L}}\p{{N}}]+'), lambda t: lower(t)), lambda t: strlen(t) <= 39)"
+_TF = f"SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({_TOK.format('text')}) AS term FROM documents) GROUP BY doc_id, term"
+_CONV = "SELECT conv_id, list(text ORDER BY turn, text) AS texts FROM conversations WHERE text IS NOT NULL GROUP BY conv_id"
+
+
+def threads(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "conversations").where("text IS NOT NULL").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]).alias("texts"))
+
+
+define("tokenize", f"SELECT doc_id, len({_TOK.format('text')})::INT AS n_tokens, md5(list_aggregate({_TOK.format('text')}, 'string_agg', ' ')) AS digest FROM documents", lambda s, d: table(s, d, "documents").select("doc_id", F.size(text.tokens(F.col("text"))).alias("n_tokens"), F.md5(F.array_join(text.tokens(F.col("text")), " ")).alias("digest")))
+define("tokenize_array", f"SELECT conv_id, len(flatten(list_transform(texts, lambda x: {_TOK.format('x')})))::INT AS n_tokens FROM ({_CONV})", lambda s, d: (lambda t: t.select("conv_id", F.size(text.column_tokens(t, "texts")).alias("n_tokens")))(threads(s, d)))
+define("text_tf", _TF, lambda s, d: text.term_frequencies(table(s, d, "documents"), "doc_id", "text"))
+define("text_term_df", f"SELECT term, count(*) AS df, sum(tf)::BIGINT AS n FROM ({_TF}) GROUP BY term", lambda s, d: text.term_frequencies(table(s, d, "documents"), "doc_id", "text").groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("n")))
+define("text_field_stats", f"SELECT count(*) AS doc_count, sum(n)::BIGINT AS total_len FROM (SELECT len({_TOK.format('text')}) AS n FROM documents) WHERE n > 0", lambda s, d: text.field_stats(table(s, d, "documents"), "text"))
+define("text_postings", f"SELECT term, count(*) AS df, max(tf) AS max_tf, min(doc_id) AS first_id FROM ({_TF}) GROUP BY term", lambda s, d: text.term_frequencies(table(s, d, "documents"), "doc_id", "text").groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.max("tf").alias("max_tf"), F.min("doc_id").alias("first_id")))
+
+
+def bm25_sql(terms: dict[str, int], k1: float = 1.2, b: float = 0.75, k3: float = 8.0, source: str = "SELECT doc_id AS id, {0} AS toks, * FROM documents", where: str = "true") -> str:
+    """Ranked by the formula, over a relation of ids and token lists."""
+    source = source.replace("{0}", _TOK.format("text"))
+    q = ", ".join(f"('{t}', {n}.0)" for t, n in terms.items())
+    return f"""WITH docs AS (SELECT * FROM ({source}) WHERE len(toks) > 0),
+st AS (SELECT count(*)::DOUBLE AS n, sum(len(toks))::DOUBLE / count(*) AS avgdl FROM docs),
+q(term, qtf) AS (VALUES {q}),
+tf AS (SELECT id, term, qtf, len(list_filter(toks, lambda x: x = term))::DOUBLE AS tf, len(toks)::DOUBLE AS dl FROM docs, q),
+df AS (SELECT term, count(*)::DOUBLE AS df FROM tf WHERE tf > 0 GROUP BY term),
+sc AS (SELECT id, sum((qtf * ({k3} + 1) / (qtf + {k3})) * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * ({k1} + 1) / (tf + {k1} * (1 - {b} + {b} * dl / avgdl))) AS score FROM tf JOIN df USING (term), st WHERE tf > 0 GROUP BY id),
+hits AS (SELECT sc.id, score FROM sc JOIN docs USING (id) WHERE {where})"""
+
+
+def top_sql(k: int, name: str = "doc_id") -> str:
+    return f" SELECT id AS {name}, round(score, 6) AS score, row_number() OVER (ORDER BY score DESC, id)::INT AS rank FROM hits QUALIFY rank <= {k}"
+
+
+def top_text(df: DataFrame, id_col: str, column: str, q: str, k: int, params: ranking.Bm25 = ranking.Bm25(), keep: Filter | None = None) -> DataFrame:
+    return ranking.top(ranking.bm25(df, id_col, column, q, params, keep), id_col, k).withColumn("score", F.round("score", 6))
+
+
+for _name, _q, _terms, _k, _params, _keep, _where in [
+    ("bm25_single", "attion", {"attion": 1}, 20, {}, None, "true"),
+    ("bm25_multi", "attion thing ention", {"attion": 1, "thing": 1, "ention": 1}, 50, {}, None, "true"),
+    ("bm25_topk", "the license", {"the": 1, "license": 1}, 10, {}, None, "true"),
+    ("bm25_filtered", "attion thing", {"attion": 1, "thing": 1}, 20, {}, And((eq("lang", "en"), gte("n_chars", 500))), "lang = 'en' AND n_chars >= 500"),
+    ("bm25_params", "attion thing", {"attion": 1, "thing": 1}, 20, {"k1": 2.0, "b": 0.3, "k3": 2.0}, None, "true"),
+    ("bm25_repeated_term", "attion attion thing", {"attion": 2, "thing": 1}, 20, {}, None, "true"),
+]:
+    define(_name, bm25_sql(_terms, **_params, where=_where) + top_sql(_k), lambda s, d, q=_q, k=_k, p=_params, f=_keep: top_text(table(s, d, "documents"), "doc_id", "text", q, k, ranking.Bm25(**p), f))
+
+define("bm25_empty", "SELECT doc_id, 0.0::DOUBLE AS score, 1::INT AS rank FROM documents WHERE false", lambda s, d: top_text(table(s, d, "documents"), "doc_id", "text", "!!", 10))
+define("bm25_array", bm25_sql({"attion": 1, "thing": 1}, source=f"SELECT conv_id AS id, flatten(list_transform(texts, lambda x: {_TOK.format('x')})) AS toks FROM ({_CONV})") + top_sql(20, "conv_id"), lambda s, d: top_text(threads(s, d), "conv_id", "texts", "attion thing", 20))
+define("text_agg", bm25_sql({"attion": 1, "thing": 1}, where="lang = 'en'") + " SELECT count(*) AS count, count(n_chars) AS sum_n_chars_values, coalesce(sum(n_chars::DOUBLE), 0.0) AS sum_n_chars FROM hits JOIN docs USING (id)", lambda s, d: execute(table(s, d, "documents"), "doc_id", Query(filter=eq("lang", "en"), aggregates=("Count", ("Sum", "n_chars")), text={"column": "text", "query": "attion thing", "k": 10})).aggregates)
+
+
+@query(bm25_sql({"attion": 1, "thing": 1}, source="SELECT doc_id AS id, {0} AS toks FROM documents WHERE doc_id % 7 <> 3") + top_sql(20))
+def bm25_overlay(s, d):
+    """Half of the documents in the base, half in the log, and some of both deleted by it."""
+    docs = table(s, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    log = docs.where("id % 2 = 1").select(F.lit(1).cast("long").alias("seq"), F.col("id").cast("int").alias("op_idx"), "id", F.lit("upsert").alias("op"), "text", F.array(F.lit("text")).alias("set"))
+    gone = docs.where("id % 7 = 3").select(F.lit(2).cast("long").alias("seq"), F.col("id").cast("int").alias("op_idx"), "id", F.lit("delete").alias("op"), F.lit(None).cast("string").alias("text"), F.array().cast("array<string>").alias("set"))
+    now = mutations.overlay(docs.where("id % 2 = 0"), log.unionByName(gone), ["text"])
+    return top_text(now.withColumnRenamed("id", "doc_id"), "doc_id", "text", "attion thing", 20)
+
+
+# ---------------------------------------------------------------- vectors
+
+
+def query_vector(s: SparkSession, d: str, vec_id: int = 0) -> list[float]:
+    """One row of the table, the query's parameter."""
+    r = table(s, d, "embeddings").where(F.col("vec_id") == vec_id).first()
+    return [float(x) for x in r.embedding] if r else [1.0] * 64
+
+
+_E = "SELECT e.vec_id AS id, e.embedding::DOUBLE[] AS v, (SELECT any_value(embedding)::DOUBLE[] FROM embeddings WHERE vec_id = 0) AS q, * FROM embeddings e"
+_SCORES = {"l2": "-(list_distance(v, q) ** 2)", "dot": "list_inner_product(v, q)", "cosine": "list_cosine_similarity(v, q)"}
+
+
+def knn_sql(metric: str, k: int, source: str = _E, where: str = "true") -> str:
+    return f"WITH hits AS (SELECT id, {_SCORES[metric]} AS score FROM ({source}) WHERE {where})" + top_sql(k, "vec_id")
+
+
+def top_vectors(df: DataFrame, q: list[float], metric: str, k: int, keep: Filter | None = None) -> DataFrame:
+    return ranking.top(ranking.knn(df, "vec_id", "embedding", q, metric, keep), "vec_id", k).withColumn("score", F.round("score", 6))
+
+
+for _name, _metric, _k, _keep, _where in [("knn_l2", "l2", 10, None, "true"), ("knn_dot", "dot", 10, None, "true"), ("knn_cosine", "cosine", 10, None, "true"), ("knn_filtered", "cosine", 10, eq("label", 1), "label = 1"), ("knn_metric_override", "dot", 5, None, "true")]:
+    define(_name, knn_sql(_metric, _k, where=_where), lambda s, d, m=_metric, k=_k, f=_keep: top_vectors(table(s, d, "embeddings"), query_vector(s, d), m, k, f))
+
+
+def docs_vectors(s: SparkSession, d: str) -> DataFrame:
+    docs = table(s, d, "documents").select(F.col("doc_id").alias("vec_id"), "lang", "n_chars", "text")
+    return docs.join(table(s, d, "embeddings"), "vec_id", "left")
+
+
+define("knn_missing_vector", knn_sql("cosine", 10, source="SELECT e.vec_id AS id, e.embedding::DOUBLE[] AS v, (SELECT any_value(embedding)::DOUBLE[] FROM embeddings WHERE vec_id = 0) AS q, d.* FROM documents d LEFT JOIN embeddings e ON d.doc_id = e.vec_id", where="v IS NOT NULL"), lambda s, d: top_vectors(docs_vectors(s, d), query_vector(s, d), "cosine", 10))
+define("knn_count_before_presence", "SELECT count(*) AS count FROM documents WHERE lang = 'en'", lambda s, d: execute(docs_vectors(s, d), "vec_id", Query(filter=eq("lang", "en"), aggregates=("Count",), exact_vector={"column": "embedding", "vector": query_vector(s, d), "k": 5})).aggregates)
+define("knn_ignores_order_by", knn_sql("cosine", 10), lambda s, d: execute(table(s, d, "embeddings"), "vec_id", Query(order_by=("label", True), exact_vector={"column": "embedding", "vector": query_vector(s, d), "k": 10})).rows.select("vec_id", F.round("score", 6).alias("score"), "rank"))
+define("vec_normalize", "SELECT vec_id, round(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[]) / list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[]), 6) AS squared FROM embeddings", lambda s, d: table(s, d, "embeddings").select("vec_id", vectors.normalize(F.col("embedding")).alias("n")).select("vec_id", F.round(vectors.dot(F.col("n"), F.col("n")), 6).alias("squared")))
+
+_HYBRID = (
+    bm25_sql({"attion": 1, "thing": 1}, where="lang = 'en' AND id IN (SELECT vec_id FROM embeddings)")
+    + f""", t AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS rank FROM hits QUALIFY rank <= 10),
+v AS (SELECT x.id, row_number() OVER (ORDER BY {_SCORES['cosine']} DESC, x.id) AS rank FROM ({_E}) x JOIN documents dd ON dd.doc_id = x.id WHERE lang = 'en' QUALIFY rank <= 10)
+"""
+)
+
+
+def _hybrid(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    docs = docs_vectors(s, d)
+    keep = And((eq("lang", "en"), present("embedding")))
+    t = ranking.top(ranking.bm25(docs, "vec_id", "text", "attion thing", keep=keep), "vec_id", 10)
+    v = ranking.top(ranking.knn(docs, "vec_id", "embedding", query_vector(s, d), "cosine", eq("lang", "en")), "vec_id", 10)
+    return t, v
+
+
+@query(_HYBRID + "SELECT id AS doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 6) AS score FROM (SELECT * FROM t UNION ALL SELECT * FROM v) GROUP BY id")
+def hybrid_rrf(s, d):
+    return ranking.rrf(list(_hybrid(s, d)), "vec_id").select(F.col("vec_id").alias("doc_id"), F.round("score", 6).alias("score"))
+
+
+@query(_HYBRID + "SELECT 0 AS query_idx, id AS doc_id, rank::INT AS rank FROM t UNION ALL SELECT 1, id, rank::INT FROM v")
+def multi_query(s, d):
+    parts = [r.select(F.lit(i).alias("query_idx"), F.col("vec_id").alias("doc_id"), "rank") for i, r in enumerate(_hybrid(s, d))]
+    return parts[0].union(parts[1])
+
+
+# ---------------------------------------------------------------- approximate vectors
+
+
+def index(s: SparkSession, d: str, metric: str = "cosine", rounds: int = 2) -> ivf.Index:
+    return ivf.Index.build(table(s, d, "embeddings"), "vec_id", "embedding", metric, rounds)
+
+
+def ann(s: SparkSession, d: str, metric: str, k: int = 10, probes: int | None = 16, keep: Filter | None = None) -> DataFrame:
+    i = index(s, d, metric)
+    scored = i.search(i.table, query_vector(s, d), metric, probes, keep)
+    return ranking.top(scored, "vec_id", k).withColumn("score", F.round("score", 6))
+
+
+define("ann_cosine", knn_sql("cosine", 10), lambda s, d: ann(s, d, "cosine"))
+define("ann_dot", knn_sql("dot", 10), lambda s, d: ann(s, d, "dot"))
+define("ann_filtered", knn_sql("cosine", 10, where="label = 1"), lambda s, d: ann(s, d, "cosine", keep=eq("label", 1)))
+define("ann_limit_below_k", knn_sql("cosine", 3), lambda s, d: execute(table(s, d, "embeddings"), "vec_id", Query(limit=3, approx_vector={"column": "embedding", "vector": query_vector(s, d), "k": 10, "probes": 16}), index(s, d)).rows.select("vec_id", F.round("score", 6).alias("score"), "rank"))
+define("ann_agg_exact", "SELECT count(*) AS count FROM embeddings WHERE label = 1", lambda s, d: execute(table(s, d, "embeddings"), "vec_id", Query(filter=eq("label", 1), aggregates=("Count",), approx_vector={"column": "embedding", "vector": query_vector(s, d), "k": 10})).aggregates)
+define("ann_no_index", knn_sql("cosine", 10), lambda s, d: execute(table(s, d, "embeddings"), "vec_id", Query(approx_vector={"column": "embedding", "vector": query_vector(s, d), "k": 10})).rows.select("vec_id", F.round("score", 6).alias("score"), "rank"))
+define("ann_probe", None, lambda s, d: ann(s, d, "cosine", probes=None))
+
+
+@query(knn_sql("cosine", 10, where="id % 5 <> 1"))
+def ann_overlay(s, d):
+    """An index over the even ids, the odd ones appended, every fifth deleted."""
+    e = table(s, d, "embeddings")
+    i = ivf.Index.build(e.where("vec_id % 2 = 0"), "vec_id", "embedding", "cosine", 1).append(e.where("vec_id % 2 = 1"))
+    live = i.table.join(e.where("vec_id % 5 = 1").select("vec_id"), "vec_id", "left_anti")
+    return ranking.top(ivf.Index("vec_id", "embedding", "cosine", i.centroids, live).search(live, query_vector(s, d), "cosine", 16), "vec_id", 10).withColumn("score", F.round("score", 6))
+
+
+@query("SELECT vec_id, 2 AS version FROM embeddings WHERE vec_id % 3 = 0 UNION ALL SELECT vec_id, 1 FROM embeddings WHERE vec_id % 3 <> 0")
+def ann_versions(s, d):
+    """Of every row's copies in the index the one that the version map names is alive."""
+    e = table(s, d, "embeddings").select("vec_id")
+    copies = e.withColumn("version", F.lit(1)).union(e.where("vec_id % 3 = 0").withColumn("version", F.lit(2)))
+    live = copies.groupBy("vec_id").agg(F.max("version").alias("version"))
+    return copies.join(live, ["vec_id", "version"])
+
+
+@query()
+def ann_l2_rabitq(s, d):
+    i = index(s, d, "l2")
+    return ranking.top(i.search_l2(query_vector(s, d), 10, 16), "vec_id", 10).withColumn("score", F.round("score", 6))
+
+
+define("rabitq_encode", None, lambda s, d: (lambda i: ivf.encode(i.table, "vec_id", "embedding", i.centroids))(index(s, d, "l2")))
+define("rabitq_estimate", None, lambda s, d: (lambda i: ivf.estimate(ivf.encode(i.table, "vec_id", "embedding", i.centroids), "vec_id", query_vector(s, d), i.centroids))(index(s, d, "l2")))
+define("ann_recall", None, lambda s, d: ivf.recall(index(s, d), s))
+define("recall_sample", None, lambda s, d: ivf.sample(table(s, d, "embeddings"), "vec_id", 25).select("vec_id"))
+define("ivf_build", "SELECT count(*) AS n, count(*) AS assigned FROM embeddings", lambda s, d: index(s, d).table.agg(F.count(F.lit(1)).alias("n"), F.count("cluster_id").alias("assigned")))
+define("ivf_centroids", None, lambda s, d: (lambda i: ivf.means(i.table, "embedding"))(index(s, d)))
+define("ivf_cluster_stats", None, lambda s, d: index(s, d).stats())
+define("ivf_append", "SELECT count(*) AS n FROM embeddings", lambda s, d: ivf.Index.build(table(s, d, "embeddings").where("vec_id % 2 = 0"), "vec_id", "embedding", "cosine", 1).append(table(s, d, "embeddings").where("vec_id % 2 = 1")).table.agg(F.count(F.lit(1)).alias("n")))
+define("ivf_plan", None, lambda s, d: index(s, d).plan())
+define("ivf_reassign", None, lambda s, d: index(s, d, rounds=1).reassign())
+define("ivf_rebuild", "SELECT count(*) AS n FROM embeddings", lambda s, d: index(s, d, rounds=1).rebuild([0, 1], 2).table.agg(F.count(F.lit(1)).alias("n")))
+
+# ---------------------------------------------------------------- mutations
+
+_ATTRS = ["last_click", "last_view", "last_purchase"]
+
+
+def event_log(s: SparkSession, d: str) -> DataFrame:
+    """Events as operations on users: a sign-up resets, an error deletes, others patch what they name."""
+    e = table(s, d, "events")
+    op = F.when(F.col("event_type") == "signup", "upsert").when(F.col("event_type") == "error", "delete").otherwise("patch")
+    kind = lambda t: F.col("event_type") == t
+    cells = [F.when(kind(a[5:]), F.col("value")).alias(a) for a in _ATTRS]
+    return e.select(F.col("event_id").alias("seq"), F.lit(0).alias("op_idx"), F.col("user_id").alias("id"), op.alias("op"), *cells, F.when(op == "upsert", F.array(*map(F.lit, _ATTRS))).otherwise(F.array(F.concat(F.lit("last_"), "event_type"))).alias("set"))
+
+
+def fold_sql(where: str = "true") -> str:
+    cells = ", ".join(f"arg_max(CASE WHEN event_type = '{a[5:]}' THEN [value] WHEN event_type = 'signup' THEN [NULL] END, CASE WHEN event_type IN ('{a[5:]}', 'signup') THEN event_id END)[1] AS {a}" for a in _ATTRS)
+    return f"""WITH l AS (SELECT *, max(CASE WHEN event_type IN ('signup', 'error') THEN event_id END) OVER (PARTITION BY user_id) AS reset FROM events WHERE {where}),
+f AS (SELECT user_id AS id, arg_max(event_type, event_id) AS last, {cells} FROM l WHERE reset IS NULL OR event_id >= reset GROUP BY user_id)
+SELECT id, {', '.join(_ATTRS)} FROM f WHERE last <> 'error'"""
+
+
+define("fold_patch", fold_sql(), lambda s, d: mutations.fold(event_log(s, d), _ATTRS))
+define("fold_upsert", fold_sql("event_type <> 'error'"), lambda s, d: mutations.fold(event_log(s, d).where("op <> 'delete'"), _ATTRS))
+define("fold_delete", "SELECT user_id AS id FROM events GROUP BY user_id HAVING arg_max(event_type, event_id) = 'error'", lambda s, d: event_log(s, d).groupBy("id").agg(F.max_by("op", "seq").alias("op")).where("op = 'delete'").select("id"))
+
+
+def split_fold(s: SparkSession, d: str) -> DataFrame:
+    """The first half of the log folded to a base, the rest laid over it."""
+    log = event_log(s, d)
+    half = log.agg((F.max("seq") / 2).cast("long").alias("h"))
+    cut = log.crossJoin(F.broadcast(half))  # one row
+    base = mutations.fold(cut.where("seq <= h").drop("h"), _ATTRS)
+    return mutations.overlay(base, cut.where("seq > h").drop("h"), _ATTRS)
+
+
+define("overlay_scan", fold_sql(), split_fold)
+define("flush_equiv", fold_sql(), lambda s, d: mutations.fold(event_log(s, d).repartition(16), _ATTRS))
+_NEWEST = "SELECT user_id, arg_max(event_type, event_id) AS event_type, max(event_id) AS event_id FROM events GROUP BY user_id"
+
+
+def runs(s: SparkSession, d: str, n: int) -> list[DataFrame]:
+    e = table(s, d, "events").select("user_id", "event_type", "event_id")
+    return [mutations.newest(e.where(F.pmod("event_id", F.lit(n)) == i), "user_id", "event_id") for i in range(n)]
+
+
+def merge(parts: list[DataFrame]) -> DataFrame:
+    whole = parts[0]
+    for p in parts[1:]:
+        whole = whole.unionByName(p)
+    return mutations.newest(whole, "user_id", "event_id")
+
+
+define("lsm_merge", _NEWEST, lambda s, d: merge(runs(s, d, 3)))
+define("tier_equiv", _NEWEST, lambda s, d: merge([merge(runs(s, d, 4)[:2]), merge(runs(s, d, 4)[2:])]))
+define("compact_equiv", f"SELECT * FROM ({_NEWEST}) WHERE event_type <> 'error'", lambda s, d: merge(runs(s, d, 4)).where("event_type <> 'error'"))
+
+_BIG = "o_totalprice >= 100000"
+
+
+def order_ops(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    orders = table(s, d, "orders").select(F.col("o_orderkey").alias("id"), "o_orderstatus", "o_totalprice")
+    ops = orders.where("id % 3 = 0").select("id", F.when(F.col("id") % 2 == 0, "patch").otherwise("delete").alias("op"))
+    return orders, ops.union(s.range(3).select((-F.col("id") - 1).alias("id"), F.element_at(F.array(*map(F.lit, ("upsert", "patch", "delete"))), (F.col("id") + 1).cast("int")).alias("op")))
+
+
+@query(f"SELECT o_orderkey AS id, CASE WHEN o_orderkey % 2 = 0 THEN 'patch' ELSE 'delete' END AS op, {_BIG} AS applied FROM orders WHERE o_orderkey % 3 = 0 UNION ALL VALUES (-1, 'upsert', true), (-2, 'patch', false), (-3, 'delete', false)")
+def cond_write(s, d):
+    return mutations.conditional(*order_ops(s, d), gte("o_totalprice", 100000.0))
+
+
+@query(f"SELECT 1 + count(*) FILTER ({_BIG}) AS affected, 1::BIGINT AS upserted, count(*) FILTER ({_BIG} AND o_orderkey % 2 = 0) AS patched, count(*) FILTER ({_BIG} AND o_orderkey % 2 <> 0) AS deleted, 2 + count(*) FILTER (NOT {_BIG}) AS skipped FROM orders WHERE o_orderkey % 3 = 0")
+def write_outcome(s, d):
+    return mutations.outcome(mutations.conditional(*order_ops(s, d), gte("o_totalprice", 100000.0)))
+
+
+@query("SELECT o_orderkey AS id, CASE WHEN o_orderstatus = 'O' THEN 'X' ELSE o_orderstatus END AS o_orderstatus FROM orders")
+def patch_by_filter(s, d):
+    orders, _ = order_ops(s, d)
+    ids, _ = mutations.select_for_write(orders, eq("o_orderstatus", "O"), 10**9, False)
+    hit = ids.withColumnRenamed("id", "hit")
+    return orders.join(hit, orders["id"] == hit["hit"], "left").select("id", F.when(F.col("hit").isNotNull(), "X").otherwise(F.col("o_orderstatus")).alias("o_orderstatus"))
+
+
+@query("SELECT o_orderkey AS id FROM orders WHERE o_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F' ORDER BY o_orderkey LIMIT 100)")
+def delete_by_filter(s, d):
+    orders, _ = order_ops(s, d)
+    ids, _ = mutations.select_for_write(orders, eq("o_orderstatus", "F"), 100, True)
+    return orders.join(ids, "id", "left_anti").select("id")
+
+
+# ---------------------------------------------------------------- encodings and collections
+
+define("id_sort_key", "SELECT doc_id, '01' || lpad(printf('%X', doc_id), 16, '0') AS sort_key FROM documents", lambda s, d: table(s, d, "documents").select("doc_id", F.concat(F.lit("01"), F.lpad(F.hex("doc_id"), 16, "0")).alias("sort_key")))
+define("content_sha256", "SELECT doc_id, sha256(text) AS sha FROM documents", lambda s, d: table(s, d, "documents").select("doc_id", F.sha2("text", 256).alias("sha")))
+_U = "substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-' || substr(h, 13, 4) || '-' || substr(h, 17, 4) || '-' || substr(h, 21, 12)"
+define("id_uuid", f"SELECT doc_id, {_U} AS uuid, h AS bytes FROM (SELECT doc_id, md5(doc_id::VARCHAR) AS h FROM documents)", lambda s, d: table(s, d, "documents").select("doc_id", F.upper(F.expr(_U.replace("h,", "md5(cast(doc_id AS string)),"))).alias("given")).where(F.col("given").rlike("^[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}$")).select("doc_id", F.lower("given").alias("uuid"), F.lower(F.hex(F.unhex(F.replace("given", F.lit("-"), F.lit(""))))).alias("bytes")))
+
+
+@query()
+def f16_roundtrip(s, d):
+    import numpy as np
+    import pandas as pd
+
+    def run(parts):
+        for p in parts:
+            x = np.array(p["embedding"].tolist(), np.float32)
+            half = x.astype(np.float16).astype(np.float32) if len(p) else x
+            yield pd.DataFrame({"vec_id": p["vec_id"], "half": list(half), "finite": np.isfinite(half).all(1) if len(p) else []})
+
+    return table(s, d, "embeddings").select("vec_id", "embedding").mapInPandas(run, "vec_id long, half array<float>, finite boolean")
+
+
+@query("SELECT event_id, (props->>'$.k')::BIGINT AS k FROM events")
+def ingest_json(s, d):
+    return table(s, d, "events").select("event_id", F.get_json_object("props", "$.k").cast("bigint").alias("k"))
+
+
+def collection(s: SparkSession, d: str):
+    """A collection in a folder of the driver's, filled from the first documents' ids; control files live with one driver."""
+    from orrery.sources.collection import Collection
+
+    root = tempfile.mkdtemp(prefix="orrery-collection-")
+    c = Collection.create(s, root, "orders")
+    regions = table(s, d, "nation").orderBy("n_nationkey").collect()
+    c.append([{"id": r.n_nationkey, "op": "upsert", "attributes": {"name": r.n_name, "region": r.n_regionkey}} for r in regions])
+    return c, root
+
+
+def finished(df: DataFrame, root: str) -> DataFrame:
+    """The rows of a small table, held so that its folder can go."""
+    rows = df.sparkSession.createDataFrame(df.collect(), df.schema)
+    shutil.rmtree(root)
+    return rows
+
+
+_NATION = "SELECT n_nationkey::BIGINT AS id, n_name AS name, n_regionkey::BIGINT AS region FROM nation"
+
+
+def _with(f: Callable):
+    def run(s, d):
+        c, root = collection(s, d)
+        return finished(f(s, c, root), root)
+
+    return run
+
+
+def _export(s, c, root):
+    c.export_to(f"{root}/out")
+    return s.read.parquet(f"{root}/out/data")
+
+
+def _branch(s, c, root):
+    c.flush()
+    b = c.branch("child")
+    b.append([{"id": 0, "op": "delete"}, {"id": 1, "op": "patch", "attributes": {"name": "changed"}}])
+    return b.df().select(F.lit("child").alias("side"), "*").union(c.df().select(F.lit("parent"), "*"))
+
+
+def _compacted(s, c, root):
+    c.flush()
+    c.append([{"id": 2, "op": "delete"}])
+    c.compact()
+    return c.df()
+
+
+def _idempotent(s, c, root):
+    one = [{"id": 100, "op": "upsert", "attributes": {"name": "new", "region": 9}}]
+    a, b = c.append(one, key="k"), c.append(one, key="k")
+    return c.df().where("id >= 100").withColumn("same", F.lit(a == b))
+
+
+define("wal_append", _NATION, _with(lambda s, c, root: c.df()))
+define("export_roundtrip", _NATION, _with(_export))
+define("copy_equiv", _NATION, _with(lambda s, c, root: (c.flush(), c.copy_to(root, "copy").df())[1]))
+define("collection_compact", f"SELECT * FROM ({_NATION}) WHERE id <> 2", _with(_compacted))
+define("branch_diverge", f"SELECT 'parent' AS side, * FROM ({_NATION}) UNION ALL SELECT 'child', id, CASE WHEN id = 1 THEN 'changed' ELSE name END, region FROM ({_NATION}) WHERE id <> 0", _with(_branch))
+define("idempotent_append", "SELECT 100::BIGINT AS id, 'new' AS name, 9::BIGINT AS region, true AS same", _with(_idempotent))
+define("metadata", "SELECT 'orders' AS name, 0::BIGINT AS generation, 0::BIGINT AS indexed, 1::BIGINT AS committed, 1::BIGINT AS lag, 0::INT AS runs", _with(lambda s, c, root: c.metadata()))
+define("index_lag", "SELECT 0::BIGINT AS lag", _with(lambda s, c, root: (c.flush(), c.metadata().select("lag"))[1]))
+
+
+@query(fold_sql())
+def streamed_fold(s, d):
+    """The log read as a stream, in batches written to their own places, and folded."""
+    from orrery.streaming.ingest import stream_log
+
+    root = tempfile.mkdtemp(prefix="orrery-stream-")
+    log = event_log(s, d)
+    log.repartition(3).write.parquet(f"{root}/log")
+    done = stream_log(s, f"{root}/log", log.schema, lambda df, n: df.write.mode("overwrite").parquet(f"{root}/out/batch={n}"), f"{root}/checkpoint", 1)
+    done.awaitTermination()
+    return mutations.fold(s.read.parquet(f"{root}/out").drop("batch"), _ATTRS)
