@@ -20,9 +20,9 @@ MAX_CLUSTERS, ROUNDS, PROBES, EPSILON = 16, 8, 4, 1.9
 
 
 def _nearest(vec: Column, centroids: list[list[float]], metric: str) -> Column:
-    """Index of the best centroid, the lowest of equals.  At most 16 centroids, as literals."""
-    scores = [F.struct(vectors.score(metric, vec, vectors.literal(c)).alias("s"), F.lit(-i).alias("i")) for i, c in enumerate(centroids)]
-    return -F.array_max(F.array(*scores))["i"]
+    """Index of the best centroid, the lowest of equals.  The centroids, at most 16, are one folded literal."""
+    all_ = F.array(*(vectors.literal(c) for c in centroids))
+    return -F.array_max(F.transform(all_, lambda c, i: F.struct(vectors.score(metric, vec, c).alias("s"), (-i).alias("i"))))["i"]
 
 
 def assign(df: DataFrame, vec_col: str, centroids: list[list[float]], metric: str) -> DataFrame:

@@ -161,7 +161,7 @@ hits AS (SELECT sc.id, score FROM sc JOIN docs USING (id) WHERE {where})"""
 
 
 def top_sql(k: int, name: str = "doc_id") -> str:
-    return f" SELECT id AS {name}, round(score, 6) AS score, row_number() OVER (ORDER BY score DESC, id)::INT AS rank FROM hits QUALIFY rank <= {k}"
+    return f" SELECT id AS {name}, round(score, 6) + 0.0 AS score, row_number() OVER (ORDER BY score DESC, id)::INT AS rank FROM hits QUALIFY rank <= {k}"
 
 
 def top_text(df: DataFrame, id_col: str, column: str, q: str, k: int, params: ranking.Bm25 = ranking.Bm25(), keep: Filter | None = None) -> DataFrame:
@@ -258,8 +258,15 @@ def multi_query(s, d):
 # ---------------------------------------------------------------- approximate vectors
 
 
+_built: dict[tuple, ivf.Index] = {}
+
+
 def index(s: SparkSession, d: str, metric: str = "cosine", rounds: int = 2) -> ivf.Index:
-    return ivf.Index.build(table(s, d, "embeddings"), "vec_id", "embedding", metric, rounds)
+    """One build for a session and table; only its few centroids are held, and the rows are assigned in the plan."""
+    key = (s.sparkContext.applicationId, d, metric, rounds)
+    if key not in _built:
+        _built[key] = ivf.Index.build(table(s, d, "embeddings"), "vec_id", "embedding", metric, rounds)
+    return _built[key]
 
 
 def ann(s: SparkSession, d: str, metric: str, k: int = 10, probes: int | None = 16, keep: Filter | None = None) -> DataFrame:

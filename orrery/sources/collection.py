@@ -170,7 +170,10 @@ class Collection:
             raise Backpressure("too much isn't indexed yet")
         kinds = {**attrs, **dict.fromkeys(vecs, "array<float>")}
         seq = self.commit() + 1
-        rows = [(seq, i, op["id"], op["op"], (s := {**op.get("attributes", {}), **{k: [float(x) for x in v] for k, v in op.get("vectors", {}).items()}}) and list(s) if op["op"] != mutations.UPSERT else list(kinds), *(s.get(c) for c in kinds)) for i, op in enumerate(ops)]
+        rows = []
+        for i, op in enumerate(ops):
+            cells = {**op.get("attributes", {}), **{k: [float(x) for x in v] for k, v in op.get("vectors", {}).items()}}
+            rows.append((seq, i, op["id"], op["op"], list(kinds if op["op"] == mutations.UPSERT else cells), *(cells.get(c) for c in kinds)))
         text = ", ".join(f"`{c}` {k}" for c, k in kinds.items())
         staged = self.path / "wal" / f"{seq}-{uuid.uuid4().hex}.parquet"
         self.spark.createDataFrame(rows, f"seq bigint, op_idx int, id bigint, op string, `set` array<string>{', ' if text else ''}{text}").coalesce(1).write.parquet(str(staged))
