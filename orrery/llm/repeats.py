@@ -293,7 +293,14 @@ def remove_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """
     spans = merged(repeated_spans(docs), "dg", "doc_id").groupBy(F.col("dg").alias("_dg")).agg(F.collect_list(F.struct("start_word", "end_word")).alias("_spans"))
     keyed = docs.withColumn("_key", digest("text"))
-    joined = keyed.join(spans, keyed["_key"] == spans["_dg"], "left")
+    # exact copies go whole, as repeats() marks them; only digests that occur under several ids are joined
+    copied = keyed.where("_key IS NOT NULL").groupBy(F.col("_key").alias("_copy")).agg(F.min("doc_id").alias("_rep"), F.max("doc_id").alias("_most"), F.count_if(F.col("doc_id").isNull()).alias("_nulls"))
+    copied = copied.where("_rep < _most OR (_rep IS NOT NULL AND _nulls > 0)").select("_copy", "_rep")
+    tagged = keyed.join(copied, keyed["_key"] == copied["_copy"], "left")
+    later = F.col("_rep").isNotNull() & (F.col("doc_id").isNull() | (F.col("doc_id") > F.col("_rep")))
+    long_ = F.size(F.regexp_extract_all("text", F.lit(r"([^ \t\n\r\f\x0B]+)"), F.lit(1))) >= WINDOW
+    left = tagged.where(F.when(later, ~long_).otherwise(F.lit(True)))
+    joined = left.join(spans, left["_key"] == spans["_dg"], "left")
     names = [c for c in docs.columns if c != "text"]
     plain = joined.where("_spans IS NULL").select(*docs.columns)
     schema = T.StructType([*(docs.schema[c] for c in names), T.StructField("text", T.StringType())])
