@@ -124,3 +124,16 @@ def test_classifiers():
     junk = [prose(60).upper().replace(" ", "!! ") for _ in range(60)]
     net = quality.fit(good[:60] + junk[:40], [1] * 60 + [0] * 40, epochs=6)
     assert all(net.probability(t) >= 0.5 for t in good[150:]) and all(net.probability(t) < 0.5 for t in junk[40:])
+
+
+def test_toxicity_stems():
+    """A stem that comes with ever new endings, and once in some clean texts, is learned beside a frequent word of another language."""
+    end = iter(["".join(RNG.choice("abcdefgh") for _ in range(4)) for _ in range(900)])
+    stem = lambda n: " ".join("wrzich" + next(end) for _ in range(n))
+    bad = [f"{prose(60)} {stem(3)} {prose(20)}" for _ in range(60)]
+    english = [prose(30) + " wretch " + prose(30) for _ in range(120)]
+    good = [prose(60) for _ in range(400)] + [prose(60) + " " + stem(1) for _ in range(60)]
+    m = toxicity.fit(bad[:30] + english[:80], good[:380] + good[400:430] + bad[30:35], 0.02)
+    assert sum(m.probability(t) >= 0.5 for t in bad[35:]) >= 23 and sum(m.probability(t) >= 0.5 for t in english[80:]) >= 36
+    assert sum(m.probability(t) >= 0.5 for t in good[380:400] + good[430:]) <= 5
+    assert toxicity.fit(["a"], ["b"], 0.1).probability("") < 0.5
