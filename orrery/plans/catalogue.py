@@ -5,13 +5,17 @@ Scores are rounded to 6 places and sums of money to 2; ranked results carry ``ra
 
 from __future__ import annotations
 
+import atexit
+import os
 import shutil
 import tempfile
 from collections.abc import Callable
+from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from orrery.errors import InvalidWrite
 from orrery.functions import text, vectors
 from orrery.operators import ivf, mutations, ranking
 from orrery.operators.filters import And, Eq, Filter, Not, Or, Range, between, compile_filter, eq, gte, present
@@ -437,33 +441,43 @@ def ingest_json(s, d):
     return table(s, d, "events").select("event_id", F.get_json_object("props", "$.k").cast("bigint").alias("k"))
 
 
-def collection(s: SparkSession, d: str):
-    """A collection in a folder of the driver's, filled from the first documents' ids; control files live with one driver."""
+def folder(s: SparkSession, prefix: str) -> str:
+    """A folder of its own under the one that all executors share, until the driver ends; on the driver's disk only where the session names none."""
+    current = s.sparkContext._jsc.sc().getCheckpointDir()
+    given = s.conf.get("spark.checkpoint.dir", None) or (None if current.isEmpty() else current.get())
+    at = urlparse(given or tempfile.gettempdir())
+    if at.scheme not in ("", "file"):
+        raise InvalidWrite(f"control files need a file system that the driver can reach, not {given}")
+    os.makedirs(at.path, exist_ok=True)
+    root = tempfile.mkdtemp(prefix=prefix, dir=at.path)
+    os.chmod(root, 0o755)  # executors may be another user's
+    atexit.register(shutil.rmtree, root, True)
+    return root
+
+
+_FILL = {
+    "nation": lambda s, d: table(s, d, "nation").select(F.col("n_nationkey").cast("long").alias("id"), F.col("n_name").alias("name"), F.col("n_regionkey").cast("long").alias("region")),
+    "documents": lambda s, d: table(s, d, "documents").select(F.col("doc_id").alias("id"), "lang", "source", "text"),
+    "events": lambda s, d: table(s, d, "events").select(F.col("event_id").alias("id"), F.col("user_id").cast("long").alias("user_id"), "event_type", "value"),
+}
+
+
+def collection(s: SparkSession, d: str, source: str = "nation"):
+    """A collection in the shared folder, filled from every row of a table in one batch; control files live with one driver."""
     from orrery.sources.collection import Collection
 
-    root = tempfile.mkdtemp(prefix="orrery-collection-")
+    root = folder(s, "orrery-collection-")
     c = Collection.create(s, root, "orders")
-    regions = table(s, d, "nation").orderBy("n_nationkey").collect()
-    c.append([{"id": r.n_nationkey, "op": "upsert", "attributes": {"name": r.n_name, "region": r.n_regionkey}} for r in regions])
+    c.append_frame(_FILL[source](s, d).withColumn("op", F.lit("upsert")), bulk=True)
     return c, root
 
 
-def finished(df: DataFrame, root: str) -> DataFrame:
-    """The rows of a small table, held so that its folder can go."""
-    rows = df.sparkSession.createDataFrame(df.collect(), df.schema)
-    shutil.rmtree(root)
-    return rows
-
-
 _NATION = "SELECT n_nationkey::BIGINT AS id, n_name AS name, n_regionkey::BIGINT AS region FROM nation"
+_DOCUMENTS = "SELECT doc_id AS id, lang, source, text FROM documents"
 
 
-def _with(f: Callable):
-    def run(s, d):
-        c, root = collection(s, d)
-        return finished(f(s, c, root), root)
-
-    return run
+def _with(f: Callable, source: str = "nation"):
+    return lambda s, d: f(s, *collection(s, d, source))
 
 
 def _export(s, c, root):
@@ -471,10 +485,10 @@ def _export(s, c, root):
     return s.read.parquet(f"{root}/out/data")
 
 
-def _branch(s, c, root):
+def _branch(s, c, root, changed="name"):
     c.flush()
     b = c.branch("child")
-    b.append([{"id": 0, "op": "delete"}, {"id": 1, "op": "patch", "attributes": {"name": "changed"}}])
+    b.append([{"id": 0, "op": "delete"}, {"id": 1, "op": "patch", "attributes": {changed: "changed"}}])
     return b.df().select(F.lit("child").alias("side"), "*").union(c.df().select(F.lit("parent"), "*"))
 
 
@@ -497,8 +511,13 @@ define("copy_equiv", _NATION, _with(lambda s, c, root: (c.flush(), c.copy_to(roo
 define("collection_compact", f"SELECT * FROM ({_NATION}) WHERE id <> 2", _with(_compacted))
 define("branch_diverge", f"SELECT 'parent' AS side, * FROM ({_NATION}) UNION ALL SELECT 'child', id, CASE WHEN id = 1 THEN 'changed' ELSE name END, region FROM ({_NATION}) WHERE id <> 0", _with(_branch))
 define("idempotent_append", "SELECT 100::BIGINT AS id, 'new' AS name, 9::BIGINT AS region, true AS same", _with(_idempotent))
-define("metadata", "SELECT 'orders' AS name, 0::BIGINT AS generation, 0::BIGINT AS indexed, 1::BIGINT AS committed, 1::BIGINT AS lag, 0::INT AS runs", _with(lambda s, c, root: c.metadata()))
-define("index_lag", "SELECT 0::BIGINT AS lag", _with(lambda s, c, root: (c.flush(), c.metadata().select("lag"))[1]))
+define("wal_append_events", "SELECT event_id AS id, user_id::BIGINT AS user_id, event_type, value FROM events", _with(lambda s, c, root: c.df(), "events"))
+define("export_documents", _DOCUMENTS, _with(_export, "documents"))
+define("copy_documents", _DOCUMENTS, _with(lambda s, c, root: (c.flush(), c.copy_to(root, "copy").df())[1], "documents"))
+define("compact_documents", f"SELECT * FROM ({_DOCUMENTS}) WHERE id <> 2", _with(_compacted, "documents"))
+define("branch_documents", f"SELECT 'parent' AS side, * FROM ({_DOCUMENTS}) UNION ALL SELECT 'child', id, CASE WHEN id = 1 THEN 'changed' ELSE lang END, source, text FROM ({_DOCUMENTS}) WHERE id <> 0", _with(lambda s, c, root: _branch(s, c, root, "lang"), "documents"))
+define("metadata", "SELECT 'orders' AS name, 0::BIGINT AS generation, 0::BIGINT AS indexed, 1::BIGINT AS committed, 1::BIGINT AS lag, 0::INT AS runs", _with(lambda s, c, root: c.metadata(), "documents"))
+define("index_lag", "SELECT 0::BIGINT AS lag", _with(lambda s, c, root: (c.flush(), c.metadata().select("lag"))[1], "documents"))
 
 
 @query(fold_sql())
@@ -506,7 +525,7 @@ def streamed_fold(s, d):
     """The log read as a stream, in batches written to their own places, and folded."""
     from orrery.streaming.ingest import stream_log
 
-    root = tempfile.mkdtemp(prefix="orrery-stream-")
+    root = folder(s, "orrery-stream-")
     log = event_log(s, d)
     log.repartition(3).write.parquet(f"{root}/log")
     done = stream_log(s, f"{root}/log", log.schema, lambda df, n: df.write.mode("overwrite").parquet(f"{root}/out/batch={n}"), f"{root}/checkpoint", 1)

@@ -185,6 +185,73 @@ class Collection:
             held.write_text(json.dumps({"fingerprint": print_, "outcome": outcome}))
         return outcome
 
+    def append_frame(self, rows: DataFrame, key: str | None = None, bulk: bool = False) -> dict:
+        """One atomic batch from a table that no driver holds: ``id``, ``op``, and a column for each attribute; arrays of float are vectors.
+
+        An upsert sets every column and a patch those that aren't null, or those in a column ``set`` where there is one.  Where an
+        id occurs more than once a column ``op_idx`` gives the order.
+        """
+        whole = {"tinyint": "bigint", "smallint": "bigint", "int": "bigint", "float": "double"}
+        kinds = {c: whole.get(k, k) for c, k in rows.dtypes if c not in ("id", "op", "op_idx", "set")}
+        attrs, vecs = self.schema()
+        for c, k in kinds.items():
+            if k != "array<float>":
+                if k.removeprefix("array<").removesuffix(">") not in ("bigint", "double", "string", "boolean"):
+                    raise InvalidSchema(f"{c}: {k} is not a value")
+                if attrs.setdefault(c, k) != k:
+                    raise InvalidSchema(f"{c} is {attrs[c]}, not {k}")
+        if self.unindexed_bytes() > MAX_UNINDEXED and not bulk:
+            raise Backpressure("too much isn't indexed yet")
+        seq = self.commit() + 1
+        every = list({**attrs, **dict.fromkeys(vecs), **kinds})
+        named = F.col("set") if "set" in rows.columns else F.array_compact(F.array(*(F.when(F.col(f"`{c}`").isNotNull(), F.lit(c)) for c in kinds))) if kinds else F.array().cast("array<string>")
+        set_ = F.when(F.col("op") == mutations.UPSERT, F.array(*map(F.lit, every)).cast("array<string>")).when(F.col("op") == mutations.PATCH, named).otherwise(F.array().cast("array<string>"))
+        order = F.col("op_idx").cast("int") if "op_idx" in rows.columns else F.lit(0)
+        staged = self.path / "wal" / f"{seq}-{uuid.uuid4().hex}.parquet"
+        rows.select(F.lit(seq).cast("long").alias("seq"), order.alias("op_idx"), F.col("id").cast("long").alias("id"), "op", set_.alias("set"), *(F.col(f"`{c}`").cast(k).alias(c) for c, k in kinds.items())).write.parquet(str(staged))
+        try:
+            return self._admit(staged, seq, attrs, vecs, kinds, key)
+        except (InvalidWrite, InvalidSchema, IdempotencyConflict):  # none is raised once the batch is visible
+            shutil.rmtree(staged)
+            raise
+
+    def _admit(self, staged: Path, seq: int, attrs: dict, vecs: dict, kinds: dict, key: str | None) -> dict:
+        """Check what has been staged, then make it visible; an outcome of the same key takes its place."""
+        there = self.spark.read.parquet(str(staged))
+        unsound = ~F.col("op").isin(mutations.UPSERT, mutations.PATCH, mutations.DELETE) | F.col("op").isNull() | F.col("id").isNull() | F.col("op_idx").isNull()
+        bad = lambda x: F.isnan(x) | (F.abs(x) == float("inf"))
+        infinite = F.lit(False)
+        for c, k in kinds.items():
+            value = F.col(f"`{c}`")
+            infinite = infinite | F.coalesce(bad(value) if k == "double" else F.exists(value, lambda x: x.isNull() | bad(x)) if k in ("array<double>", "array<float>") else F.lit(False), F.lit(False))
+        vectors = [c for c, k in kinds.items() if k == "array<float>"]
+        sizes = [f(F.size(f"`{c}`")) for c in vectors for f in (lambda x: F.min(F.when(x >= 0, x)), lambda x: F.max(F.when(x >= 0, x)))]
+        mark = F.sum(F.xxhash64("op_idx", "id", "op", F.concat_ws("\0", "set"), *(f"`{c}`" for c in kinds)).cast("decimal(38,0)"))
+        n, wrong, odd, print_, *sizes = there.agg(F.count(F.lit(1)), F.count_if(unsound), F.count_if(infinite), mark, *sizes).first()
+        fingerprint = hashlib.sha256(json.dumps([n, str(print_), sorted(kinds.items())]).encode()).hexdigest()
+        held = self.path / "idempotency" / f"{hashlib.sha256((key or '').encode()).hexdigest()}.json"
+        if key is not None and held.exists():
+            record = json.loads(held.read_text())
+            if record["fingerprint"] != fingerprint:
+                raise IdempotencyConflict(key)
+            shutil.rmtree(staged)
+            return record["outcome"]
+        if wrong or not there.groupBy("id", "op_idx").count().where("count > 1").isEmpty():
+            raise InvalidWrite("an unknown operation, no id, or an id that occurs twice without an order")
+        for c, least, most in zip(vectors, sizes[::2], sizes[1::2]):
+            if most is not None and (least != most or not 1 <= most <= MAX_DIMENSIONS or vecs.setdefault(c, most) != most):
+                raise InvalidSchema(f"{c}: a vector of the column's dimensions is needed")
+        names = [*attrs, *vecs]
+        if odd or len(names) > MAX_COLUMNS or len(vecs) > MAX_VECTORS or len(set(names)) < len(names) or any(x.startswith("$") or not 0 < len(x.encode()) <= MAX_NAME for x in names):
+            raise InvalidSchema("a float that isn't finite, too many columns, or a bad name")
+        record = {"seq": seq, "file": staged.name, "schema": attrs, "vectors": vecs, "bytes": sum(p.stat().st_size for p in staged.glob("*.parquet"))}
+        with open(self.path / "wal" / f"{seq}.json", "x") as f:  # the batch is visible from here on
+            f.write(json.dumps(record))
+        outcome = {"seq": seq, "affected": n}
+        if key is not None:
+            held.write_text(json.dumps({"fingerprint": fingerprint, "outcome": outcome}))
+        return outcome
+
     def append_if(self, ops: list[dict], condition: Filter) -> dict:
         """Each operation applies if the row there meets the condition."""
         ids = [op["id"] for op in ops]

@@ -101,3 +101,31 @@ def test_collection(spark, tmp_path):
     c.compact()
     assert rows() == expected and c.gc(apply=True) and rows() == expected
     assert parse_value("3") == 3 and parse_value("true") is True and parse_value("x") == "x"
+
+
+def test_append_frame(spark, tmp_path):
+    c = Collection.create(spark, str(tmp_path), "docs")
+    df = spark.range(500).select("id", F.lit("upsert").alias("op"), (F.col("id") % 7).alias("n"), F.when(F.col("id") > 3, "x").alias("s"), F.array(F.lit(1.0).cast("float")).alias("v")).repartition(5)
+    assert c.append_frame(df, key="a") == c.append_frame(df.repartition(2), key="a") == {"seq": 1, "affected": 500}
+    with pytest.raises(IdempotencyConflict):
+        c.append_frame(df.where("id > 0"), key="a")
+    for bad in (df.union(df), df.withColumn("op", F.lit("other")), df.withColumn("n", F.lit("text")), df.withColumn("v", F.array(F.lit(1.0), F.lit(2.0)).cast("array<float>")), df.withColumn("f", F.lit(float("nan")))):
+        with pytest.raises((InvalidSchema, InvalidWrite)):
+            c.append_frame(bad)
+    c.flush()
+    c.append_frame(spark.createDataFrame([(1, "patch", 0, 70), (1, "patch", 1, 71), (2, "delete", 0, None)], "id bigint, op string, op_idx int, n bigint"))
+    got = {r.id: (r.n, r.s, list(r.v)) for r in c.df().collect()}
+    assert got == {i: (71 if i == 1 else i % 7, "x" if i > 3 else None, [1.0]) for i in range(500) if i != 2}
+    assert len(list((tmp_path / "docs" / "wal").glob("*.parquet"))) == 2
+
+
+def test_collection_queries_read_whole_tables_from_the_shared_folder(spark, tmp_path):
+    from orrery.plans import catalogue
+
+    given = spark.conf.get("spark.checkpoint.dir", None)
+    if given is None:
+        spark.sparkContext.setCheckpointDir(given := str(tmp_path / "shared"))
+    for name, source in (("wal_append_events", "events"), ("export_documents", "documents"), ("wal_append", "nation")):
+        df = catalogue.QUERIES[name](spark, "/root/testdata/sf0.001")
+        assert df.inputFiles() and all(given.removeprefix("file://") in f for f in df.inputFiles())
+        assert df.count() == spark.read.parquet(f"/root/testdata/sf0.001/{source}.parquet").count()
