@@ -265,11 +265,11 @@ def multi_query(s, d):
 _built: dict[tuple, ivf.Index] = {}
 
 
-def index(s: SparkSession, d: str, metric: str = "cosine", rounds: int = 2) -> ivf.Index:
+def index(s: SparkSession, d: str, metric: str = "cosine") -> ivf.Index:
     """One build for a session and table; only its few centroids are held, and the rows are assigned in the plan."""
-    key = (s.sparkContext.applicationId, d, metric, rounds)
+    key = (s.sparkContext.applicationId, d, metric)
     if key not in _built:
-        _built[key] = ivf.Index.build(table(s, d, "embeddings"), "vec_id", "embedding", metric, rounds)
+        _built[key] = ivf.Index.build(table(s, d, "embeddings"), "vec_id", "embedding", metric)
     return _built[key]
 
 
@@ -292,7 +292,7 @@ define("ann_probe", None, lambda s, d: ann(s, d, "cosine", probes=None))
 def ann_overlay(s, d):
     """An index over the even ids, the odd ones appended, every fifth deleted."""
     e = table(s, d, "embeddings")
-    i = ivf.Index.build(e.where("vec_id % 2 = 0"), "vec_id", "embedding", "cosine", 1).append(e.where("vec_id % 2 = 1"))
+    i = ivf.Index.build(e.where("vec_id % 2 = 0"), "vec_id", "embedding", "cosine").append(e.where("vec_id % 2 = 1"))
     live = i.table.join(e.where("vec_id % 5 = 1").select("vec_id"), "vec_id", "left_anti")
     return ranking.top(ivf.Index("vec_id", "embedding", "cosine", i.centroids, live).search(live, query_vector(s, d), "cosine", 16), "vec_id", 10).withColumn("score", F.round("score", 6))
 
@@ -319,10 +319,10 @@ define("recall_sample", None, lambda s, d: ivf.sample(table(s, d, "embeddings"),
 define("ivf_build", "SELECT count(*) AS n, count(*) AS assigned FROM embeddings", lambda s, d: index(s, d).table.agg(F.count(F.lit(1)).alias("n"), F.count("cluster_id").alias("assigned")))
 define("ivf_centroids", None, lambda s, d: (lambda i: ivf.means(i.table, "embedding"))(index(s, d)))
 define("ivf_cluster_stats", None, lambda s, d: index(s, d).stats())
-define("ivf_append", "SELECT count(*) AS n FROM embeddings", lambda s, d: ivf.Index.build(table(s, d, "embeddings").where("vec_id % 2 = 0"), "vec_id", "embedding", "cosine", 1).append(table(s, d, "embeddings").where("vec_id % 2 = 1")).table.agg(F.count(F.lit(1)).alias("n")))
+define("ivf_append", "SELECT count(*) AS n FROM embeddings", lambda s, d: ivf.Index.build(table(s, d, "embeddings").where("vec_id % 2 = 0"), "vec_id", "embedding", "cosine").append(table(s, d, "embeddings").where("vec_id % 2 = 1")).table.agg(F.count(F.lit(1)).alias("n")))
 define("ivf_plan", None, lambda s, d: index(s, d).plan())
-define("ivf_reassign", None, lambda s, d: index(s, d, rounds=1).reassign())
-define("ivf_rebuild", "SELECT count(*) AS n FROM embeddings", lambda s, d: index(s, d, rounds=1).rebuild([0, 1], 2).table.agg(F.count(F.lit(1)).alias("n")))
+define("ivf_reassign", None, lambda s, d: index(s, d).rebuild([0, 1], 2).reassign())
+define("ivf_rebuild", "SELECT count(*) AS n FROM embeddings", lambda s, d: index(s, d).rebuild([0, 1], 2).table.agg(F.count(F.lit(1)).alias("n")))
 
 # ---------------------------------------------------------------- mutations
 

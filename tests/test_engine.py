@@ -129,3 +129,14 @@ def test_collection_queries_read_whole_tables_from_the_shared_folder(spark, tmp_
         df = catalogue.QUERIES[name](spark, "/root/testdata/sf0.001")
         assert df.inputFiles() and all(given.removeprefix("file://") in f for f in df.inputFiles())
         assert df.count() == spark.read.parquet(f"/root/testdata/sf0.001/{source}.parquet").count()
+
+
+def test_registered_indexes_take_the_default_rounds(spark, monkeypatch):
+    from orrery.plans import catalogue
+
+    rounds = []
+    monkeypatch.setattr(ivf, "kmeans", lambda *a, rounds_=rounds, **kw: (rounds_.append(kw.get("rounds", ivf.ROUNDS)), [[x] * 64 for x in (-1.0, 0.5, 1.0)])[1])
+    monkeypatch.setattr(catalogue, "_built", {})
+    for name in ("ivf_centroids", "ivf_append", "ivf_reassign", "rabitq_encode"):
+        catalogue.QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert rounds == [ivf.ROUNDS] * 4 == [8] * 4
