@@ -14,6 +14,7 @@ are of fixed size; the work grows with the square of the rows, as the search of
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -65,6 +66,11 @@ def _queries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([ids.tobytes()], pa.binary()), pa.array([vectors.tobytes()], pa.binary())], names=["ids", "vectors"])
 
 
+def rounding(dim: int) -> np.float32:
+    """Bound of the single-precision error of a squared distance over ``dim`` dimensions, as a share of both squared lengths."""
+    return np.float32((2 * dim + 16) * 2.0**-24)
+
+
 def _scan(dim: int, k: int, low: np.ndarray, step: np.ndarray):
     def flush(ids: np.ndarray, bound: np.ndarray, kept: list) -> Iterator[pa.RecordBatch]:
         if not kept:
@@ -93,9 +99,9 @@ def _scan(dim: int, k: int, low: np.ndarray, step: np.ndarray):
                 rest = np.frombuffer(row["rest"], np.float32)
                 scale = squares[:, None] + (middle * middle).sum(1)[None]
                 d = scale - 2 * (x @ middle.T)
-                slack = scale * np.float32(4e-6)  # of single precision
-                lower = np.sqrt(np.maximum(d - slack, 0)) - rest
-                upper = np.sqrt(np.maximum(d + slack, 0)) + rest
+                slack = scale * rounding(dim)
+                lower = np.nextafter(np.sqrt(np.maximum(d - slack, 0)) - rest, np.float32(-np.inf))
+                upper = np.nextafter(np.sqrt(np.maximum(d + slack, 0)) + rest, np.float32(np.inf))
                 upper[ids[:, None] == other[None]] = np.inf
                 best = np.partition(np.concatenate([best, upper], 1), k - 1, 1)[:, :k]
                 best.sort(1)
@@ -132,20 +138,21 @@ def _exact(k: int):
 def all_top_k(vectors: DataFrame, k: int = K, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """``(vec_id, rank, neighbor_id, distance)``: for every vector its ``k`` nearest others by Euclidean distance.
 
-    Ties go to the lesser id.  Rows whose id or vector is null, or whose vector is empty, holds a null, NaN or infinity, or is of
-    another length than the table's longest, take no part.  Of rows with one id the least vector counts.  A table of fewer than
-    ``k + 1`` vectors gives as many neighbours as there are.
+    Ties go to the lesser id.  Rows whose id or vector is null, or whose vector is empty or holds a null, NaN or infinity, take no
+    part.  Of rows with one id the least vector counts.  Vectors of each length are searched among themselves, one length after
+    another; fewer than ``k + 1`` of a length give as many neighbours as there are.
     """
     spark = vectors.sparkSession
     kind = T.StructType([T.StructField("vec_id", T.LongType()), T.StructField("rank", T.IntegerType()), T.StructField("neighbor_id", T.LongType()), T.StructField("distance", T.DoubleType())])
     plain = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<float>").alias("vec")).where("id IS NOT NULL AND vec IS NOT NULL")
     sound = plain.where(F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))))
     base = cut(sound.groupBy("id").agg(F.min("vec").alias("vec")))
-    size = base.agg(F.max(F.size("vec")), F.count(F.lit(1))).first()
-    dim, n = size[0] or 0, size[1]
-    if not dim:
-        return spark.createDataFrame([], kind)
-    base = base.where(F.size("vec") == dim)
+    sizes = base.groupBy(F.size("vec").alias("dim")).count().where("dim > 0 AND count > 1").orderBy("dim").collect()  # a row for each length
+    found = [_of_length(base.where(F.size("vec") == r["dim"]), r["dim"], r["count"], k, kind) for r in sizes]
+    return reduce(DataFrame.union, found) if found else spark.createDataFrame([], kind)
+
+
+def _of_length(base: DataFrame, dim: int, n: int, k: int, kind: T.StructType) -> DataFrame:
     extent = base.mapInArrow(_extent(dim), "d int, low double, high double").groupBy("d").agg(F.min("low").alias("low"), F.max("high").alias("high")).orderBy("d").collect()
     low, high = np.array([r.low for r in extent]), np.array([r.high for r in extent])
     step = np.maximum((high - low) / 256, 1e-12)

@@ -137,3 +137,11 @@ def test_toxicity_stems():
     assert sum(m.probability(t) >= 0.5 for t in bad[35:]) >= 23 and sum(m.probability(t) >= 0.5 for t in english[80:]) >= 36
     assert sum(m.probability(t) >= 0.5 for t in good[380:400] + good[430:]) <= 5
     assert toxicity.fit(["a"], ["b"], 0.1).probability("") < 0.5
+
+
+def test_topk_lengths(spark):
+    """A longer vector deletes no other row, and vectors of another length find each other."""
+    rows = [(i, [float(i), 0.0]) for i in range(6)] + [(50, [1.0, 2.0, 3.0])] + [(60 + i, [float(i)] * 4) for i in range(2)]
+    got = {(r.vec_id, r["rank"]): r.neighbor_id for r in topk.all_top_k(spark.createDataFrame(rows, "vec_id bigint, embedding array<float>"), 2).collect()}
+    assert got == {(0, 1): 1, (0, 2): 2, (1, 1): 0, (1, 2): 2, (2, 1): 1, (2, 2): 3, (3, 1): 2, (3, 2): 4, (4, 1): 3, (4, 2): 5, (5, 1): 4, (5, 2): 3, (60, 1): 61, (61, 1): 60}
+    assert topk.rounding(1024) > 16 * topk.rounding(32) / 2 > 0
