@@ -1,15 +1,16 @@
 """Byte-level BPE: encoding by a global shuffle of distinct words, decoding, and token counts.
 
-Encoding.  A partition's documents are taken in blocks.  A block's text is split into
-pre-tokens, whose positions stay with the block; its distinct words travel, grouped by hash
+Encoding.  Spark splits every text into pre-tokens, once.  A partition's documents are taken in blocks.  A block keeps the
+positions: for each document the numbers of its words, in order.  Its distinct words travel, grouped by hash
 bucket, to the task that owns the bucket.  There every distinct word of the corpus is encoded
 once, and its ids return to the blocks that asked.  A block then puts the ids of its words
 back in the order of their positions.  What is shuffled are the distinct words of blocks,
-their ids and the blocks themselves, each compressed, and not one row for every token.
+their ids and the blocks' positions, each compressed, and not one row for every token.
 
-A block is known by a digest of its rows.  It is formed twice, for its words and for its
-text, and must come out alike; an input whose rows come in another order each time must be
-written to a table first, and fails here otherwise.
+Words and positions leave a task in one shuffle, so a block is never formed twice.  Its name is a digest of both: should a lost executor's task come out
+otherwise when it is run again, words and positions that don't belong together are an error and not a wrong result.
+
+Decoding joins ids to the table of token bytes, which has a fixed size, and puts the bytes together.
 """
 
 from __future__ import annotations
@@ -20,16 +21,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
+import pyarrow.compute as pc
 import regex
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from orrery.llm.common import PATTERN, TOKENIZER, by_key, column, load_ranks, read_bytes
+from orrery.llm.common import PATTERN, TOKENIZER, by_key, load_ranks, quoted, read_bytes, spread
 
-BUCKETS, BLOCK_ROWS, BLOCK_CHARS = 48, 4000, 16_000_000
+BLOCK_ROWS, BLOCK_BYTES, MOST_BUCKETS = 4000, 16_000_000, 8192
 _SPLIT = regex.compile(PATTERN)
 _loaded: dict[bytes, dict] = {}
 _counts: dict[bytes, dict[str, int]] = {}
@@ -43,6 +44,35 @@ def ranks_of(raw: bytes) -> dict[bytes, int]:
     return _loaded[key]
 
 
+# ---------------------------------------------------------------- pre-tokens
+
+
+def split_columns(text: Column) -> list[Column]:
+    """``words``, the text's pre-tokens; ``odd``, the text where they are left to Python; ``size``, its bytes.
+
+    Spark's own expression splits, but for texts with code points that Java's tables, older than Python's, don't know.
+    """
+    odd = text.rlike(r"\p{Cn}")
+    return [F.when(~odd, F.regexp_extract_all(text, F.lit(f"(?U){PATTERN}"), F.lit(0))).alias("words"), F.when(odd, text).alias("odd"), F.octet_length(text).alias("size")]
+
+
+def _words(batch: pa.RecordBatch | pa.Table) -> pa.ListArray:
+    """Each row's pre-tokens; null for a null text."""
+    words, odd = (batch.column(batch.schema.get_field_index(c)) for c in ("words", "odd"))
+    if isinstance(words, pa.ChunkedArray):
+        words, odd = words.combine_chunks(), odd.combine_chunks()
+    if odd.null_count == len(odd):
+        return words
+    return pa.array([w if o is None else _SPLIT.findall(o) for w, o in zip(words.to_pylist(), odd.to_pylist())], pa.list_(pa.string()))
+
+
+def _flat(words: pa.ListArray) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """How many words each row has, the number of each word's distinct word, and those."""
+    sizes = pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    coded = words.flatten().dictionary_encode()
+    return sizes, coded.indices.to_numpy(zero_copy_only=False), coded.dictionary
+
+
 # ---------------------------------------------------------------- token counts
 
 
@@ -75,23 +105,21 @@ def _count(raw: bytes):
         ranks = ranks_of(raw)
         known = _counts.setdefault(hashlib.md5(raw).digest(), {})
         for batch in batches:
-            out = []
-            for text in column(batch, "text"):
-                if text is None:
-                    out.append(None)
-                    continue
-                total = 0
-                for w in _SPLIT.findall(text):
-                    n = known.get(w)
-                    if n is None:
-                        n = count_word(w.encode(), ranks)
-                        if len(w) < 64:
-                            if len(known) >= 1_000_000:
-                                known.clear()
-                            known[w] = n
-                    total += n
-                out.append(total)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.int64())], names=["doc_id", "n_tokens"])
+            words = _words(batch)
+            sizes, index, distinct = _flat(words)
+            each = np.zeros(len(distinct), np.int64)
+            for k, w in enumerate(distinct.to_pylist()):
+                if (n := known.get(w)) is None:
+                    n = count_word(w.encode(), ranks)
+                    if len(w) < 64:
+                        if len(known) >= 1_000_000:
+                            known.clear()
+                        known[w] = n
+                each[k] = n
+            ends = np.r_[0, np.cumsum(each[index])]
+            stops = np.cumsum(sizes)
+            n = pa.array(ends[stops] - ends[stops - sizes], mask=np.asarray(pc.is_null(words)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), n], names=["doc_id", "n_tokens"])
 
     return run
 
@@ -99,10 +127,12 @@ def _count(raw: bytes):
 def token_counts(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     """``(doc_id, n_tokens)`` for every row, repeated rows and null ids included.
 
-    A null text has a null count, an empty one 0.  No identifiers are made, and nothing is shuffled.
+    A null text has a null count, an empty one 0; an empty table gives no rows.  No identifiers are made, nothing is shuffled, and columns
+    other than ``doc_id`` and ``text`` are not read.
     """
     raw = read_bytes(tokenizer)
-    return docs.select("doc_id", "text").mapInArrow(_count(raw), T.StructType([docs.schema["doc_id"], T.StructField("n_tokens", T.LongType())]))
+    split = spread(docs.select("doc_id", "text")).select("doc_id", *split_columns(F.col("text")))
+    return split.mapInArrow(_count(raw), T.StructType([docs.schema["doc_id"], T.StructField("n_tokens", T.LongType())]))
 
 
 # ---------------------------------------------------------------- encoding
@@ -112,14 +142,14 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
     held, rows, size = [], 0, 0
     for batch in batches:
         at = 0
-        chars = np.cumsum(pa.compute.fill_null(pa.compute.binary_length(batch.column(batch.schema.get_field_index("text"))), 0).to_numpy())
+        ends = np.cumsum(pc.fill_null(batch.column(batch.schema.get_field_index("size")), 0).to_numpy(), dtype=np.int64)
         while at < batch.num_rows:
-            done = chars[at - 1] if at else 0
-            fit = int(np.searchsorted(chars, done + BLOCK_CHARS - size, "right")) - at
+            done = ends[at - 1] if at else 0
+            fit = int(np.searchsorted(ends, done + BLOCK_BYTES - size, "right")) - at
             take = min(batch.num_rows - at, BLOCK_ROWS - rows, max(fit, 0 if rows else 1))
             if take:
                 held.append(batch.slice(at, take))
-                rows, size, at = rows + take, size + int(chars[at + take - 1] - done), at + take
+                rows, size, at = rows + take, size + int(ends[at + take - 1] - done), at + take
             if rows >= BLOCK_ROWS or at < batch.num_rows:
                 yield pa.Table.from_batches(held)
                 held, rows, size = [], 0, 0
@@ -127,58 +157,65 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def _name(text: pa.ChunkedArray, start: bytes) -> bytes:
-    h = hashlib.md5(start)
-    for t in text.to_pylist():
-        h.update(b"\0" if t is None else b"\1%d " % len(t) + t.encode())
-    return h.digest()
-
+def _press(*parts: np.ndarray | bytes) -> tuple[int, bytes]:
+    """Size and compressed bytes of ``parts`` in a row, each after its length."""
+    raw = b"".join(len(b).to_bytes(8, "little") + b for b in (p if isinstance(p, bytes) else p.tobytes() for p in parts))
+    return len(raw), pa.compress(raw, "zstd", asbytes=True)
 
-def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bytes, pa.Table]]:
-    """Blocks with their names; the partition and the place in it make equal blocks differ."""
-    from pyspark import TaskContext
 
-    part = TaskContext.get().partitionId()
-    for k, table in enumerate(_blocks(batches)):
-        yield _name(table.column("text"), b"%d %d " % (part, k)), table
+def _unpress(size: int, blob: bytes) -> list[memoryview]:
+    raw, at, out = memoryview(pa.decompress(blob, size, "zstd", asbytes=True)), 0, []
+    while at < size:
+        n = int.from_bytes(raw[at : at + 8], "little")
+        out.append(raw[at + 8 : at + 8 + n])
+        at += 8 + n
+    return out
 
 
-def _pack(items: list[bytes]) -> bytes:
-    lengths = np.fromiter(map(len, items), np.uint32, len(items))
-    return pa.compress(np.uint32(len(items)).tobytes() + lengths.tobytes() + b"".join(items), "zstd", asbytes=True)
+_SHUFFLED = "slot int, block binary, bucket int, size long, data binary, rows binary"
+_NAMES = ["slot", "block", "bucket", "size", "data", "rows"]
 
 
-def _unpack(blob: bytes, size: int) -> list[bytes]:
-    raw = pa.decompress(blob, size, "zstd", asbytes=True)
-    n = int(np.frombuffer(raw, np.uint32, 1)[0])
-    ends = (4 + 4 * n + np.cumsum(np.frombuffer(raw, np.uint32, n, 4), dtype=np.int64)).tolist()
-    return [raw[a:b] for a, b in zip([4 + 4 * n, *ends], ends)]
+def _message(slots: list[int], blocks: list[bytes], buckets: list[int], sizes: list[int], data: list[bytes], rows: list[bytes | None]) -> pa.RecordBatch:
+    kinds = [pa.int32(), pa.binary(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip((slots, blocks, buckets, sizes, data, rows), kinds)], names=_NAMES)
 
 
-def _size(items: list[bytes]) -> int:
-    return 4 + 4 * len(items) + sum(map(len, items))
+def _ask(buckets: int, keep: list[str]):
+    """For each block its positions (bucket -1) and, by bucket, its distinct words."""
 
-
-def _block_words(table: pa.Table) -> list[str]:
-    words: set[str] = set()
-    for text in table.column("text").to_pylist():
-        if text:
-            words.update(_SPLIT.findall(text))
-    return sorted(words)
-
-
-def _ask(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for name, table in _named(batches):
-            split: list[list[bytes]] = [[] for _ in range(buckets)]
-            for w in _block_words(table):
-                b = w.encode()
-                split[xxhash.xxh3_64_intdigest(b) % buckets].append(b)
-            full = [k for k in range(buckets) if split[k]]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(full, pa.int32()), pa.array([name] * len(full), pa.binary()), pa.array([_size(split[k]) for k in full], pa.int64()), pa.array([_pack(split[k]) for k in full], pa.binary())],
-                names=["bucket", "block", "size", "words"],
-            )
+        for table in _blocks(batches):
+            words = _words(table)
+            sizes, index, distinct = _flat(words)
+            text = distinct.cast(pa.binary()).to_pylist()
+            bucket = np.fromiter((xxhash.xxh3_64_intdigest(w) % buckets for w in text), np.int64, len(text))
+            by_word = pc.sort_indices(distinct).to_numpy().astype(np.int64)
+            order = by_word[np.argsort(bucket[by_word], kind="stable")]  # by bucket, then by word
+            # positions hold ranks by frequency, which compress best
+            frequent = np.argsort(-np.bincount(index, minlength=len(text)), kind="stable")
+            rank, place = np.empty(len(text), np.int64), np.empty(len(text), np.int64)
+            rank[frequent], place[order] = np.arange(len(text)), np.arange(len(text))
+            width = np.uint16 if len(text) <= 1 << 16 else np.uint32
+            lengths = np.fromiter(map(len, text), np.int64, len(text))
+            ends, stops = np.r_[0, np.cumsum(lengths[index])], np.cumsum(sizes)
+            whole = ends[stops] - ends[stops - sizes] == pc.fill_null(table.column("size"), 0).to_numpy()
+            size, data = _press(place[frequent].astype(np.uint32), rank[index].astype(width))
+            split = np.searchsorted(bucket[order], np.arange(buckets + 1))
+            full = [k for k in range(buckets) if split[k] < split[k + 1]]
+            asked = []
+            for k in full:
+                own = order[split[k] : split[k + 1]]
+                asked.append(_press(lengths[own].astype(np.uint32), b"".join([text[i] for i in own.tolist()])))
+            body = pa.table([*(table.column(f"k{i}") for i in range(len(keep))), pa.array(sizes, mask=np.asarray(pc.is_null(words))), pa.array(whole)], names=[*(f"k{i}" for i in range(len(keep))), "n", "whole"])
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, body.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+                w.write_table(body.combine_chunks())
+            rows = sink.getvalue().to_pybytes()
+            name = hashlib.md5(b"".join([data, rows, *(d for _, d in asked)])).digest()
+            yield _message([int.from_bytes(name[:6], "little") % buckets], [name], [-1], [size], [data], [rows])
+            if full:
+                yield _message(full, [name] * len(full), full, [n for n, _ in asked], [d for _, d in asked], [None] * len(full))
 
     return run
 
@@ -223,89 +260,120 @@ def _encode_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 def _answer(raw: bytes):
+    """Words are answered by their ids, and whether those stand for the word again; positions pass."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks = ranks_of(raw)
-        for group in by_key(batches, "bucket"):
-            ids: dict[bytes, bytes] = {}  # every distinct word of the bucket, encoded once
-            for bucket, block, size, blob in zip(*(group.column(c) for c in ("bucket", "block", "size", "words"))):
-                got = []
-                for w in _unpack(blob.as_py(), size.as_py()):
-                    if (x := ids.get(w)) is None:
-                        x = ids[w] = np.array(encode_word(w, ranks), np.int32).astype(np.uint16 if len(ranks) < 65536 else np.int32).tobytes()
-                    got.append(x)
-                yield pa.RecordBatch.from_arrays([pa.array([block.as_py()], pa.binary()), pa.array([bucket.as_py()], pa.int32()), pa.array([_size(got)], pa.int64()), pa.array([_pack(got)], pa.binary())], names=["block", "bucket", "size", "ids"])
+        token = {i: t for t, i in ranks.items()}
+        known: dict[bytes, tuple[list[int], bool]] = {}  # every distinct word of the task's bucket, encoded once
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1)
+                slot, block, bucket, size, data = (row.column(k)[0].as_py() for k in range(5))
+                if bucket < 0:
+                    yield row
+                    continue
+                lengths, text = _unpress(size, data)
+                ends = np.cumsum(np.frombuffer(lengths, np.uint32), dtype=np.int64).tolist()
+                ids, n, sound = [], [], []
+                for a, b in zip([0, *ends], ends):
+                    w = bytes(text[a:b])
+                    if (x := known.get(w)) is None:
+                        own = encode_word(w, ranks)
+                        x = known[w] = (own, b"".join([token[t] for t in own]) == w)
+                    ids += x[0]
+                    n.append(len(x[0]))
+                    sound.append(x[1])
+                size, data = _press(np.array(n, np.uint32), np.array(ids, np.uint16 if len(ranks) <= 1 << 16 else np.uint32), np.array(sound, bool))
+                yield _message([slot], [block], [bucket], [size], [data], [None])
 
     return run
 
 
-def _carry(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for name, table in _named(batches):
-        sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
-            w.write_table(table.combine_chunks())
-        yield pa.RecordBatch.from_arrays([pa.array([name], pa.binary()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["block", "rows"])
-
-
-def _assemble(raw: bytes, buckets: int, names: list[str]):
+def _assemble(raw: bytes, keep: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks = ranks_of(raw)
-        table_of = {i: t for t, i in ranks.items()}
-        width = np.uint16 if len(ranks) < 65536 else np.int32
-        for batch in batches:
-            for i in range(batch.num_rows):
-                row = {n: batch.column(k)[i].as_py() for k, n in enumerate(batch.schema.names)}
-                if row["rows"] is None:
-                    raise RuntimeError("encode() needs rows that come in the same order each time; write them to a table first")
-                table = pa.ipc.open_stream(row["rows"]).read_all()
-                split: list[list[str]] = [[] for _ in range(buckets)]
-                for w in _block_words(table):
-                    split[xxhash.xxh3_64_intdigest(w.encode()) % buckets].append(w)
-                given = {a["bucket"]: a for a in row["answers"] or []}
-                if given.keys() != {k for k in range(buckets) if split[k]}:
-                    raise RuntimeError("encode() needs rows that come in the same order each time; write them to a table first")
-                ids: dict[str, bytes] = {}
-                for k, a in given.items():
-                    ids.update(zip(split[k], _unpack(a["ids"], a["size"])))
-                for part in table.to_batches(max_chunksize=200):
-                    lists, decoded = [], []
-                    for text in column(part, "text"):
-                        if text is None:
-                            lists.append(None)
-                            decoded.append(None)
-                            continue
-                        own = np.frombuffer(b"".join([ids[w] for w in _SPLIT.findall(text)]), width).astype(np.int32)
-                        lists.append(own)
-                        decoded.append(b"".join([table_of[t] for t in own.tolist()]).decode() == text)
-                    lengths = [None if x is None else len(x) for x in lists]
-                    cols = [part.column(part.schema.get_field_index(n)) for n in names]
-                    yield pa.RecordBatch.from_arrays([*cols, pa.array(lists, pa.list_(pa.int32())), pa.array(lengths, pa.int64()), pa.array(decoded, pa.bool_())], names=[*names, "token_ids", "n_tokens", "round_trip"])
+        width = np.uint16 if len(ranks_of(raw)) <= 1 << 16 else np.uint32
+        lost = RuntimeError("encode(): words and positions of a block don't belong together; the input came out otherwise when it was computed again")
+        for block in by_key(batches, "block"):
+            buckets = block.column("bucket").to_pylist()
+            sizes, data = block.column("size").to_pylist(), block.column("data").to_pylist()
+            order = sorted(range(len(buckets)), key=lambda i: buckets[i])
+            if buckets.count(-1) != 1:
+                raise lost
+            body = pa.ipc.open_stream(block.column("rows")[order[0]].as_py()).read_all()
+            place, codes = _unpress(sizes[order[0]], data[order[0]])
+            place = np.frombuffer(place, np.uint32).astype(np.int64)
+            codes = np.frombuffer(codes, np.uint16 if len(place) <= 1 << 16 else np.uint32).astype(np.int64)
+            given = [_unpress(sizes[i], data[i]) for i in order[1:]]
+            n = np.concatenate([np.empty(0, np.int64), *(np.frombuffer(g[0], np.uint32) for g in given)]).astype(np.int64)
+            if len(n) != len(place):
+                raise lost
+            ids = np.concatenate([np.empty(0, width), *(np.frombuffer(g[1], width) for g in given)])
+            sound = np.concatenate([np.empty(0, bool), *(np.frombuffer(g[2], bool) for g in given)])
+            starts = np.cumsum(n) - n
+            n, starts, sound = n[place], starts[place], sound[place]  # by rank
+            counts = pc.fill_null(body.column("n"), 0).to_numpy()
+            stops = np.cumsum(counts)
+            tokens, wrong = np.r_[0, np.cumsum(n[codes])], np.r_[0, np.cumsum(~sound[codes])]
+            null = np.asarray(pc.is_null(body.column("n").combine_chunks()))
+            good = body.column("whole").to_numpy() & (wrong[stops] == wrong[stops - counts])
+            for i in range(0, body.num_rows, 512):
+                part = slice(i, i + 512)
+                a, b = int(stops[i] - counts[i]), int(stops[part][-1])
+                own = codes[a:b]
+                at = np.repeat(starts[own] - (tokens[a:b] - tokens[a]), n[own]) + np.arange(tokens[b] - tokens[a])
+                offsets = np.r_[tokens[a], tokens[stops[part]]] - tokens[a]
+                lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids[at].astype(np.int32)), mask=pa.array(null[part]))
+                lengths = pa.array(np.diff(offsets), mask=null[part])
+                cols = [body.column(f"k{k}").slice(i, 512).combine_chunks() for k in range(len(keep))]
+                yield pa.RecordBatch.from_arrays([*cols, lists, lengths, pa.array(good[part], mask=null[part])], names=[*keep, "token_ids", "n_tokens", "round_trip"])
 
     return run
 
 
-def encode(docs: DataFrame, tokenizer: str = TOKENIZER, keep: tuple[str, ...] = ("doc_id",), buckets: int = BUCKETS) -> DataFrame:
-    """The columns ``keep``, ``token_ids``, ``n_tokens``, and ``round_trip``: whether decoding gave the text back.
+def encode(docs: DataFrame, tokenizer: str = TOKENIZER, keep: tuple[str, ...] = ("doc_id",), buckets: int | None = None) -> DataFrame:
+    """The columns ``keep``, ``token_ids``, ``n_tokens``, and ``round_trip``: whether the ids' bytes are those of the text again.
 
-    One row for each row of ``docs``.  A null text has nulls, an empty one no ids.  Repeated rows are
-    encoded as often as they occur.  Other columns, whatever their names, stay out.  ``buckets`` sets how many
-    tasks share the distinct words; give it in proportion to the corpus's vocabulary.
+    One row for each row of ``docs``, an empty table gives none.  A null text has nulls, an empty one no ids.  Repeated rows are
+    encoded as often as they occur.  Other columns, whatever their names, stay out; ``keep`` may not name one of the results.
+    ``buckets`` sets how many tasks share the distinct words, by default as many as a shuffle has partitions.
     """
-    raw = read_bytes(tokenizer)
+    if {"token_ids", "n_tokens", "round_trip"} & {c.lower() for c in keep}:
+        raise ValueError("a kept column has the name of a result")
+    raw, spark = read_bytes(tokenizer), docs.sparkSession
     keep = tuple(dict.fromkeys(c for c in keep if c != "text"))
-    source = docs.select(*keep, "text")
-    asked = source.mapInArrow(_ask(buckets), "bucket int, block binary, size long, words binary")
-    answers = asked.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_answer(raw), "block binary, bucket int, size long, ids binary")
-    carried = source.mapInArrow(_carry, "block binary, rows binary")
-    grouped = answers.groupBy("block").agg(F.collect_list(F.struct("bucket", "size", "ids")).alias("answers"))
+    buckets = buckets or min(int(spark.conf.get("spark.sql.shuffle.partitions")), MOST_BUCKETS)
+    source = spread(docs.select(*map(quoted, keep), "text")).select(*(quoted(c).alias(f"k{i}") for i, c in enumerate(keep)), *split_columns(F.col("text")))
+    asked = source.mapInArrow(_ask(buckets, list(keep)), _SHUFFLED)
+    answers = asked.repartitionById(buckets, F.col("slot")).mapInArrow(_answer(raw), _SHUFFLED)
     schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField("token_ids", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.LongType()), T.StructField("round_trip", T.BooleanType())])
-    return carried.hint("shuffle_hash").join(grouped, "block", "full_outer").select("rows", "answers").mapInArrow(_assemble(raw, buckets, list(keep)), schema)
+    return answers.repartition("block").sortWithinPartitions("block").mapInArrow(_assemble(raw, list(keep)), schema)
+
+
+# ---------------------------------------------------------------- decoding
 
 
 def _decode(raw: bytes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table_of = {i: t for t, i in ranks_of(raw).items()}
+        ranks = ranks_of(raw)
+        least, most = min(ranks.values(), default=0), max(ranks.values(), default=-1)
+        by_id: list[bytes | None] = [None] * (most + 1)
+        for t, i in ranks.items():
+            by_id[i] = t
+        table = pa.array(by_id, pa.large_binary())
         for batch in batches:
-            out = [None if x is None or None in x or not table_of.keys() >= set(x) else b"".join([table_of[t] for t in x]).decode("utf-8", "replace") for x in column(batch, "token_ids")]
+            lists = batch.column(batch.schema.get_field_index("token_ids"))
+            sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            flat = lists.flatten()
+            ids = pc.fill_null(flat, -1).to_numpy(zero_copy_only=False).astype(np.int64)
+            there = (ids >= least) & (ids <= most)
+            joined = table.take(pa.array(np.where(there, ids, 0), mask=~there)) if len(table) else pa.nulls(len(ids), pa.large_binary())
+            gone = np.r_[0, np.cumsum(np.asarray(pc.is_null(joined)))]
+            ends = np.r_[0, np.cumsum(pc.fill_null(pc.binary_length(joined), 0).to_numpy(zero_copy_only=False).astype(np.int64))]
+            every = b"".join(joined.drop_null().to_pylist())
+            stops = np.cumsum(sizes)
+            starts, null = stops - sizes, np.asarray(pc.is_null(lists))
+            out = [None if null[i] or gone[b] > gone[a] else every[ends[a] : ends[b]].decode("utf-8", "replace") for i, (a, b) in enumerate(zip(starts.tolist(), stops.tolist()))]
             names = [n for n in batch.schema.names if n != "token_ids"]
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(n)) for n in names), pa.array(out, pa.string())], names=[*names, "text"])
 
@@ -313,14 +381,14 @@ def _decode(raw: bytes):
 
 
 def decode(tokens: DataFrame, tokenizer: str = TOKENIZER, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns ``keep`` and ``text``, the ids' bytes joined from the token table (fixed, 50,256 rows).
+    """The columns ``keep`` and ``text``, each id joined to its bytes in the token table, which every worker has whole (it is of a fixed size).
 
     Null ids, a null among them, or an id the table lacks give a null text; no ids give an empty one;
-    bytes that are not UTF-8 are replaced.
+    bytes that are not UTF-8 are replaced.  Repeated rows stay, an empty table gives no rows, and other columns are not read.
     """
-    keep = tuple(c for c in keep if c != "text")
+    keep = tuple(c for c in keep if c not in ("text", "token_ids"))
     schema = T.StructType([*(tokens.schema[c] for c in keep), T.StructField("text", T.StringType())])
-    return tokens.select(*keep, "token_ids").mapInArrow(_decode(read_bytes(tokenizer)), schema)
+    return tokens.select(*map(quoted, keep), "token_ids").mapInArrow(_decode(read_bytes(tokenizer)), schema)
 
 
 def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -332,5 +400,13 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op2_bpe_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts again, from their ids."""
+    return decode(op2_bpe(spark, sf_dir))
+
+
+DECODED_SQL = "SELECT doc_id, text FROM documents"
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(spark.read.parquet(f"{sf_dir}/documents.parquet"))

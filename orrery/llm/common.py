@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -11,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Splits text into pre-tokens before any merge; the public pattern of this vocabulary.
@@ -18,25 +20,82 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a folder of our own only where the session names none."""
-    given = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder all executors share, which ``spark.checkpoint.dir`` names.
+
+    Where the session names none, one machine's own temporary folder serves if that machine is all there is; on a cluster that is an error.
+    """
     sc = spark.sparkContext
     current = sc._jsc.sc().getCheckpointDir()
-    if given is None and current.isEmpty():
+    given = spark.conf.get("spark.checkpoint.dir", None) or (None if current.isEmpty() else current.get())
+    if given is None:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         given = tempfile.mkdtemp(prefix="orrery-checkpoint-")
     if current.isEmpty():
         sc.setCheckpointDir(given)
-    return given or current.get()
+    return given
+
+
+def work_path(spark: SparkSession) -> str:
+    """A new path in a folder of this application's own under the shared one, which goes when the driver's JVM ends."""
+    sc = spark.sparkContext
+    home = f"{shared_dir(spark)}/orrery-{sc.applicationId}"
+    if home not in _homes:
+        path = sc._jvm.org.apache.hadoop.fs.Path(home)
+        files = path.getFileSystem(sc._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+        _homes.add(home)
+    return f"{home}/{uuid.uuid4().hex}"
+
+
+_homes: set[str] = set()
 
 
 def cut(df: DataFrame) -> DataFrame:
     """``df`` computed once and read back from a Parquet table in the shared folder."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/orrery-{uuid.uuid4().hex}"
+    spark, path = df.sparkSession, work_path(df.sparkSession)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def quoted(name: str) -> Column:
+    """The column of exactly this name, whatever signs are in it."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """``df`` with its columns named c0, c1, ..., whatever their names were; functions over Arrow batches take no name with a dot."""
+    return df.toDF(*(f"c{i}" for i in range(len(df.columns))))
+
+
+def fresh(taken: list[str], *names: str) -> list[str]:
+    """``names``, lengthened where ``taken`` has them already."""
+    used, out = {c.lower() for c in taken}, []
+    for n in names:
+        while n.lower() in used:
+            n += "_"
+        used.add(n.lower())
+        out.append(n)
+    return out
+
+
+def whole_ids(docs: DataFrame, *names: str) -> None:
+    """Ids are whole numbers; a column of another type is an error before anything runs."""
+    for n in names:
+        if not isinstance(docs.schema[n].dataType, T.IntegralType):
+            raise TypeError(f"{n} must hold whole numbers, not {docs.schema[n].dataType.simpleString()}")
+
+
+def spread(docs: DataFrame) -> DataFrame:
+    """``docs`` in at least as many partitions as there are cores, where a plain scan of few row groups would leave most idle."""
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    plan = docs._jdf.queryExecution().optimizedPlan().toString()
+    if re.search("Join|Aggregate|Window|Repartition|Sort|Limit|Union|Generate|Distinct|LocalRelation|LogicalRDD|Arrow|Pandas|InMemory", plan):
+        return docs
+    return docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs
+
+
 def digest(col: str | Column) -> Column:
     """16 bytes that stand for a text; null for null."""
     return F.unhex(F.md5(F.col(col) if isinstance(col, str) else col))
@@ -127,8 +186,4 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return roots.union(roots.select(F.col("root").alias("node"), "root").distinct())
 
 
-def same(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
-
-
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]

@@ -7,6 +7,7 @@ from orrery.llm import bpe, licenses, mixing, quality, repeats, simhash, tiff, t
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
     "op2_bpe": bpe.op2_bpe,
+    "op2_bpe_decoded": bpe.op2_bpe_decoded,
     "op3_licenses": licenses.op3_licenses,
     "op4_tiff": tiff.op4_tiff,
     "op5_topk": topk.op5_topk,
@@ -17,4 +18,4 @@ QUERIES = {
     "op10_repeats": repeats.op10_repeats,
 }
 
-SQL = {"op5_topk": topk.OP5_SQL, "op7_mixing": mixing.OP7_SQL}
+SQL = {"op2_bpe_decoded": bpe.DECODED_SQL, "op5_topk": topk.OP5_SQL, "op7_mixing": mixing.OP7_SQL}

@@ -9,6 +9,10 @@ the least hash.  It depends on the window's words alone, so equal windows have e
 Minimisers that occur once in the corpus can't be in a repeated window; those that occur
 more often send the words of the windows that they stand for to the task that owns the hash.
 
+*Hot hashes.*  A minimiser of more than ``HOT`` places, such as one of boilerplate that many documents have, is split by a longer gram, the window
+itself: each of its windows is known by 128 bits of its words, and every class of windows gets its first place by an aggregate that combines before
+it shuffles.  No task holds the places of such a hash, and what is marked is the same.
+
 *Index.*  A task sets up, over the distinct neighbourhoods of a range of hashes, the suffix order and its
 Burrows-Wheeler transform, and keeps of them the runs only: for each run the symbol, and the
 samples of the suffix order at the run's start and at the end of the run before it.  Those
@@ -25,15 +29,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+import xxhash
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from orrery.llm.common import column, digest, hash_words, pieces, splitmix
+from orrery.llm.common import column, digest, fresh, hash_words, numbered, pieces, quoted, splitmix, spread, whole_ids
 
 WINDOW, GRAM = 50, 8
-#: Words after which a task closes a range of hashes; one hash is never split.
-RANGE_WORDS = 250_000
+#: Words after which a task closes a range of hashes; places above which a hash is split by windows.
+RANGE_WORDS, HOT = 250_000, 4096
 _PIECE = 1 << 19
 _PLACES = re.compile(rb"\S+")
 
@@ -222,18 +227,49 @@ def _mark(window: int):
     return run
 
 
-def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+def _windows(window: int):
+    """Each window of the spans by 128 bits of its words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, 16):
+            keys, a, owner = [b""], [np.empty(0, np.int32)], [np.empty(0, np.int64)]
+            for k, (text, spans) in enumerate(zip(column(batch, "text"), column(batch, "spans"))):
+                raw = text.encode()
+                ends = [m.span() for m in _PLACES.finditer(raw)]
+                for s in spans:
+                    places = np.arange(s["a"], s["b"] + 1, dtype=np.int32)
+                    # words parted by one blank, so that windows of the same words are the same bytes
+                    words = [raw[x:y] for x, y in ends[s["a"] : s["b"] + window]]
+                    keys += [xxhash.xxh3_128_digest(b" ".join(words[i : i + window])) for i in range(len(places))]
+                    a.append(places)
+                    owner.append(np.full(len(places), k))
+            take = pa.array(np.concatenate(owner))
+            cols = [batch.column(batch.schema.get_field_index(c)).take(take) for c in ("dg", "rep")]
+            yield pa.RecordBatch.from_arrays([pa.array(keys[1:], pa.binary()), *cols, pa.array(np.concatenate(a))], names=["w", "dg", "rep", "a"])
+
+    return run
+
+
+def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """``(dg, doc_id, first_doc_id, start_word, end_word)`` for the distinct texts: marked spans, not yet merged."""
     assert 0 < gram <= window
-    base = docs.where("text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("dg", digest("text"))
+    base = spread(docs.where("text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")).withColumn("dg", digest("text"))
     places = base.mapInArrow(_minimise(window, gram), "h long, dg binary, doc_id long, a int, b int")
     # exact copies have equal places and count once; one shuffle by hash serves both steps
     distinct = places.repartition("h").groupBy("h", "dg", "a", "b").agg(F.min("doc_id").alias("rep"))
     often = distinct.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("h"))).where("n > 1")
-    spans = often.groupBy(F.col("dg").alias("span_dg")).agg(F.min("rep").alias("rep"), F.collect_list(F.struct("h", "a", "b")).alias("spans"))
-    joined = base.join(spans, (base["dg"] == spans["span_dg"]) & base["doc_id"].eqNullSafe(spans["rep"]))
-    near = joined.select("dg", "rep", "text", "spans").mapInArrow(_neighbourhoods(window), "h long, dg binary, rep long, a int, words binary")
-    return near.repartition("h").sortWithinPartitions("h").mapInArrow(_mark(window), "dg binary, doc_id long, first_doc_id long, start_word int, end_word int")
+
+    def joined(some: DataFrame) -> DataFrame:
+        spans = some.groupBy(F.col("dg").alias("span_dg")).agg(F.min("rep").alias("rep"), F.collect_list(F.struct("h", "a", "b")).alias("spans"))
+        return base.join(spans, (base["dg"] == spans["span_dg"]) & base["doc_id"].eqNullSafe(spans["rep"])).select("dg", "rep", "text", "spans")
+
+    near = joined(often.where(F.col("n") <= hot)).mapInArrow(_neighbourhoods(window), "h long, dg binary, rep long, a int, words binary")
+    cold = near.repartition("h").sortWithinPartitions("h").mapInArrow(_mark(window), "dg binary, doc_id long, first_doc_id long, start_word int, end_word int")
+    windows = joined(often.where(F.col("n") > hot)).mapInArrow(_windows(window), "w binary, dg binary, rep long, a int")
+    place = F.struct(F.col("rep").isNull().alias("null"), "rep", "dg", "a")
+    firsts = windows.groupBy("w").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("w").alias("fw"), "first")
+    later = windows.join(firsts, windows["w"] == firsts["fw"]).where(place > F.col("first"))
+    return cold.union(later.select("dg", F.col("rep").alias("doc_id"), F.col("first.rep").alias("first_doc_id"), F.col("a").alias("start_word"), (F.col("a") + window).alias("end_word")))
 
 
 def merged(spans: DataFrame, *by: str) -> DataFrame:
@@ -244,70 +280,74 @@ def merged(spans: DataFrame, *by: str) -> DataFrame:
     return begun.withColumn("_run", F.sum("_new").over(order)).groupBy(*by, "_run").agg(F.min("start_word").alias("start_word"), F.max("end_word").alias("end_word")).drop("_run")
 
 
-def _lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        n = [len(t.encode().split()) for t in column(batch, "text")]
-        yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in ("doc_id", "dg")), pa.array(n, pa.int32())], names=["doc_id", "dg", "n_words"])
-
-
-def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """``(doc_id, start_word, end_word, n_words, first_doc_id)``: the marked passages, end exclusive.
 
     A document whose whole text an earlier one has is one passage, first in the least ``doc_id`` with that text.  In
     other documents a span holds windows whose first place is in ``first_doc_id`` (which is the document itself for
     passages repeated within it).  Null ids come after all others, and equal ids in the order of their texts' digests;
-    repeated rows are one document.  Null texts, and those of fewer than ``window`` words, have none.
+    repeated rows are one document.  Null texts, and those of fewer than ``window`` words, have none; an empty table gives no rows.
+    ``doc_id`` must hold whole numbers; columns other than it and ``text`` are not read.
     """
-    spans = merged(repeated_spans(docs, window, gram), "dg", "doc_id", "first_doc_id").select("doc_id", "start_word", "end_word", "first_doc_id")
+    whole_ids(docs, "doc_id")
+    spans = merged(repeated_spans(docs, window, gram, hot), "dg", "doc_id", "first_doc_id").select("doc_id", "start_word", "end_word", "first_doc_id")
     base = docs.where("text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("dg", digest("text"))
-    sizes = base.mapInArrow(_lengths, "doc_id long, dg binary, n_words int").where(F.col("n_words") >= window).distinct()
-    least = Window.partitionBy("dg")
-    whole = sizes.withColumn("rep", F.min("doc_id").over(least)).where("doc_id > rep OR (doc_id IS NULL AND rep IS NOT NULL)")
+    # only digests under more than one id are of interest, and found without the texts
+    copied = base.groupBy("dg").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("most"), F.count_if(F.col("doc_id").isNull()).alias("nulls")).where("rep < most OR (rep IS NOT NULL AND nulls > 0)").select(F.col("dg").alias("copy"), "rep")
+    sized = base.select("doc_id", "dg", _n_words("text").alias("n_words")).where(F.col("n_words") >= window)
+    whole = sized.join(copied, sized["dg"] == copied["copy"]).where("doc_id > rep OR doc_id IS NULL").select("doc_id", "dg", "rep", "n_words").distinct()
     whole = whole.select("doc_id", F.lit(0).alias("start_word"), F.col("n_words").alias("end_word"), F.col("rep").alias("first_doc_id"))
     both = spans.union(whole)
     return both.select("doc_id", "start_word", "end_word", (F.col("end_word") - F.col("start_word")).alias("n_words"), "first_doc_id")
 
 
-def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in pieces(batches, 256):
-        out = []
-        for text, spans in zip(column(batch, "text"), column(batch, "_spans")):
-            if text is not None and spans:
-                ends = [m.span() for m in _PLACES.finditer(text.encode())]
+def _n_words(text: str) -> Column:
+    """Runs of what isn't ASCII white space."""
+    return F.size(F.regexp_extract_all(text, F.lit(r"([^ \t\n\r\f\x0B]+)"), F.lit(1)))
+
+
+def _remove(text_at: int, spans_at: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, 256):
+            out = []
+            for text, spans in zip(batch.column(text_at).to_pylist(), batch.column(spans_at).to_pylist()):
                 raw, kept, at = text.encode(), [], 0
+                ends = [m.span() for m in _PLACES.finditer(raw)]
                 for s in sorted(spans, key=lambda s: s["start_word"]):
                     kept.append(raw[at : ends[s["start_word"]][0]])
                     at = ends[s["end_word"]][0] if s["end_word"] < len(ends) else len(raw)
-                text = b"".join([*kept, raw[at:]]).decode().rstrip()
-            out.append(text)
-        names = [n for n in batch.schema.names if n not in ("text", "_spans")]
-        cols = {n: batch.column(batch.schema.get_field_index(n)) for n in names} | {"text": pa.array(out, pa.string())}
-        yield pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
+                out.append(b"".join([*kept, raw[at:]]).decode())
+            cols = [pa.array(out, pa.string()) if i == text_at else batch.column(i) for i in range(batch.num_columns) if i != spans_at]
+            yield pa.RecordBatch.from_arrays(cols, names=[n for i, n in enumerate(batch.schema.names) if i != spans_at])
+
+    return run
 
 
 def remove_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """``docs`` with every marked passage cut out of its text and ``n_chars`` counted again.
+    """``docs``, every column of it, with every marked passage cut out of its text and ``n_chars`` counted again.
 
-    A document that consists of nothing else goes, as does all but the first row of an exact copy; every
-    other document stays, texts too short for a passage among them.
+    A document of which only white space is left goes, as does all but the first row of an exact copy of at least ``WINDOW`` words; every
+    other document stays with its text as it was, null, empty and short texts among them.  Rows repeated in id and text stay as they are.
     """
-    spans = merged(repeated_spans(docs), "dg", "doc_id").groupBy(F.col("dg").alias("_dg")).agg(F.collect_list(F.struct("start_word", "end_word")).alias("_spans"))
-    keyed = docs.withColumn("_key", digest("text"))
+    whole_ids(docs, "doc_id")
+    key, dg, spans_, copy, rep, most, nulls = fresh(docs.columns, "_key", "_dg", "_spans", "_copy", "_rep", "_most", "_nulls")
+    spans = merged(repeated_spans(docs), "dg", "doc_id").groupBy(F.col("dg").alias(dg)).agg(F.collect_list(F.struct("start_word", "end_word")).alias(spans_))
+    keyed = docs.withColumn(key, digest("text"))
     # exact copies go whole, as repeats() marks them; only digests that occur under several ids are joined
-    copied = keyed.where("_key IS NOT NULL").groupBy(F.col("_key").alias("_copy")).agg(F.min("doc_id").alias("_rep"), F.max("doc_id").alias("_most"), F.count_if(F.col("doc_id").isNull()).alias("_nulls"))
-    copied = copied.where("_rep < _most OR (_rep IS NOT NULL AND _nulls > 0)").select("_copy", "_rep")
-    tagged = keyed.join(copied, keyed["_key"] == copied["_copy"], "left")
-    later = F.col("_rep").isNotNull() & (F.col("doc_id").isNull() | (F.col("doc_id") > F.col("_rep")))
-    long_ = F.size(F.regexp_extract_all("text", F.lit(r"([^ \t\n\r\f\x0B]+)"), F.lit(1))) >= WINDOW
-    left = tagged.where(F.when(later, ~long_).otherwise(F.lit(True)))
-    joined = left.join(spans, left["_key"] == spans["_dg"], "left")
-    names = [c for c in docs.columns if c != "text"]
-    plain = joined.where("_spans IS NULL").select(*docs.columns)
-    schema = T.StructType([*(docs.schema[c] for c in names), T.StructField("text", T.StringType())])
-    touched = joined.where("_spans IS NOT NULL").select(*docs.columns, "_spans").mapInArrow(_remove, schema).where("text <> ''")
-    if "n_chars" in names:
+    copied = keyed.where(F.col(key).isNotNull()).groupBy(F.col(key).alias(copy)).agg(F.min("doc_id").alias(rep), F.max("doc_id").alias(most), F.count_if(F.col("doc_id").isNull()).alias(nulls))
+    copied = copied.where((F.col(rep) < F.col(most)) | (F.col(rep).isNotNull() & (F.col(nulls) > 0))).select(copy, rep)
+    tagged = keyed.join(copied, keyed[key] == copied[copy], "left")
+    later = F.col(rep).isNotNull() & (F.col("doc_id").isNull() | (F.col("doc_id") > F.col(rep)))
+    left = tagged.where(F.when(later, _n_words("text") < WINDOW).otherwise(F.lit(True)))
+    joined = left.join(spans, left[key] == spans[dg], "left")
+    every = list(map(quoted, docs.columns))
+    plain = joined.where(F.col(spans_).isNull()).select(*every)
+    cut_out = numbered(joined.where(F.col(spans_).isNotNull()).select(*every, spans_))
+    n = len(docs.columns)
+    touched = cut_out.mapInArrow(_remove(docs.columns.index("text"), n), T.StructType(cut_out.schema.fields[:n])).toDF(*docs.columns).where(r"text RLIKE '[^ \\t\\n\\r\\f\\x0B]'")
+    if "n_chars" in docs.columns:
         touched = touched.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return plain.union(touched.select(*docs.columns))
+    return plain.union(touched)
 
 
 def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,14 +1,14 @@
-"""Exact top-k search with a vector-approximation file, every row being a query.
+"""Exact top-k search with a vector-approximation file: rows whose id is divisible by ``EVERY`` are the queries, against all rows.
 
 The file holds, for each vector, one byte a dimension (the cell between the dimension's least and greatest
 value in the table) and the vector's distance from the middle of its cells.  By the triangle
 inequality a query's distance from the middle, less or plus that, bounds its distance from the vector.
 
-Queries come in groups; the file's blocks are replicated to the groups and scanned there, each query
-holding the k least upper bounds so far.  What has a lower bound above the kth of them is out.  For the
-few others the exact vectors are joined and read in the order of their lower bounds, until the next bound
-lies above the kth exact distance.  The number of groups follows the number of rows, so a task's queries and blocks
-are of fixed size; the work grows with the square of the rows, as the search of all rows for all must.
+Queries are taken in groups of a fixed size, which every task has whole.  One scan of the file gives each query the kth least upper
+bound; a second leaves the vectors whose lower bound isn't above it.  Of those the exact vectors are read in
+the order of their lower bounds, in two rounds: the first k, and then only those whose lower bound isn't above the kth exact distance so far,
+beyond which no vector can be nearer.  Only ids and bounds are shuffled, never the file; vectors that no bound lets through are not joined.
+The work is that of the stated queries times all rows, spread over the file's blocks.
 """
 
 from __future__ import annotations
@@ -18,13 +18,14 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from orrery.llm.common import column, cut
 
-K, GROUP, BLOCK = 10, 2048, 1024
+#: Neighbours; of which ids the rows are queries; queries that a scan has at once, and that it multiplies at once; vectors in a block of the file.
+K, EVERY, GROUP, TILE, BLOCK = 10, 100, 8192, 1024, 1024
 
 
 def _extent(dim: int):
@@ -58,126 +59,138 @@ def _file(dim: int, low: np.ndarray, step: np.ndarray):
     return run
 
 
-def _queries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for i in range(0, batch.num_rows, GROUP):
-            part = batch.slice(i, GROUP)
-            ids, vectors = np.array(column(part, "id"), np.int64), np.array(column(part, "vec"), np.float32)
-            yield pa.RecordBatch.from_arrays([pa.array([ids.tobytes()], pa.binary()), pa.array([vectors.tobytes()], pa.binary())], names=["ids", "vectors"])
-
-
 def rounding(dim: int) -> np.float32:
     """Bound of the single-precision error of a squared distance over ``dim`` dimensions, as a share of both squared lengths."""
     return np.float32((2 * dim + 16) * 2.0**-24)
 
 
-def _scan(dim: int, k: int, low: np.ndarray, step: np.ndarray):
-    def flush(ids: np.ndarray, bound: np.ndarray, kept: list) -> Iterator[pa.RecordBatch]:
-        if not kept:
-            return
-        q, other, lower = (np.concatenate(x) for x in zip(*kept))
-        ok = lower <= bound[q]
-        q, other, lower = q[ok], other[ok], lower[ok]
-        for i in range(0, len(q), 100_000):
-            s = slice(i, i + 100_000)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[q[s]]), pa.array(other[s]), pa.array(lower[s].astype(np.float64))], names=["q", "id", "lower"])
+class Queries:
+    """A group's ids and vectors, and the bounds of their distances from a block of the file."""
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray, low: np.ndarray, step: np.ndarray):
+        self.ids, self.x, self.low, self.step = ids, x, low, step
+        self.squares = (x.astype(np.float64) ** 2).sum(1).astype(np.float32)
+
+    def bounds(self, row: dict) -> Iterator[tuple[slice, np.ndarray, np.ndarray, np.ndarray]]:
+        """By tiles of queries: which, the block's ids, and lower and upper bounds; a query's own row is infinitely far."""
+        other, dim = np.frombuffer(row["ids"], np.int64), self.x.shape[1]
+        middle = (self.low + (np.frombuffer(row["cells"], np.uint8).reshape(-1, dim) + 0.5) * self.step).astype(np.float32)
+        rest, far = np.frombuffer(row["rest"], np.float32), np.float32(np.inf)
+        lengths = (middle * middle).sum(1)[None]
+        for i in range(0, len(self.ids), TILE):
+            tile = slice(i, i + TILE)
+            scale = self.squares[tile, None] + lengths
+            d = scale - 2 * (self.x[tile] @ middle.T)
+            slack = scale * rounding(dim)
+            lower = np.nextafter(np.sqrt(np.maximum(d - slack, 0)) - rest, -far)
+            upper = np.nextafter(np.sqrt(np.maximum(d + slack, 0)) + rest, far)
+            own = self.ids[tile, None] == other[None]
+            lower[own] = upper[own] = far
+            yield tile, other, lower, upper
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield batch.slice(i, 1).to_pylist()[0]
+
+
+def _upper(queries: Queries, k: int):
+    """A task's k least upper bounds of each query."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, ids, best, kept = None, None, None, []
-        for batch in batches:
-            for row in batch.to_pylist():
-                if row["g"] != group:
-                    if ids is not None:
-                        yield from flush(ids, best[:, -1], kept)
-                    group, kept = row["g"], []
-                    ids = np.frombuffer(row["ids"], np.int64)
-                    x = np.frombuffer(row["vectors"], np.float32).reshape(-1, dim)
-                    squares, best = (x.astype(np.float64) ** 2).sum(1).astype(np.float32), np.full((len(ids), k), np.inf, np.float32)
-                    continue  # a group's queries come before its blocks
-                other = np.frombuffer(row["ids"], np.int64)
-                middle = (low + (np.frombuffer(row["cells"], np.uint8).reshape(-1, dim) + 0.5) * step).astype(np.float32)
-                rest = np.frombuffer(row["rest"], np.float32)
-                scale = squares[:, None] + (middle * middle).sum(1)[None]
-                d = scale - 2 * (x @ middle.T)
-                slack = scale * rounding(dim)
-                lower = np.nextafter(np.sqrt(np.maximum(d - slack, 0)) - rest, np.float32(-np.inf))
-                upper = np.nextafter(np.sqrt(np.maximum(d + slack, 0)) + rest, np.float32(np.inf))
-                upper[ids[:, None] == other[None]] = np.inf
-                best = np.partition(np.concatenate([best, upper], 1), k - 1, 1)[:, :k]
-                best.sort(1)
-                q, o = np.nonzero((lower <= best[:, -1:]) & np.isfinite(upper))
-                kept.append((q, other[o], lower[q, o]))
-                if len(kept) % 16 == 0:
-                    q, o, l = (np.concatenate(x_) for x_ in zip(*kept))
-                    ok = l <= best[q, -1]
-                    kept = [(q[ok], o[ok], l[ok])]
-        if ids is not None:
-            yield from flush(ids, best[:, -1], kept)
+        best = np.full((len(queries.ids), k), np.inf, np.float32)
+        for row in _rows(batches):
+            for tile, _, _, upper in queries.bounds(row):
+                best[tile] = np.partition(np.concatenate([best[tile], upper], 1), k - 1, 1)[:, :k]
+        q, _ = np.nonzero(np.isfinite(best))
+        yield pa.RecordBatch.from_arrays([pa.array(queries.ids[q]), pa.array(best[np.isfinite(best)].astype(np.float64))], names=["q", "upper"])
+
+    return run
+
+
+def _candidates(queries: Queries, bound: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _rows(batches):
+            for tile, other, lower, upper in queries.bounds(row):
+                q, o = np.nonzero((lower <= bound[tile, None]) & np.isfinite(upper))
+                yield pa.RecordBatch.from_arrays([pa.array(queries.ids[tile][q]), pa.array(other[o]), pa.array(lower[q, o].astype(np.float64))], names=["q", "id", "lower"])
 
     return run
 
 
-def _exact(k: int):
+def _distances(queries: Queries):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        order = np.argsort(queries.ids)
         for batch in batches:
-            out = []
-            for q, vec, found in zip(column(batch, "q"), column(batch, "vec"), column(batch, "found")):
-                x = np.array(vec, np.float64)
-                top: list[tuple[float, int]] = []
-                for c in sorted(found, key=lambda c: c["lower"]):
-                    if len(top) == k and c["lower"] > top[-1][0]:
-                        break  # no later one can be nearer
-                    top = sorted([*top, (float(np.sqrt(((np.array(c["vec"], np.float64) - x) ** 2).sum())), c["id"])])[:k]
-                out += [(q, r + 1, i, d) for r, (d, i) in enumerate(top)]
-            cols = list(zip(*out)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.float64()))], names=["vec_id", "rank", "neighbor_id", "distance"])
+            q, id_ = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("q", "id"))
+            x = np.array(column(batch, "vec"), np.float64).reshape(len(q), -1)
+            own = queries.x[order[np.searchsorted(queries.ids[order], q)]].astype(np.float64)
+            d = np.sqrt(((x - own) ** 2).sum(1)) if len(q) else np.empty(0)
+            yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(id_), pa.array(d)], names=["q", "id", "distance"])
 
     return run
 
 
-def all_top_k(vectors: DataFrame, k: int = K, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """``(vec_id, rank, neighbor_id, distance)``: for every vector its ``k`` nearest others by Euclidean distance.
+def top_k(vectors: DataFrame, k: int = K, id_col: str = "vec_id", vec_col: str = "embedding", every: int = EVERY, group: int = GROUP) -> DataFrame:
+    """``(vec_id, rank, neighbor_id, distance)``: for every vector whose id is divisible by ``every`` its ``k`` nearest others by Euclidean distance.
 
     Ties go to the lesser id.  Rows whose id or vector is null, or whose vector is empty or holds a null, NaN or infinity, take no
-    part.  Of rows with one id the least vector counts.  Vectors of each length are searched among themselves, one length after
-    another; fewer than ``k + 1`` of a length give as many neighbours as there are.
+    part.  Of rows with one id the least vector counts, so repeated rows are one.  Vectors of each length are searched among themselves, one length after
+    another; fewer than ``k + 1`` of a length give as many neighbours as there are.  An empty table gives no rows; other columns are not read.
     """
     spark = vectors.sparkSession
     kind = T.StructType([T.StructField("vec_id", T.LongType()), T.StructField("rank", T.IntegerType()), T.StructField("neighbor_id", T.LongType()), T.StructField("distance", T.DoubleType())])
     plain = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<float>").alias("vec")).where("id IS NOT NULL AND vec IS NOT NULL")
     sound = plain.where(F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))))
     base = cut(sound.groupBy("id").agg(F.min("vec").alias("vec")))
-    sizes = base.groupBy(F.size("vec").alias("dim")).count().where("dim > 0 AND count > 1").orderBy("dim").collect()  # a row for each length
-    found = [_of_length(base.where(F.size("vec") == r["dim"]), r["dim"], r["count"], k, kind) for r in sizes]
-    return reduce(DataFrame.union, found) if found else spark.createDataFrame([], kind)
+    asks = F.col("id") % every == 0
+    sizes = base.groupBy(F.size("vec").alias("dim")).agg(F.count(F.lit(1)).alias("n"), F.count_if(asks).alias("asked")).where("dim > 0 AND n > 1 AND asked > 0").orderBy("dim").collect()  # a row for each length
+    found = [g for r in sizes for g in _of_length(base.where(F.size("vec") == r.dim), r.dim, -(-r.asked // group), asks, k)]
+    return reduce(DataFrame.union, found).select(F.col("q").alias("vec_id"), F.col("rank").cast("int").alias("rank"), F.col("id").alias("neighbor_id"), "distance") if found else spark.createDataFrame([], kind)
 
 
-def _of_length(base: DataFrame, dim: int, n: int, k: int, kind: T.StructType) -> DataFrame:
+def _of_length(base: DataFrame, dim: int, groups: int, asks, k: int) -> list[DataFrame]:
     extent = base.mapInArrow(_extent(dim), "d int, low double, high double").groupBy("d").agg(F.min("low").alias("low"), F.max("high").alias("high")).orderBy("d").collect()
     low, high = np.array([r.low for r in extent]), np.array([r.high for r in extent])
     step = np.maximum((high - low) / 256, 1e-12)
-    groups = max(1, -(-n // GROUP))
-    placed = base.withColumn("_g", F.pmod(F.xxhash64("id"), F.lit(groups)))
-    # both sides in blocks of one group's rows; groups are even by hash
-    approx = placed.repartition(groups, "_g").select("id", "vec").mapInArrow(_file(dim, low, step), "ids binary, cells binary, rest binary")
-    asked = placed.repartition(groups, "_g").select("id", "vec").mapInArrow(_queries, "ids binary, vectors binary")
-    asked = cut(asked.withColumn("g", F.monotonically_increasing_id()))
-    names = asked.select("g")
-    spread = cut(approx).crossJoin(names).select("g", F.lit(1).alias("side"), "ids", "cells", "rest", F.lit(None).cast("binary").alias("vectors"))
-    all_ = asked.select("g", F.lit(0).alias("side"), "ids", F.lit(None).cast("binary").alias("cells"), F.lit(None).cast("binary").alias("rest"), "vectors").union(spread)
-    found = all_.repartition(groups, "g").sortWithinPartitions("g", "side").mapInArrow(_scan(dim, k, low, step), "q long, id long, lower double")
-    read = found.join(base, "id").groupBy("q").agg(F.collect_list(F.struct("lower", "id", "vec")).alias("found"))
-    return read.join(base.withColumnRenamed("id", "q"), "q").select("q", "vec", "found").mapInArrow(_exact(k), kind)
+    # of equal vectors no query has more than the k + 1 of least ids among its neighbours and itself, so a vector that many rows share is scanned that often
+    alike = F.row_number().over(Window.partitionBy("vec").orderBy("id"))
+    pool = base.withColumn("alike", alike).where(F.col("alike") <= k + 1).select("id", "vec")
+    file = cut(pool.mapInArrow(_file(dim, low, step), "ids binary, cells binary, rest binary"))
+    return [_of_group(base, file, base.where(asks & (F.pmod(F.xxhash64("id"), F.lit(groups)) == g)), low, step, k) for g in range(groups)]
+
+
+def _of_group(base: DataFrame, file: DataFrame, asked: DataFrame, low: np.ndarray, step: np.ndarray, k: int) -> DataFrame:
+    table = asked.orderBy("id").toArrow()  # one group of queries
+    ids = table.column("id").to_numpy()
+    queries = Queries(ids, np.array(table.column("vec").to_pylist(), np.float32).reshape(len(ids), len(low)), low, step)
+    # a task has k bounds for a query at most; of all of them the kth least counts
+    uppers = file.mapInArrow(_upper(queries, k), "q long, upper double").groupBy("q").agg(F.sort_array(F.collect_list("upper")).alias("u"))
+    bound = np.full(len(ids), np.inf, np.float32)
+    for r in uppers.where(F.size("u") >= k).select("q", F.element_at("u", k).alias("u")).collect():  # a row for each query of the group
+        bound[np.searchsorted(ids, r.q)] = r.u
+    candidates = file.mapInArrow(_candidates(queries, bound), "q long, id long, lower double")
+    turn = F.row_number().over(Window.partitionBy("q").orderBy("lower", "id"))
+    candidates = cut(candidates.withColumn("turn", turn))
+
+    def read(some: DataFrame) -> DataFrame:
+        return some.join(base, "id").select("q", "id", "vec").mapInArrow(_distances(queries), "q long, id long, distance double")
+
+    first = cut(read(candidates.where(F.col("turn") <= k)))
+    kth = first.groupBy("q").agg(F.max("distance").alias("kth"))
+    near = first.union(read(candidates.where(F.col("turn") > k).join(kth, "q").where("lower <= kth").select("q", "id")))
+    return near.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy("distance", "id"))).where(F.col("rank") <= k)
 
 
 def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = all_top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    found = top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
     return found.withColumn("distance", F.round("distance", 6))
 
 
 OP5_SQL = """
 WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
-p AS (SELECT a.vec_id, b.vec_id AS neighbor_id, list_distance(a.v, b.v) AS d FROM e a JOIN e b ON a.vec_id <> b.vec_id),
+p AS (SELECT a.vec_id, b.vec_id AS neighbor_id, list_distance(a.v, b.v) AS d FROM e a JOIN e b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d, neighbor_id) AS rk FROM p)
 SELECT vec_id, rk::INT AS rank, neighbor_id, round(d, 6) AS distance FROM r WHERE rk <= 10
 """

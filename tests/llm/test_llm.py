@@ -41,10 +41,64 @@ def test_simhash(docs):
 
 
 def test_simhash_anchors():
-    v = np.arange(1 << 15)
-    assert all(np.bitwise_count(v ^ simhash.HOME) <= 1) and len(set(simhash.HOME)) == 2048
-    x = RNG.randrange(1 << 15)
-    assert all(simhash.HOME[x ^ (1 << b)] in simhash.NEAR[x] for b in range(15))
+    v, near = np.arange(1 << 16), simhash.NEAR
+    assert all(np.bitwise_count(v ^ near[:, 0]) <= 1) and len(set(near[:, 0])) == 4096
+    anchors = np.unique(near[:, 0])
+    for x in [RNG.randrange(1 << 16) for _ in range(50)]:
+        assert set(anchors[np.bitwise_count(anchors ^ x) <= 2]) == set(near[x][near[x] >= 0])
+    for k in (0, 3, 11):
+        g = simhash.groups_of(k)
+        for x in [RNG.randrange(1 << 16) for _ in range(50)]:
+            own = g[x][g[x] >= 0].tolist()
+            assert len(own) == len(set(own)) and set(own) == {a & ((1 << k) - 1) for a in near[x] if a >= 0} and own[0] == near[x, 0] & ((1 << k) - 1)
+
+
+def flipped(x, d, rng):
+    out = x.copy()
+    for i in range(len(x)):
+        for b in rng.choice(256, d, replace=False):
+            out[i, b // 64] ^= np.uint64(1) << np.uint64(b % 64)
+    return out
+
+
+def test_simhash_covers_all_bits():
+    """Every pair up to 31 bits apart shares an anchor; at the threshold itself hardly one in a thousand doesn't."""
+    rng = np.random.default_rng(2)
+    x = rng.integers(0, 2**63, (2000, 4)).astype(np.uint64) * np.uint64(2) + rng.integers(0, 2, (2000, 4)).astype(np.uint64)
+    for d, lost in ((1, 0), (31, 0), (simhash.THRESHOLD, 8)):
+        a, b = simhash.NEAR[simhash.blocks(x)], simhash.NEAR[simhash.blocks(flipped(x, d, rng))]
+        met = ((b == a[..., :1]).any(2) | (a == b[..., :1]).any(2)).any(1)
+        assert (~met).sum() <= lost
+
+
+def test_simhash_groups_and_leaders():
+    """Parts, groups and leaders join what all pairs of fingerprints join."""
+    rng = np.random.default_rng(4)
+    seeds = rng.integers(0, 2**63, (40, 4)).astype(np.uint64)
+    fp = np.concatenate([seeds, flipped(np.repeat(seeds[:10], 6, 0), 25, rng), flipped(np.repeat(seeds[:1], 60, 0), 15, rng)])
+    d = np.bitwise_count(fp[:, None] ^ fp[None]).sum(2)
+    want = simhash._forest(*np.nonzero(d <= simhash.THRESHOLD))
+    every = np.arange(len(fp))
+    for many in (0, 10**9):
+        a, b = simhash.linked(fp, every, every, simhash.THRESHOLD, many, 5)
+        assert (d[a, b] <= simhash.THRESHOLD).all()
+        got = simhash._forest(np.concatenate([a, every]), np.concatenate([b, every]))
+        assert (got[1] == want[1]).all()
+    for k in (0, 2, 5):
+        near, edges = simhash.groups_of(k)[simhash.blocks(fp)], []
+        for block in range(simhash.BLOCKS):
+            for g in range(1 << k):
+                here = np.flatnonzero((near[:, block] == g).any(1))
+                home = near[here, block, 0] == g
+                for part in (home & (here % 2 == 0), home & (here % 2 == 1)):
+                    edges.append(simhash.compare_group(here, part, fp[here], block, g, k, simhash.THRESHOLD))
+        got = simhash._forest(np.concatenate([e[0] for e in edges] + [every]), np.concatenate([e[1] for e in edges] + [every]))
+        assert (got[1] == want[1]).all()
+
+
+def test_simhash_split_groups(docs):
+    want = {tuple(r) for r in simhash.near_duplicates(docs).collect()}
+    assert {tuple(r) for r in simhash.near_duplicates(docs, group_rows=2, part_homes=1).collect()} == want
 
 
 def test_bpe(docs):
@@ -54,18 +108,89 @@ def test_bpe(docs):
     got = out.collect()
     assert collections.Counter((r.doc_id, None if r.token_ids is None else tuple(r.token_ids)) for r in got) == want
     assert all(r.round_trip for r in got if r.token_ids is not None)
+    for buckets in (1, 7):
+        again = bpe.encode(docs, keep=("doc_id", "source"), buckets=buckets).collect()
+        assert collections.Counter((r.doc_id, None if r.token_ids is None else tuple(r.token_ids)) for r in again) == want and again[0].source in ("a", "b")
     assert collections.Counter((r.doc_id, r.text) for r in bpe.decode(out).collect()) == collections.Counter(rows_of(docs))
     assert collections.Counter((r.doc_id, r.n_tokens) for r in bpe.token_counts(docs).collect()) == collections.Counter((d, None if t is None else len(enc.encode_ordinary(t))) for d, t in rows_of(docs))
     assert bpe.encode(docs.where("false")).count() == 0
 
 
+ODD = ["don't we'll  stop\n\n  now ", " \t\u00a0\u2028x\u3000 y", "\x1c\x85\u200b\ufeff", "äöü ÄÖÜ straße 你好 世界 नमस्ते हिन्दी", "½²³ ①② 12,345.678", "🙂👩\u200d👩\u200d👧 \U0001f9ff", "\U00031350\U0002ebf0 new letters \U00010d4a", "a" * 700 + "!" * 300 + " " * 50, "'s 't'S 'LL I'VE", "\ue000\U000fffff\ufffe"]
+
+
+def test_bpe_signs(spark):
+    """Spaces, marks and letters of all kinds, those that Java's tables don't know among them."""
+    enc = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=load_ranks(read_bytes(TOKENIZER)), special_tokens={})
+    df = spark.createDataFrame(list(enumerate(ODD)), "doc_id bigint, text string")
+    got = {r.doc_id: r for r in bpe.encode(df).collect()}
+    assert {i: list(r.token_ids) for i, r in got.items()} == {i: enc.encode_ordinary(t) for i, t in enumerate(ODD)} and all(r.round_trip for r in got.values())
+    assert {r.doc_id: r.n_tokens for r in bpe.token_counts(df).collect()} == {i: len(enc.encode_ordinary(t)) for i, t in enumerate(ODD)}
+    assert {r.doc_id: r.text for r in bpe.decode(bpe.encode(df)).collect()} == dict(enumerate(ODD))
+    bad = spark.createDataFrame([(1, [10**9]), (2, None), (3, [0, None]), (4, []), (5, [-1]), (6, [enc.encode_ordinary("é")[0]])], "doc_id bigint, token_ids array<int>")
+    assert {r.doc_id: r.text for r in bpe.decode(bad).collect() if r.doc_id < 6} == {1: None, 2: None, 3: None, 4: "", 5: None}
+
+
 def test_repeats(docs):
     got = {(r.doc_id, r.start_word, r.end_word, r.first_doc_id) for r in repeats.repeats(docs).collect()}
     assert got == {(20, 0, 120, 0), (21, 0, 120, 1), (23, 0, 70, 22)}
+    assert {(r.doc_id, r.start_word, r.end_word, r.first_doc_id) for r in repeats.repeats(docs, hot=1).collect()} == got
     left = {r.doc_id: r.text for r in repeats.remove_stage(docs.sparkSession, docs, "").collect()}
     assert left[21] == "one more" and len(left[23].split()) == 40 and 20 not in left and {24, 25, 0, None} <= left.keys()
 
 
+def passages(data, window):
+    """Marked spans by brute force over all windows of ``(doc_id, text)``; equal texts under other ids are one span."""
+    key = lambda d: (d is None, d or 0)
+    least = {}
+    for d, t in data:
+        if t is not None and (t not in least or key(d) < key(least[t])):
+            least[t] = d
+    import hashlib
+
+    order = sorted(least, key=lambda t: (key(least[t]), hashlib.md5(t.encode()).digest()))
+    first, out = {}, set()
+    for t in order:
+        words, run = t.split(), None
+        for i in range(len(words) - window + 1):
+            source = first.setdefault(tuple(words[i : i + window]), (t, i))
+            mark = least[source[0]] if source != (t, i) else "own"
+            if mark == "own":
+                run = None
+                continue
+            if run and run[3] == mark and i <= run[2]:
+                out.discard(tuple(run))
+                run[2] = i + window
+            else:
+                # an earlier span of the same source that reaches this window is one with it
+                old = next((s for s in out if s[0] == least[t] and s[3] == mark and s[4] == t and s[1] <= i <= s[2]), None)
+                out.discard(old)
+                run = [least[t], old[1] if old else i, i + window, mark, t]
+            out.add(tuple(run))
+    spans = {s[:4] for s in out}
+    for d, t in data:
+        if t is not None and key(d) > key(least[t]) and least[t] is not None and len(t.split()) >= window:
+            spans.add((d, 0, len(t.split()), least[t]))
+    return spans
+
+
+def test_repeats_by_brute_force(spark):
+    """Random texts of few words, so that passages repeat within and across documents and overlap; both ways to treat a hash."""
+    rng = random.Random(8)
+    alphabet = ["aa", "bb", "cc"]
+    stock = [" ".join(rng.choice(alphabet) for _ in range(rng.randint(6, 25))) for _ in range(6)]
+    data = []
+    for i in range(50):
+        parts = [rng.choice(stock) if rng.random() < 0.4 else " ".join(rng.choice(alphabet + [f"u{i}"]) for _ in range(rng.randint(1, 12))) for _ in range(rng.randint(1, 5))]
+        data.append((rng.choice([i, i, i, None]), " ".join(parts)))
+    data += [(100 + i, t) for i, (_, t) in enumerate(data[:5])] + [data[7], (None, None), (200, "")]
+    df = spark.createDataFrame(data, "doc_id bigint, text string")
+    want = passages(data, 6)
+    for hot in (1, 3, 4096):
+        got = [(r.doc_id, r.start_word, r.end_word, r.first_doc_id) for r in repeats.repeats(df, 6, 3, hot).collect()]
+        assert set(got) == want, hot
+
+
 def test_window_classes_by_brute_force():
     parts = [np.array([RNG.randrange(2) for _ in range(RNG.randint(5, 25))]) for _ in range(15)]
     classes = repeats.window_classes(parts, 5)
@@ -108,12 +233,20 @@ def test_topk(spark):
     x = np.random.default_rng(3).normal(size=(60, 8)).astype(np.float32)
     x[7] = x[8]
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(99, None), (None, [1.0] * 8), (98, [1.0])], "vec_id bigint, embedding array<float>")
-    got = {(r.vec_id, r["rank"]): r.neighbor_id for r in topk.all_top_k(df, 4).collect()}
+    got = {(r.vec_id, r["rank"]): r.neighbor_id for r in topk.top_k(df, 4, every=1, group=16).collect()}
     for i in range(60):
         d = np.sqrt(((x.astype(float) - x[i]) ** 2).sum(1))
         order = sorted((j for j in range(60) if j != i), key=lambda j: (d[j], j))[:4]
         assert [got[i, r + 1] for r in range(4)] == order
     assert len(got) == 240
+    some = {(r.vec_id, r["rank"]): r.neighbor_id for r in topk.top_k(df, 4, every=20).collect()}
+    assert some == {k: v for k, v in got.items() if k[0] % 20 == 0} and len(some) == 12
+    same = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(30)] + [(i, [float(i), 0.0]) for i in range(30, 35)], "vec_id bigint, embedding array<float>")
+    want = {i: [j for j in range(4) if j != i][:3] for i in range(30)}
+    found = {i: [] for i in range(30)}
+    for r in sorted(topk.top_k(same, 3, every=1).collect(), key=lambda r: r["rank"]):
+        found.setdefault(r.vec_id, []).append(r.neighbor_id)
+    assert {i: found[i] for i in want} == want and found[34] == [33, 32, 31]
 
 
 def test_classifiers():
@@ -142,6 +275,6 @@ def test_toxicity_stems():
 def test_topk_lengths(spark):
     """A longer vector deletes no other row, and vectors of another length find each other."""
     rows = [(i, [float(i), 0.0]) for i in range(6)] + [(50, [1.0, 2.0, 3.0])] + [(60 + i, [float(i)] * 4) for i in range(2)]
-    got = {(r.vec_id, r["rank"]): r.neighbor_id for r in topk.all_top_k(spark.createDataFrame(rows, "vec_id bigint, embedding array<float>"), 2).collect()}
+    got = {(r.vec_id, r["rank"]): r.neighbor_id for r in topk.top_k(spark.createDataFrame(rows, "vec_id bigint, embedding array<float>"), 2, every=1).collect()}
     assert got == {(0, 1): 1, (0, 2): 2, (1, 1): 0, (1, 2): 2, (2, 1): 1, (2, 2): 3, (3, 1): 2, (3, 2): 4, (4, 1): 3, (4, 2): 5, (5, 1): 4, (5, 2): 3, (60, 1): 61, (61, 1): 60}
     assert topk.rounding(1024) > 16 * topk.rounding(32) / 2 > 0
