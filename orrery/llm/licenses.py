@@ -1,11 +1,13 @@
 """License scans by a generalised suffix automaton of licence tokens.
 
 The templates' tokens (lower-case runs of letters, digits and underscores) make up one automaton, of some
-hundreds of states, which every worker builds for itself.  A file's tokens are streamed through
+thousands of states, which every worker builds for itself.  A file's tokens are streamed through
 it: after each, the longest stretch that ends there and occurs in some template is known.  Stretches of at
 least ``SHORTEST`` tokens that can't be extended are placed in the templates where they occur, and those of one
 template are chained in order of both texts, at most ``GAP`` tokens apart, into a span.  A span is
-reported if it covers ``COVERAGE`` of its template, or ``LONG`` tokens; of overlapping spans the one that covers most stays.
+reported if it covers ``COVERAGE`` of its template; of overlapping spans the one that covers most tokens stays, and of those
+the one that covers most of its template, so that a text is named by the template it completes.  Whole licences, their parts (grant, conditions,
+disclaimer), file headers, notices and SPDX tags are templates of their own.
 """
 
 from __future__ import annotations
@@ -18,29 +20,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from orrery.llm.common import column
+from orrery.llm.common import column, spread
+from orrery.llm.license_texts import TEXTS
 
-SHORTEST, GAP, COVERAGE, LONG = 4, 30, 0.6, 20
+SHORTEST, GAP, COVERAGE = 4, 30, 0.6
 _TOKEN = re.compile(r"\w+")
-
-#: Public licence notices and texts, by a name for each.
-TEMPLATES = {
-    "Apache-2.0 notice": "Licensed under the Apache License, Version 2.0",
-    "Apache-2.0": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.',
-    "MIT notice": "Released under the MIT License",
-    "MIT notice 2": "Licensed under the MIT License",
-    "MIT": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.',
-    "ISC": 'Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE',
-    "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
-    "GPL-3.0 notice": "This work is licensed under the GNU General Public License, version 3",
-    "GPL-2.0 notice": "This work is licensed under the GNU General Public License, version 2",
-    "GPL": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
-    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at",
-    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0",
-    "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0",
-    "CC-BY-4.0": "Licensed under CC BY 4.0",
-    "Unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software",
-}
+TEMPLATES = TEXTS
 
 
 class Automaton:
@@ -155,7 +140,7 @@ class Scanner:
                 if n >= SHORTEST and (i + 1 == len(found) or found[i + 1][0] != n + 1):
                     for k, end in self.automaton.ends[state]:
                         by_template.setdefault(k, []).append((a + i + 1, end, n))
-        spans = [(k, s, e, c) for k, m in by_template.items() for s, e, c in chain(m, GAP) if c >= COVERAGE * self.sizes[k] or c >= LONG]
+        spans = [(k, s, e, c) for k, m in by_template.items() for s, e, c in chain(m, GAP) if c >= COVERAGE * self.sizes[k]]
         kept: list[tuple[int, int, int, int]] = []
         for x in sorted(spans, key=lambda x: (-x[3], -x[3] / self.sizes[x[0]], x[1], x[0])):
             if all(x[2] <= y[1] or y[2] <= x[1] for y in kept):
@@ -186,13 +171,13 @@ def _scan(templates: dict[str, str], names: list[str]):
 def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES) -> DataFrame:
     """``(doc_id, license, start_token, end_token, n_covered, coverage)``, one row for each span.
 
-    Null and empty texts and texts without licence passages give no rows; repeated rows give theirs
-    each; a null ``doc_id`` stays null.  Of spans that tie, the one that begins first stays, then the name that sorts first.
+    Null and empty texts and texts without licence passages give no rows, as does an empty table; repeated rows give theirs
+    each; a null ``doc_id`` stays null; other columns are not read, whatever their names.  Of spans that tie, the one that begins first stays, then the name that sorts first.
     """
     names = ["doc_id", "license", "start_token", "end_token", "n_covered", "coverage"]
     kinds = [T.StringType(), T.IntegerType(), T.IntegerType(), T.IntegerType(), T.DoubleType()]
     schema = T.StructType([docs.schema["doc_id"], *(T.StructField(n, k) for n, k in zip(names[1:], kinds))])
-    return docs.select("doc_id", "text").mapInArrow(_scan(templates, names), schema)
+    return spread(docs.select("doc_id", "text")).mapInArrow(_scan(templates, names), schema)
 
 
 def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,7 @@
 import collections
 import random
+import struct
+import zlib
 
 import numpy as np
 import pytest
@@ -278,3 +280,277 @@ def test_topk_lengths(spark):
     got = {(r.vec_id, r["rank"]): r.neighbor_id for r in topk.top_k(spark.createDataFrame(rows, "vec_id bigint, embedding array<float>"), 2, every=1).collect()}
     assert got == {(0, 1): 1, (0, 2): 2, (1, 1): 0, (1, 2): 2, (2, 1): 1, (2, 2): 3, (3, 1): 2, (3, 2): 4, (4, 1): 3, (4, 2): 5, (5, 1): 4, (5, 2): 3, (60, 1): 61, (61, 1): 60}
     assert topk.rounding(1024) > 16 * topk.rounding(32) / 2 > 0
+
+
+def directory(order, entries, data=b"", big=False):
+    """A file of one page by hand: a header, then ``data`` at byte 8 (big: 16), then the directory; values are shorts or longs in place."""
+    at = 16 if big else 8
+    head = (b"II" if order == "<" else b"MM") + struct.pack(order + ("HHHQ" if big else "HI"), *((43, 8, 0) if big else (42,)), at + len(data))
+    out = struct.pack(order + ("Q" if big else "H"), len(entries))
+    for tag, kind, values in sorted(entries):
+        body = struct.pack(f"{order}{len(values)}{'BHIQ'[{1: 0, 3: 1, 4: 2, 16: 3}[kind]]}", *values).ljust(8 if big else 4, b"\0")
+        out += struct.pack(order + ("HHQ" if big else "HHI"), tag, kind, len(values)) + body
+    return head + data + out + bytes(8 if big else 4)
+
+
+def page(order, width, height, data, bits=8, samples=1, how=1, big=False, **more):
+    tags = [(256, 3, [width]), (257, 3, [height]), (258, 3, [bits]), (259, 3, [how]), (277, 3, [samples]), (273, 4, [16 if big else 8]), (278, 3, [height]), (279, 4, [len(data)])]
+    tags = [t for t in tags if f"t{t[0]}" not in more] + [(int(k[1:]), 3, v) for k, v in more.items()]
+    (got,) = tiff.read(directory(order, tags, data, big))
+    return got["pixels"] if got["error"] is None else got["error"]
+
+
+def test_tiff_bytes_by_hand():
+    """Files whose bytes are written out here, none by the library's writer."""
+    packed = bytes.fromhex("FEAA0280002AFDAA0380002A22F7AA")
+    plain = bytes.fromhex("AAAAAA80002AAAAAAAAA80002A22") + b"\xaa" * 10
+    assert tiff.unpack_bits(packed) == plain and page("<", 24, 1, packed, how=32773) == plain
+    codes = "".join(f"{c:09b}" for c in (256, 7, 258, 8, 8, 258, 6, 6, 257))
+    assert page(">", 9, 1, int(codes.ljust(88, "0"), 2).to_bytes(11, "big"), how=5) == bytes([7, 7, 7, 8, 8, 7, 7, 6, 6])
+    # 16 bits, either order; horizontal differences of them, and of the samples of colours
+    assert page(">", 3, 1, bytes([1, 0, 0, 255, 0, 1]), bits=16) == bytes([0, 1, 255, 0, 1, 0])
+    assert page(">", 3, 1, bytes([0, 255, 0, 1, 255, 255]), bits=16, t317=[2]) == struct.pack("<3H", 255, 256, 255)
+    assert page("<", 3, 1, bytes([10, 20, 30, 1, 1, 1, 255, 0, 2]), samples=3, t317=[2]) == bytes([10, 20, 30, 11, 21, 31, 10, 21, 33])
+    # floating point: 1.0 = 3F800000 and 2.0 = 40000000, bytes by weight (3F 40 80 00 00 00 00 00), then differences
+    assert page("<", 2, 1, bytes([0x3F, 0x01, 0x40, 0x80, 0, 0, 0, 0]), bits=32, t317=[3]) == struct.pack("<2f", 1, 2)
+    # colours in planes, in strips of one row each
+    assert page("<", 2, 1, bytes([1, 2, 3, 4, 5, 6]), samples=3, t284=[2], t273=[8, 10], t279=[2, 2]) == "strips or tiles are missing"
+    file = directory("<", [(256, 3, [2]), (257, 3, [1]), (258, 3, [8]), (259, 3, [1]), (277, 3, [2]), (284, 3, [2]), (278, 3, [1]), (273, 3, [8, 10]), (279, 3, [2, 2])], bytes([1, 2, 3, 4]))
+    assert tiff.read(file)[0]["pixels"] == bytes([1, 3, 2, 4])
+    # single bits, also in reversed order, and in planes; four bits in a tile of 16 by 16
+    assert page("<", 10, 2, bytes([0b10101010, 0b11000000, 1, 0]), bits=1) == bytes([0b10101010, 0b11000000, 1, 0])
+    assert page("<", 10, 1, bytes([0b00000001, 0b00000010]), bits=1, t266=[2]) == bytes([0b10000000, 0b01000000])
+    planes = directory("<", [(256, 3, [4]), (257, 3, [1]), (258, 3, [1]), (259, 3, [1]), (277, 3, [2]), (284, 3, [2]), (278, 3, [1]), (273, 3, [8, 9]), (279, 3, [1, 1])], bytes([0b11000000, 0b10100000]))
+    assert tiff.read(planes)[0]["pixels"] == bytes([0b11100100])
+    tile = bytes(range(128))
+    four = directory(">", [(256, 3, [3]), (257, 3, [2]), (258, 3, [4]), (259, 3, [1]), (322, 3, [16]), (323, 3, [16]), (324, 4, [8]), (325, 4, [128])], tile)
+    assert tiff.read(four)[0]["pixels"] == bytes([0, 1, 8, 9])
+    assert page("<", 4, 1, b"abcd", big=True) == b"abcd" and page(">", 4, 1, b"abcd", big=True) == b"abcd"
+
+
+def test_tiff_damage():
+    """What breaks off is an error, and no page is larger than allowed."""
+    whole = np.arange(3000, dtype=np.uint8).tobytes()
+    for how, data in ((1, whole), (8, zlib.compress(whole)), (5, tiff.pack_lzw(whole)), (32773, tiff.pack_bits(whole))):
+        assert page("<", 3000, 1, data, how=how) == whole
+        assert "bytes of 3000" in page("<", 3000, 1, data[: len(data) // 2], how=how)
+    assert "bytes of" in page("<", 3000, 3000, whole[:100], bits=8)
+    huge = directory("<", [(256, 4, [100_000]), (257, 4, [100_000]), (258, 3, [8]), (259, 3, [1]), (273, 4, [8]), (279, 4, [4])], b"abcd")
+    assert "10000000000 bytes" in tiff.read(huge)[0]["error"] and "4 bytes;" in tiff.read(directory("<", [(256, 3, [4]), (257, 3, [1]), (258, 3, [8]), (273, 4, [8]), (279, 4, [4])], b"abcd"), most=3)[0]["error"]
+    assert page("<", 4, 1, b"abcd", t273=[60_000]) == "strip or tile beyond the end"
+    two = tiff.write([np.zeros((2, 4), np.uint8)] * 2, 1)
+    assert [p["error"] is None for p in tiff.read(two[:-40])] == [True, False]
+
+
+def test_tiff_query_by_brute_force(spark, tmp_path):
+    """Every page of every kind: size, sum and checksum as of the text's bytes themselves, padded to whole rows."""
+    html = [(i, None if i == 5 else "" if i == 6 else prose(RNG.randint(1, 3000)) + "é" * (i % 7) + ("x" * 150_000 if i % 50 == 0 else "")) for i in range(192)]
+    spark.createDataFrame(html + [(7, html[7][1]), (None, "no id")], "page_id bigint, html string").withColumn("media", F.lit(1)).withColumn("error", F.lit("own")).write.parquet(str(tmp_path / "pages.parquet"))
+    got = collections.Counter((r.page_id, r.page_no, r.n_bytes, r.pixel_sum, r.crc32, r.error) for r in tiff.op4_tiff(spark, str(tmp_path)).collect())
+    want = collections.Counter()
+    for i, text in html + [html[7], (None, "no id")]:
+        kind, samples, _ = tiff.SAMPLES[(i or 0) // 32 % 6]
+        line = 32 if kind == "?" else 256 * samples * int(kind[1])
+        raw = (text or "").encode()
+        for no in range(max(1, -(-len(raw) // 65_536)) if text is not None else 0):
+            part = raw[no * 65_536 : (no + 1) * 65_536]
+            part = part.ljust(max(1, -(-len(part) // line)) * line, b"\0")
+            want[i, no, len(part), sum(part), zlib.crc32(part), None] += 1
+    assert got == want
+
+
+def slow_scan(templates, text, shortest, gap, coverage):
+    """License spans straight from the definition: every stretch compared with every place of every template, every chain tried."""
+    names = sorted(templates)
+    lists = [licenses._TOKEN.findall(templates[n].lower()) for n in names]
+    file = licenses._TOKEN.findall(text.lower())
+    places = lambda words: [(k, e) for k, t in enumerate(lists) for e in range(len(words), len(t) + 1) if t[e - len(words) : e] == words]
+    longest = [max([n for n in range(i + 1) if places(file[i - n : i])], default=0) if i else 0 for i in range(len(file) + 1)]
+    found = [(i, n) for i, n in enumerate(longest) if n >= shortest and (i == len(file) or longest[i + 1] != n + 1)]
+    spans = []
+    for k in range(len(lists)):
+        matches = sorted((i, e, n) for i, n in found for k2, e in places(file[i - n : i]) if k2 == k)
+        best, back = [m[2] for m in matches], [-1] * len(matches)
+        for a, (i, e, n) in enumerate(matches):
+            for b in range(a - 1, -1, -1):
+                i2, e2, _ = matches[b]
+                new = min(n, i - i2, e - e2)
+                if new > 0 and i - n - i2 <= gap and best[b] + new > best[a]:
+                    best[a], back[a] = best[b] + new, b
+        used = set()
+        for a in sorted(range(len(matches)), key=lambda a: (-best[a], a)):
+            path, b = [], a
+            while b >= 0 and b not in used:
+                path.append(b)
+                b = back[b]
+            if a not in used and b < 0 and best[a] >= coverage * len(lists[k]):
+                spans.append((k, matches[path[-1]][0] - matches[path[-1]][2], matches[a][0], best[a]))
+            used.update(path)
+    kept = []
+    for x in sorted(spans, key=lambda x: (-x[3], -x[3] / len(lists[x[0]]), x[1], x[0])):
+        if all(x[2] <= y[1] or y[2] <= x[1] for y in kept):
+            kept.append(x)
+    return [(names[k], a, b, c, round(min(1.0, c / len(lists[k])), 6)) for k, a, b, c in sorted(kept, key=lambda x: (x[1], x[0]))]
+
+
+def test_licenses_by_brute_force(spark):
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(6)]
+    templates = {f"t{k}": " ".join(rng.choice(words) for _ in range(rng.randint(6, 30))) for k in range(5)}
+    texts = []
+    for _ in range(60):
+        parts = []
+        for _ in range(rng.randint(1, 5)):
+            t = rng.choice(list(templates.values())).split()
+            a = rng.randint(0, len(t) - 1)
+            parts += [w for w in t[a : a + rng.randint(3, 30)] if rng.random() < 0.93] + [rng.choice([*words, "other", "more"]) for _ in range(rng.randint(0, 6))]
+        texts.append(" ".join(parts))
+    rows = [(i, t) for i, t in enumerate(texts)] + [(0, texts[0]), (None, texts[1]), (70, ""), (71, None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("license", F.lit("own")).withColumn("coverage", F.lit(2))
+    got = collections.Counter(tuple(r) for r in licenses.scan(df, templates).collect())
+    want = collections.Counter((i, *s) for i, t in rows for s in (slow_scan(templates, t, licenses.SHORTEST, licenses.GAP, licenses.COVERAGE) if t else []))
+    assert got == want and len(want) > 40
+
+
+def test_licenses_by_name():
+    """Each template names itself, whole, among other words; texts that share most of their words are told apart."""
+    scanner = licenses.Scanner(licenses.TEMPLATES)
+    for name, text in licenses.TEMPLATES.items():
+        assert [(f[0], f[4]) for f in scanner.scan(f"Some words. {text} And more.")] == [(name, 1.0)]
+    bsd = licenses.TEMPLATES["BSD disclaimer"]
+    assert [f[0] for f in scanner.scan(bsd)] == ["BSD disclaimer"] and scanner.scan(" ".join(bsd.split()[:40])) == []
+
+
+def test_quality_by_brute_force():
+    """The network's probability by loops over filters, bytes and chunks."""
+    net = quality.fit([prose(80) for _ in range(20)] + ["zz!! " * 90 for _ in range(20)], [1] * 20 + [0] * 20, epochs=2)
+    for text in ("", "a", "abc", prose(30), prose(700), "é" * 400):
+        raw = b"  " + text.encode() + b"  "
+        raw = raw if len(raw) >= 5 else b"     "
+        r = [[max(0.0, float(net.bias[f]) + sum(float(net.table[j, raw[i + j], f]) for j in range(5))) for f in range(quality.FILTERS)] for i in range(len(raw) - 4)]
+        halves = [r[i : i + 256] for i in range(0, len(r), 256)]
+        logits = []
+        for chunk in [a + b for a, b in zip(halves, halves[1:])] or halves:
+            x = [max(col) for col in zip(*chunk)] + [sum(col) / len(chunk) for col in zip(*chunk)]
+            logits.append(sum(float(w) * v for w, v in zip(net.dense, x)) + net.out)
+        assert abs(net.probability(text) - 1 / (1 + np.exp(-np.mean(logits)))) < 1e-4
+
+
+def held_out(name):
+    from pathlib import Path
+
+    import pyarrow.parquet as pq
+
+    at = Path("/root/testdata/sf0.01")
+    if not at.exists():
+        pytest.skip("no test tables here")
+    docs, labels = (pq.read_table(at / f"{t}.parquet").to_pandas() for t in ("documents", "labels"))
+    rows = docs.merge(labels.groupby("doc_id")[name].max().dropna().reset_index(), on="doc_id").drop_duplicates("text")
+    return [(t, int(v), zlib.crc32(t.encode()) % 2) for t, v in zip(rows.text, rows[name])]
+
+
+def test_quality_held_out():
+    rows, right = held_out("quality"), []
+    for fold in (0, 1):
+        net = quality.fit([t for t, _, f in rows if f != fold], [v for _, v, f in rows if f != fold])
+        right += [(v, (net.probability(t) >= quality.THRESHOLD) == bool(v)) for t, v, f in rows if f == fold]
+    for v in (0, 1):
+        own = [ok for w, ok in right if w == v]
+        assert sum(own) >= 0.85 * len(own)
+
+
+def test_toxicity_held_out():
+    rows, caught, flagged = held_out("toxic"), [], []
+    for fold in (0, 1):
+        own = [(t, v) for t, v, f in rows if f != fold]
+        m = toxicity.fit([t for t, v in own if v], [t for t, _ in own], sum(v for _, v in own) / len(own))
+        for t, v, f in rows:
+            if f == fold:
+                (caught if v else flagged).append(m.probability(t) >= toxicity.THRESHOLD)
+    assert sum(caught) >= 0.6 * len(caught) and sum(flagged) <= 0.05 * len(flagged)
+
+
+def test_toxicity_threshold():
+    """No threshold of two thousand loses less."""
+    rng = np.random.default_rng(0)
+    toxic, clean = rng.beta(4, 2, 80), rng.beta(2, 5, 300)
+    tries = np.r_[np.linspace(0, 1, 2001)]
+    best = min((toxic < t).mean() + 2 * (clean >= t).mean() for t in tries)
+    t = toxicity.least_loss(toxic, clean, 2.0)
+    assert (toxic < t).mean() + 2 * (clean >= t).mean() <= best + 1e-9
+    assert toxicity.least_loss(toxic, clean[:0]) == toxicity.THRESHOLD
+
+
+def test_toxicity_train_is_fit(spark):
+    """Counting on the executors comes to the classifiers that the driver alone would make."""
+    bad = [prose(30) + " wretch " + prose(30) for _ in range(40)]
+    good = [prose(60) for _ in range(120)]
+    rows = list(enumerate(bad + good))
+    docs = spark.createDataFrame(rows + [(500, None), (None, "wretch")], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, int(i < 40)) for i, _ in rows] + [(500, 1), (None, 1), (0, None)], "doc_id bigint, toxic int")
+    model = toxicity.train(docs, labels)
+    assert sum(model.toxic(t) for t in bad) >= 38 and sum(model.toxic(t) for t in good) <= 3
+    out = {r.doc_id: r for r in toxicity.score(docs, model).collect()}
+    assert all(out[i].p_toxic == model.probability(t) and out[i].toxic == model.toxic(t) for i, t in rows) and out[500].p_toxic is None and not out[500].toxic
+    left = toxicity.score(docs, model, threshold=out[0].p_toxic).where("doc_id = 0").first()
+    assert left.toxic  # a tie with the threshold
+
+
+def test_pipeline_by_brute_force(spark, tmp_path):
+    """All five stages over a small corpus with copies, near copies, shared passages and toxic documents, each stage written out here."""
+    import hashlib
+    import math
+    import re
+
+    import corpus_pipeline
+
+    rng = random.Random(12)
+    base = [" ".join(rng.choice(WORDS) for _ in range(rng.randint(70, 160))) for _ in range(60)]
+    shared = [" ".join(rng.choice(WORDS) for _ in range(60)) for _ in range(2)]
+    texts = base + [base[3], base[4] + " end", base[5].replace(" ", "  ", 3)] + [f"{base[i][:200]} {shared[i % 2]}\n\n{base[i + 1][:150]}" for i in range(10, 18)]
+    texts += [" ".join(rng.choice(WORDS) if rng.random() > 0.1 else "wretch" for _ in range(90)) for _ in range(25)] + ["", None, "short", "\u00e9 \U0001f642 \u4f60\u597d"]
+    rows = [(i, t, rng.choice(["en", "de", None]), rng.choice(["a", "a", "a", "b", "c", None]), len(t or "")) for i, t in enumerate(texts)]
+    rows.append(rows[0])
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, 1, int("wretch" in (t or ""))) for i, t, *_ in rows if i % 3], "doc_id bigint, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    got = collections.Counter((r.doc_id, r.lang, r.source, None if r.token_ids is None else tuple(r.token_ids)) for r in corpus_pipeline.run(spark, str(tmp_path)).collect())
+
+    docs = [r[:4] for r in rows]
+    model = toxicity.train(spark.read.parquet(str(tmp_path / "documents.parquet")), spark.read.parquet(str(tmp_path / "labels.parquet")))
+    kept = [r for r in docs if not model.toxic(r[1])]
+    assert 15 <= len(docs) - len(kept) <= 30
+    docs = sorted(set(kept), key=lambda r: r[0])
+    worded = [r for r in docs if r[1] and re.search(r"\w", r[1])]
+    fp = simhash.fingerprints([r[1] for r in worded])
+    near = np.bitwise_count(fp[:, None] ^ fp[None]).sum(2) <= simhash.THRESHOLD
+    root = list(range(len(worded)))
+    for _ in worded:
+        root = [min(root[j] for j in np.flatnonzero(near[i])) for i in range(len(worded))]
+    gone = {worded[i][0] for i in range(len(worded)) if root[i] != i}
+    assert {60, 61, 62} <= gone
+    docs = [r for r in docs if r[0] not in gone]
+    cuts = collections.defaultdict(set)
+    for d, a, b, _ in passages([r[:2] for r in docs], repeats.WINDOW):
+        cuts[d] |= set(range(a, b))
+    assert len(cuts) >= 5
+    left = []
+    for d, t, lang, source in docs:
+        if cuts[d]:
+            words = list(re.finditer(r"[^ \t\n\r\f\v]+", t))
+            starts = [w.start() for w in words] + [len(t)]
+            t = t[: starts[0]] + "".join(t[starts[i] : starts[i + 1]] for i in range(len(words)) if i not in cuts[d])
+            if not t.strip(" \t\n\r\f\v"):
+                continue
+        left.append((d, t, lang, source))
+    by = collections.defaultdict(list)
+    for r in sorted(left):
+        by[r[3] or ""].append(r)
+    weight = {s: math.floor(math.sqrt(len(own)) * 1e6) for s, own in by.items()}
+    enc = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=load_ranks(read_bytes(TOKENIZER)), special_tokens={})
+    want = collections.Counter()
+    for s, own in by.items():
+        part = len(left) * weight[s] / sum(weight.values()) / len(own)
+        u = int(hashlib.md5(f"mix-1|{s}".encode()).hexdigest()[:8], 16) / 4294967296.0
+        for k, (d, t, lang, source) in enumerate(own, 1):
+            want[d, lang, source, None if t is None else tuple(enc.encode_ordinary(t))] += math.floor(k * part + u) - math.floor((k - 1) * part + u)
+    assert got == +want and sum(got.values()) > 60
