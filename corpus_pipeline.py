@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from orrery.llm.bpe import encode_stage
-from orrery.llm.common import shared_dir
+from orrery.llm.common import cut
 from orrery.llm.mixing import mix_stage
 from orrery.llm.repeats import remove_stage
 from orrery.llm.simhash import dedup_stage
@@ -22,7 +20,7 @@ STAGES = [
     ("byte-level bpe", encode_stage),
 ]
 
-#: SQL cannot express the stages; the tests hold run() against brute force.
+#: SQL cannot express the stages; tests/llm/test_llm.py holds run() against all five written out by brute force.
 ORACLE_SQL = None
 
 
@@ -32,7 +30,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            path = f"{shared_dir(spark)}/stage-{k}-{uuid.uuid4().hex}"
-            docs.write.parquet(path)
-            docs = spark.read.parquet(path)
+            docs = cut(docs)
     return docs
