@@ -27,3 +27,11 @@ class AlreadyExists(ValueError):
 
 class Backpressure(RuntimeError):
     pass
+
+
+class CasMismatch(RuntimeError):
+    pass
+
+
+class Corrupt(RuntimeError):
+    pass

@@ -139,6 +139,9 @@ def _literal(value: Any, t: T.DataType) -> Column:
 
 
 def _comparable(value: Any, t: T.DataType) -> bool:
+    """Of one kind, and a number that a column can hold: NaN equals nothing, and no value has more than 64 bits."""
+    if isinstance(value, int) and not isinstance(value, bool) and not -(2**63) <= value < 2**63:
+        return False
     return _kind(value) == _column_kind(t) and not (isinstance(value, float) and math.isnan(value))
 
 
@@ -200,3 +203,12 @@ def compile_filter(f: Filter, schema: T.StructType, negated: bool = False) -> Co
 def flag(f: Filter, schema: T.StructType) -> Column:
     """The filter as a value to project, true or false."""
     return F.coalesce(compile_filter(f, schema), F.lit(False))
+
+
+def whole_arrays(f: Filter | None) -> bool:
+    """Whether some part of the filter compares a whole array."""
+    if isinstance(f, Not):
+        return whole_arrays(f.part)
+    if isinstance(f, (And, Or)):
+        return any(map(whole_arrays, f.parts))
+    return isinstance(f, Eq) and _kind(f.value) == "array"

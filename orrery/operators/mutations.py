@@ -6,7 +6,7 @@ attributes an operation mentions, so that a patch can clear one by mentioning it
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orrery.errors import InvalidWrite
@@ -18,15 +18,16 @@ UPSERT, PATCH, DELETE = "upsert", "patch", "delete"
 def fold(log: DataFrame, attributes: list[str], id_col: str = "id") -> DataFrame:
     """The live documents: for each id the last upsert or delete resets it, and what comes after is laid over by attribute.
 
-    One shuffle by id; the aggregates combine before it.  A delete followed by patches recreates the document.
+    One aggregate by id, which combines before its shuffle and holds one value of each attribute however long an id's history is.
+    A delete followed by patches recreates the document.
     """
     pos = F.struct("seq", "op_idx")
-    reset = F.max(F.when(F.col("op") != PATCH, pos)).over(Window.partitionBy(id_col))
-    live = log.withColumn("_pos", pos).withColumn("_reset", reset).where("_reset IS NULL OR _pos >= _reset")
+    mentioned = lambda a: F.array_contains("set", a) & (F.col("op") != DELETE)
     # a mention is kept as a struct, so that a cleared attribute differs from one not mentioned
-    cells = [F.max_by(F.when(F.array_contains("set", a) & (F.col("op") != DELETE), F.struct(F.col(a).alias("v"))), F.when(F.array_contains("set", a) & (F.col("op") != DELETE), F.col("_pos"))).alias(a) for a in attributes]
-    last = F.max_by("op", "_pos").alias("_last")
-    return live.groupBy(id_col).agg(last, *cells).where(F.col("_last") != DELETE).select(id_col, *(F.col(a)["v"].alias(a) for a in attributes))
+    cells = [F.max_by(F.when(mentioned(a), F.struct(pos.alias("p"), F.col(f"`{a}`").alias("v"))), F.when(mentioned(a), pos)).alias(f"_c{i}") for i, a in enumerate(attributes)]
+    last = log.groupBy(id_col).agg(F.max_by("op", pos).alias("_last"), F.max(F.when(F.col("op") != PATCH, pos)).alias("_reset"), *cells).where(F.col("_last") != DELETE)
+    live = lambda c: F.when(F.col("_reset").isNull() | (F.col(f"{c}.p") >= F.col("_reset")), F.col(f"{c}.v"))
+    return last.select(id_col, *(live(f"_c{i}").alias(a) for i, a in enumerate(attributes)))
 
 
 def newest(rows: DataFrame, id_col: str, order: str) -> DataFrame:
@@ -42,11 +43,18 @@ def overlay(base: DataFrame, ops: DataFrame, attributes: list[str], id_col: str
     return fold(first.unionByName(ops.select("seq", F.col("op_idx").cast("int"), id_col, "op", *attributes, "set")), attributes, id_col)
 
 
-def conditional(state: DataFrame, ops: DataFrame, condition: Filter, id_col: str = "id") -> DataFrame:
-    """``ops`` with ``applied``: whether the row there is meets the condition.  Without a row an upsert applies, a patch or delete doesn't."""
-    there = state.select(F.col(id_col).alias("_id"), flag(condition, state.schema).alias("_ok"))
+def conditional(state: DataFrame, ops: DataFrame, condition: Filter | list[Filter | None], id_col: str = "id") -> DataFrame:
+    """``ops`` with ``applied``: whether the row there is meets the condition.  Without a row an upsert applies, a patch or delete doesn't.
+
+    Where conditions are a list, a column ``cond`` of ``ops`` says which one an operation has; one without a condition applies always.
+    """
+    every = condition if isinstance(condition, list) else [condition]
+    flags = [F.lit(True) if c is None else flag(c, state.schema) for c in every]
+    there = state.select(F.col(id_col).alias("_id"), F.array(*flags).alias("_ok"))
     joined = ops.join(there, ops[id_col] == there["_id"], "left")
-    return joined.withColumn("applied", F.when(F.col("_id").isNull(), F.col("op") == UPSERT).otherwise(F.col("_ok"))).drop("_id", "_ok")
+    which = F.col("cond") if isinstance(condition, list) else F.lit(0)
+    free = F.array(*(F.lit(c is None) for c in every))[which]
+    return joined.withColumn("applied", free | F.when(F.col("_id").isNull(), F.col("op") == UPSERT).otherwise(F.col("_ok")[which])).drop("_id", "_ok")
 
 
 def outcome(tried: DataFrame) -> DataFrame:

@@ -8,10 +8,12 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from orrery.errors import InvalidQuery
-from orrery.functions import text, vectors
+from orrery.functions import ids, text, vectors
 from orrery.operators.filters import Filter, compile_filter
+from orrery.operators.textindex import TextIndex
 
 MAX_RESULTS, MAX_QUERY_BYTES = 10_000, 1_024
 
@@ -36,20 +38,27 @@ def _occurrences(term: str) -> Column:
     return F.size(F.filter("_t", lambda t: t == term))
 
 
-def bm25(df: DataFrame, id_col: str, column: str, query: str, params: Bm25 = Bm25(), keep: Filter | None = None) -> DataFrame:
+def bm25(df: DataFrame, id_col: str, column: str, query: str, params: Bm25 = Bm25(), keep: Filter | None = None, index: TextIndex | None = None, k: int | None = None) -> DataFrame:
     """``(id_col, score)`` of every document with a term of ``query``; statistics are those of the whole of ``df``, and ``keep`` filters after.
 
-    One scan: documents count each query term in place, and only those counts and lengths are aggregated.
+    With a text index of ``df`` only the query's postings are read, and without a filter only the blocks that can hold one of the best ``k``.  Without an
+    index every document is split once: it counts each query term in place, and only those counts and lengths are aggregated.
     """
     if len(query.encode()) > MAX_QUERY_BYTES:
         raise InvalidQuery(f"a text query has at most {MAX_QUERY_BYTES} bytes")
     if column not in df.columns:
         raise InvalidQuery(f"no column {column}")
-    terms = sorted(Counter(text.tokenize_query(query)).items())
+    kind = df.schema[column].dataType
+    if not isinstance(kind.elementType if isinstance(kind, T.ArrayType) else kind, T.StringType):
+        raise InvalidQuery(f"{column} holds no text")
+    if index is not None:
+        hits = index.search(query, params.k1, params.b, params.k3, k if keep is None else None).withColumnRenamed("id", id_col)
+        return hits if keep is None else hits.join(df.where(compile_filter(keep, df.schema)).select(id_col), id_col, "left_semi")
+    terms = sorted(Counter(text.tokenize_query(df.sparkSession, query)).items())
     if not terms:
         return df.select(id_col, F.lit(0.0).alias("score")).where(F.lit(False))
     kept = compile_filter(keep, df.schema) if keep is not None else F.lit(True)
-    counted = df.select(id_col, F.coalesce(kept, F.lit(False)).alias("_kept"), text.column_tokens(df, column).alias("_t")).where(F.size("_t") > 0)
+    counted = text.token_rows(df, id_col, column, F.coalesce(kept, F.lit(False)).alias("_kept")).where(F.size("_t") > 0)
     tf = [_occurrences(w).alias(f"_tf{i}") for i, (w, _) in enumerate(terms)]
     rows = counted.select(id_col, "_kept", F.size("_t").alias("_len"), *tf)
     stats = rows.agg(F.count(F.lit(1)).cast("double").alias("_n"), F.sum("_len").cast("double").alias("_total"), *(F.sum((F.col(f"_tf{i}") > 0).cast("double")).alias(f"_df{i}") for i in range(len(terms))))
@@ -66,17 +75,19 @@ def bm25(df: DataFrame, id_col: str, column: str, query: str, params: Bm25 = Bm2
 
 def knn(df: DataFrame, id_col: str, column: str, query: Column | list[float], metric: str = "cosine", keep: Filter | None = None) -> DataFrame:
     """``(id_col, score)`` of every row that has the vector and passes ``keep``, which is applied below the score."""
-    vector = query if isinstance(query, Column) else vectors.literal(query, None, metric)
     kept = df if keep is None else df.where(compile_filter(keep, df.schema))
-    return kept.where(F.col(column).isNotNull()).select(id_col, vectors.score(metric, F.col(column), vector).alias("score"))
+    vec = F.col(column)
+    scored = vectors.score(metric, vec, query) if isinstance(query, Column) else vectors.batch_score(metric, vec, query)
+    return kept.where(vec.isNotNull()).select(id_col, scored.alias("score"))
 
 
 def top(scored: DataFrame, id_col: str, k: int, limit: int = MAX_RESULTS) -> DataFrame:
     """The best ``min(k, limit)`` rows with their ``rank`` from 1; ties go to the lesser id."""
     check_k(k)
-    best = scored.orderBy(F.col("score").desc(), F.col(id_col).asc()).limit(min(k, limit))
+    order = [F.col("score").desc(), *ids.ascending(scored, id_col)]
+    best = scored.orderBy(*order).limit(min(k, limit))
     # at most 10,000 rows
-    return best.withColumn("rank", F.row_number().over(Window.orderBy(F.col("score").desc(), F.col(id_col).asc())))
+    return best.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
 
 
 def rrf(rankings: list[DataFrame], id_col: str, k: int = 60) -> DataFrame:

@@ -5,21 +5,21 @@ Scores are rounded to 6 places and sums of money to 2; ranked results carry ``ra
 
 from __future__ import annotations
 
-import atexit
-import os
-import shutil
-import tempfile
 from collections.abc import Callable
-from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from orrery.errors import InvalidWrite
-from orrery.functions import text, vectors
+from orrery.functions import ids, text, vectors
 from orrery.operators import ivf, mutations, ranking
+from orrery.operators.attributes import AttributeIndex
 from orrery.operators.filters import And, Eq, Filter, Not, Or, Range, between, compile_filter, eq, gte, present
-from orrery.plans.query import Query, aggregate, execute, ordered
+from orrery.operators.textindex import TextIndex
+from orrery.plans import oracles
+from orrery.plans.query import Indexes, Query, aggregate, execute, ordered
+from orrery.sources.collection import Collection
+from orrery.sources.json_rows import documents as json_documents
+from orrery.sources.storage import work_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -92,15 +92,26 @@ for _name, _table, _filter, _cols, _from, _where in [
     define(_name, f"SELECT {', '.join(_cols)} FROM {_from} WHERE {_where}", lambda s, d, t=_table, f=_filter, c=_cols: filtered(t(s, d) if callable(t) else table(s, d, t), f).select(*c))
 
 
-def postings(df: DataFrame, id_col: str, columns: list[str]) -> DataFrame:
-    """``(column, value, id)``: an inverted table of the attributes, in one pass."""
-    cells = F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns))
-    return df.select(F.col(id_col).alias("id"), F.explode(cells).alias("c")).select("c.*", "id").where("value IS NOT NULL")
+_built: dict[tuple, object] = {}
 
 
-_POST = "SELECT 'lang' AS \"column\", lang AS value, doc_id FROM documents UNION ALL SELECT 'source', source, doc_id FROM documents"
-define("postings_build", f'SELECT "column", value, count(*) AS n_ids, min(doc_id) AS first_id FROM ({_POST}) WHERE value IS NOT NULL GROUP BY 1, 2', lambda s, d: postings(table(s, d, "documents"), "doc_id", ["lang", "source"]).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n_ids"), F.min("id").alias("first_id")))
-define("postings_eq", "SELECT doc_id AS id FROM documents WHERE source = 'src7'", lambda s, d: postings(table(s, d, "documents"), "doc_id", ["lang", "source"]).where("column = 'source' AND value = 'src7'").select("id"))
+def once(s: SparkSession, key: tuple, build: Callable):
+    """What ``build`` gives, built once for a session and key: an index lies in the shared folder, and only where it lies is held."""
+    key = (s.sparkContext.applicationId, *key)
+    if key not in _built:
+        _built[key] = build()
+    return _built[key]
+
+
+def attributes(s: SparkSession, d: str) -> AttributeIndex:
+    return once(s, ("attributes", d), lambda: AttributeIndex.build(table(s, d, "documents"), "doc_id", ["lang", "source", "n_chars"], work_path(s, "attributes-")))
+
+
+_POST = "SELECT 'lang' AS \"column\", lang AS value, doc_id FROM documents UNION ALL SELECT 'source', source, doc_id FROM documents UNION ALL SELECT 'n_chars', n_chars::DOUBLE::VARCHAR, doc_id FROM documents"
+define("postings_build", f'SELECT "column", value, count(*) AS n_ids, min(doc_id) AS first_id FROM ({_POST}) WHERE value IS NOT NULL AND "column" <> \'n_chars\' GROUP BY 1, 2', lambda s, d: s.read.parquet(attributes(s, d).path).where("column <> 'n_chars'").groupBy("column", F.col("text").alias("value")).agg(F.count(F.lit(1)).alias("n_ids"), F.min("id").alias("first_id")))
+define("postings_eq", "SELECT doc_id AS id FROM documents WHERE source = 'src7'", lambda s, d: attributes(s, d).ids_for_eq("source", "src7"))
+define("postings_range", "SELECT DISTINCT doc_id AS id FROM documents WHERE n_chars >= 500 AND n_chars < 900", lambda s, d: attributes(s, d).ids_for_range("n_chars", (500, True), (900, False)))
+define("postings_all", "SELECT DISTINCT doc_id AS id FROM documents WHERE lang IS NOT NULL", lambda s, d: attributes(s, d).all_ids("lang"))
 
 # ---------------------------------------------------------------- aggregates and order
 
@@ -143,12 +154,21 @@ def threads(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "conversations").where("text IS NOT NULL").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]).alias("texts"))
 
 
+def text_index(s: SparkSession, d: str) -> TextIndex:
+    return once(s, ("text", d), lambda: TextIndex.build(table(s, d, "documents"), "doc_id", "text", work_path(s, "text-")))
+
+
+def thread_index(s: SparkSession, d: str) -> TextIndex:
+    return once(s, ("threads", d), lambda: TextIndex.build(threads(s, d), "conv_id", "texts", work_path(s, "threads-")))
+
+
 define("tokenize", f"SELECT doc_id, len({_TOK.format('text')})::INT AS n_tokens, md5(list_aggregate({_TOK.format('text')}, 'string_agg', ' ')) AS digest FROM documents", lambda s, d: table(s, d, "documents").select("doc_id", F.size(text.tokens(F.col("text"))).alias("n_tokens"), F.md5(F.array_join(text.tokens(F.col("text")), " ")).alias("digest")))
 define("tokenize_array", f"SELECT conv_id, len(flatten(list_transform(texts, lambda x: {_TOK.format('x')})))::INT AS n_tokens FROM ({_CONV})", lambda s, d: (lambda t: t.select("conv_id", F.size(text.column_tokens(t, "texts")).alias("n_tokens")))(threads(s, d)))
 define("text_tf", _TF, lambda s, d: text.term_frequencies(table(s, d, "documents"), "doc_id", "text"))
 define("text_term_df", f"SELECT term, count(*) AS df, sum(tf)::BIGINT AS n FROM ({_TF}) GROUP BY term", lambda s, d: text.term_frequencies(table(s, d, "documents"), "doc_id", "text").groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("n")))
 define("text_field_stats", f"SELECT count(*) AS doc_count, sum(n)::BIGINT AS total_len FROM (SELECT len({_TOK.format('text')}) AS n FROM documents) WHERE n > 0", lambda s, d: text.field_stats(table(s, d, "documents"), "text"))
-define("text_postings", f"SELECT term, count(*) AS df, max(tf) AS max_tf, min(doc_id) AS first_id FROM ({_TF}) GROUP BY term", lambda s, d: text.term_frequencies(table(s, d, "documents"), "doc_id", "text").groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.max("tf").alias("max_tf"), F.min("doc_id").alias("first_id")))
+define("text_postings", f"SELECT term, count(*) AS df, max(tf) AS max_tf, min(doc_id) AS first_id FROM ({_TF}) GROUP BY term", lambda s, d: text_index(s, d).blocks.select("term", "max_tf", "n", F.array_min("ids").alias("first")).groupBy("term").agg(F.sum("n").alias("df"), F.max("max_tf").cast("long").alias("max_tf"), F.min("first").alias("first_id")))
+define("text_term_stats", f"SELECT term, count(*) AS df, max(tf) AS max_tf FROM ({_TF}) GROUP BY term", lambda s, d: text_index(s, d).term_stats().drop("blocks"))
 
 
 def bm25_sql(terms: dict[str, int], k1: float = 1.2, b: float = 0.75, k3: float = 8.0, source: str = "SELECT doc_id AS id, {0} AS toks, * FROM documents", where: str = "true") -> str:
@@ -168,8 +188,8 @@ def top_sql(k: int, name: str = "doc_id") -> str:
     return f" SELECT id AS {name}, round(score, 6) + 0.0 AS score, row_number() OVER (ORDER BY score DESC, id)::INT AS rank FROM hits QUALIFY rank <= {k}"
 
 
-def top_text(df: DataFrame, id_col: str, column: str, q: str, k: int, params: ranking.Bm25 = ranking.Bm25(), keep: Filter | None = None) -> DataFrame:
-    return ranking.top(ranking.bm25(df, id_col, column, q, params, keep), id_col, k).withColumn("score", F.round("score", 6))
+def top_text(df: DataFrame, id_col: str, column: str, q: str, k: int, params: ranking.Bm25 = ranking.Bm25(), keep: Filter | None = None, index: TextIndex | None = None) -> DataFrame:
+    return ranking.top(ranking.bm25(df, id_col, column, q, params, keep, index, k), id_col, k).withColumn("score", F.round("score", 6))
 
 
 for _name, _q, _terms, _k, _params, _keep, _where in [
@@ -178,13 +198,15 @@ for _name, _q, _terms, _k, _params, _keep, _where in [
     ("bm25_topk", "the license", {"the": 1, "license": 1}, 10, {}, None, "true"),
     ("bm25_filtered", "attion thing", {"attion": 1, "thing": 1}, 20, {}, And((eq("lang", "en"), gte("n_chars", 500))), "lang = 'en' AND n_chars >= 500"),
     ("bm25_params", "attion thing", {"attion": 1, "thing": 1}, 20, {"k1": 2.0, "b": 0.3, "k3": 2.0}, None, "true"),
+    ("bm25_case", "ATTION Thing", {"attion": 1, "thing": 1}, 20, {}, None, "true"),
     ("bm25_repeated_term", "attion attion thing", {"attion": 2, "thing": 1}, 20, {}, None, "true"),
 ]:
-    define(_name, bm25_sql(_terms, **_params, where=_where) + top_sql(_k), lambda s, d, q=_q, k=_k, p=_params, f=_keep: top_text(table(s, d, "documents"), "doc_id", "text", q, k, ranking.Bm25(**p), f))
+    define(_name, bm25_sql(_terms, **_params, where=_where) + top_sql(_k), lambda s, d, q=_q, k=_k, p=_params, f=_keep: top_text(table(s, d, "documents"), "doc_id", "text", q, k, ranking.Bm25(**p), f, text_index(s, d)))
 
+define("bm25_scan", bm25_sql({"attion": 1, "thing": 1, "ention": 1}) + top_sql(50), lambda s, d: top_text(table(s, d, "documents"), "doc_id", "text", "attion thing ention", 50))
 define("bm25_empty", "SELECT doc_id, 0.0::DOUBLE AS score, 1::INT AS rank FROM documents WHERE false", lambda s, d: top_text(table(s, d, "documents"), "doc_id", "text", "!!", 10))
-define("bm25_array", bm25_sql({"attion": 1, "thing": 1}, source=f"SELECT conv_id AS id, flatten(list_transform(texts, lambda x: {_TOK.format('x')})) AS toks FROM ({_CONV})") + top_sql(20, "conv_id"), lambda s, d: top_text(threads(s, d), "conv_id", "texts", "attion thing", 20))
-define("text_agg", bm25_sql({"attion": 1, "thing": 1}, where="lang = 'en'") + " SELECT count(*) AS count, count(n_chars) AS sum_n_chars_values, coalesce(sum(n_chars::DOUBLE), 0.0) AS sum_n_chars FROM hits JOIN docs USING (id)", lambda s, d: execute(table(s, d, "documents"), "doc_id", Query(filter=eq("lang", "en"), aggregates=("Count", ("Sum", "n_chars")), text={"column": "text", "query": "attion thing", "k": 10})).aggregates)
+define("bm25_array", bm25_sql({"attion": 1, "thing": 1}, source=f"SELECT conv_id AS id, flatten(list_transform(texts, lambda x: {_TOK.format('x')})) AS toks FROM ({_CONV})") + top_sql(20, "conv_id"), lambda s, d: top_text(threads(s, d), "conv_id", "texts", "attion thing", 20, index=thread_index(s, d)))
+define("text_agg", bm25_sql({"attion": 1, "thing": 1}, where="lang = 'en'") + " SELECT count(*) AS count, count(n_chars) AS sum_n_chars_values, coalesce(sum(n_chars::DOUBLE), 0.0) AS sum_n_chars FROM hits JOIN docs USING (id)", lambda s, d: execute(table(s, d, "documents"), "doc_id", Query(filter=eq("lang", "en"), aggregates=("Count", ("Sum", "n_chars")), text={"column": "text", "query": "attion thing", "k": 10}), Indexes(text={"text": text_index(s, d)})).aggregates)
 
 
 @query(bm25_sql({"attion": 1, "thing": 1}, source="SELECT doc_id AS id, {0} AS toks FROM documents WHERE doc_id % 7 <> 3") + top_sql(20))
@@ -230,7 +252,8 @@ def docs_vectors(s: SparkSession, d: str) -> DataFrame:
 define("knn_missing_vector", knn_sql("cosine", 10, source="SELECT e.vec_id AS id, e.embedding::DOUBLE[] AS v, (SELECT any_value(embedding)::DOUBLE[] FROM embeddings WHERE vec_id = 0) AS q, d.* FROM documents d LEFT JOIN embeddings e ON d.doc_id = e.vec_id", where="v IS NOT NULL"), lambda s, d: top_vectors(docs_vectors(s, d), query_vector(s, d), "cosine", 10))
 define("knn_count_before_presence", "SELECT count(*) AS count FROM documents WHERE lang = 'en'", lambda s, d: execute(docs_vectors(s, d), "vec_id", Query(filter=eq("lang", "en"), aggregates=("Count",), exact_vector={"column": "embedding", "vector": query_vector(s, d), "k": 5})).aggregates)
 define("knn_ignores_order_by", knn_sql("cosine", 10), lambda s, d: execute(table(s, d, "embeddings"), "vec_id", Query(order_by=("label", True), exact_vector={"column": "embedding", "vector": query_vector(s, d), "k": 10})).rows.select("vec_id", F.round("score", 6).alias("score"), "rank"))
-define("vec_normalize", "SELECT vec_id, round(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[]) / list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[]), 6) AS squared FROM embeddings", lambda s, d: table(s, d, "embeddings").select("vec_id", vectors.normalize(F.col("embedding")).alias("n")).select("vec_id", F.round(vectors.dot(F.col("n"), F.col("n")), 6).alias("squared")))
+_UNIT = "v[{0}] / sqrt(list_inner_product(v, v))"
+define("vec_normalize", f"SELECT vec_id, {', '.join(f'round({_UNIT.format(i)}, 6) + 0.0 AS x{i}' for i in (1, 2, 64))} FROM (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings)", lambda s, d: table(s, d, "embeddings").select("vec_id", vectors.normalize(F.col("embedding")).alias("n")).select("vec_id", *((F.round(F.element_at("n", i), 6) + 0.0).alias(f"x{i}") for i in (1, 2, 64))))
 
 _HYBRID = (
     bm25_sql({"attion": 1, "thing": 1}, where="lang = 'en' AND id IN (SELECT vec_id FROM embeddings)")
@@ -243,7 +266,7 @@ v AS (SELECT x.id, row_number() OVER (ORDER BY {_SCORES['cosine']} DESC, x.id) A
 def _hybrid(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     docs = docs_vectors(s, d)
     keep = And((eq("lang", "en"), present("embedding")))
-    t = ranking.top(ranking.bm25(docs, "vec_id", "text", "attion thing", keep=keep), "vec_id", 10)
+    t = ranking.top(ranking.bm25(docs, "vec_id", "text", "attion thing", keep=keep, index=text_index(s, d)), "vec_id", 10)
     v = ranking.top(ranking.knn(docs, "vec_id", "embedding", query_vector(s, d), "cosine", eq("lang", "en")), "vec_id", 10)
     return t, v
 
@@ -262,67 +285,96 @@ def multi_query(s, d):
 # ---------------------------------------------------------------- approximate vectors
 
 
-_built: dict[tuple, ivf.Index] = {}
+def build_index(s: SparkSession, d: str, metric: str = "cosine", where: str = "true") -> ivf.Index:
+    return ivf.Index.build(table(s, d, "embeddings").where(where), "vec_id", "embedding", work_path(s, "vectors-"), metric)
 
 
-def index(s: SparkSession, d: str, metric: str = "cosine") -> ivf.Index:
-    """One build for a session and table; only its few centroids are held, and the rows are assigned in the plan."""
-    key = (s.sparkContext.applicationId, d, metric)
-    if key not in _built:
-        _built[key] = ivf.Index.build(table(s, d, "embeddings"), "vec_id", "embedding", metric)
-    return _built[key]
+def index(s: SparkSession, d: str, metric: str = "cosine", where: str = "true") -> ivf.Index:
+    return once(s, ("vectors", d, metric, where), lambda: build_index(s, d, metric, where))
+
+
+def grown(s: SparkSession, d: str) -> ivf.Index:
+    """An index over the even ids, to which the odd ones were appended."""
+    return once(s, ("grown", d), lambda: index(s, d, "cosine", "vec_id % 2 = 0").append(table(s, d, "embeddings").where("vec_id % 2 = 1"), work_path(s, "vectors-"), 1))
 
 
-def ann(s: SparkSession, d: str, metric: str, k: int = 10, probes: int | None = 16, keep: Filter | None = None) -> DataFrame:
-    i = index(s, d, metric)
-    scored = i.search(i.table, query_vector(s, d), metric, probes, keep)
+def again(s: SparkSession, d: str) -> ivf.Index:
+    """The whole index with its first two clusters built anew."""
+    return once(s, ("again", d), lambda: index(s, d).rebuild([0, 1], 2, work_path(s, "vectors-")))
+
+
+def rounded_scores(scored: DataFrame, k: int) -> DataFrame:
     return ranking.top(scored, "vec_id", k).withColumn("score", F.round("score", 6))
 
 
-define("ann_cosine", knn_sql("cosine", 10), lambda s, d: ann(s, d, "cosine"))
-define("ann_dot", knn_sql("dot", 10), lambda s, d: ann(s, d, "dot"))
-define("ann_filtered", knn_sql("cosine", 10, where="label = 1"), lambda s, d: ann(s, d, "cosine", keep=eq("label", 1)))
-define("ann_limit_below_k", knn_sql("cosine", 3), lambda s, d: execute(table(s, d, "embeddings"), "vec_id", Query(limit=3, approx_vector={"column": "embedding", "vector": query_vector(s, d), "k": 10, "probes": 16}), index(s, d)).rows.select("vec_id", F.round("score", 6).alias("score"), "rank"))
-define("ann_agg_exact", "SELECT count(*) AS count FROM embeddings WHERE label = 1", lambda s, d: execute(table(s, d, "embeddings"), "vec_id", Query(filter=eq("label", 1), aggregates=("Count",), approx_vector={"column": "embedding", "vector": query_vector(s, d), "k": 10})).aggregates)
-define("ann_no_index", knn_sql("cosine", 10), lambda s, d: execute(table(s, d, "embeddings"), "vec_id", Query(approx_vector={"column": "embedding", "vector": query_vector(s, d), "k": 10})).rows.select("vec_id", F.round("score", 6).alias("score"), "rank"))
-define("ann_probe", None, lambda s, d: ann(s, d, "cosine", probes=None))
+def ann_sql(metric: str, k: int = 10, where: str = "true", allowed: str = "true") -> str:
+    """Of the clusters that k-means makes those nearest to the query are searched."""
+    return f"WITH {oracles.rows()},\n{oracles.lloyd('', 'e', metric)},\n{oracles.probes(metric, allowed=allowed)},\nhits AS (SELECT vec_id AS id, {oracles.score(metric, 'a.v', 'q.v')} AS score FROM a JOIN pr USING (c), q WHERE {where})" + top_sql(k, "vec_id")
+
+
+_LABELLED = "c.c IN (SELECT a.c FROM a WHERE label = 1)"
+define("ann_cosine", ann_sql("cosine"), lambda s, d: rounded_scores(index(s, d).search(query_vector(s, d)), 10))
+define("ann_dot", ann_sql("dot"), lambda s, d: rounded_scores(index(s, d, "dot").search(query_vector(s, d)), 10))
+define("ann_filtered", ann_sql("cosine", where="label = 1", allowed=_LABELLED), lambda s, d: rounded_scores(index(s, d).search(query_vector(s, d), keep=eq("label", 1)), 10))
+define("ann_all_probes", knn_sql("cosine", 10), lambda s, d: rounded_scores(index(s, d).search(query_vector(s, d), probes=16), 10))
+define("ann_probe", f"WITH {oracles.rows()},\n{oracles.lloyd('', 'e', 'cosine')},\n{oracles.probes('cosine')} SELECT rank::INT AS rank, c::INT AS cluster_id FROM pr", lambda s, d: s.createDataFrame(list(enumerate(index(s, d).probe(query_vector(s, d), "cosine", None), 1)), "rank int, cluster_id int"))
+
+
+def approximate(s: SparkSession, d: str, limit: int | None = None, **more) -> Query:
+    return Query(limit=limit, approx_vector={"column": "embedding", "vector": query_vector(s, d), "k": 10, **more})
+
 
+define("ann_limit_below_k", ann_sql("cosine", 3), lambda s, d: execute(table(s, d, "embeddings"), "vec_id", approximate(s, d, 3), Indexes(vector={"embedding": index(s, d)})).rows.select("vec_id", F.round("score", 6).alias("score"), "rank"))
+define("ann_agg_exact", "SELECT count(*) AS count FROM embeddings WHERE label = 1", lambda s, d: execute(table(s, d, "embeddings"), "vec_id", Query(filter=eq("label", 1), aggregates=("Count",), approx_vector={"column": "embedding", "vector": query_vector(s, d), "k": 10}), Indexes(vector={"embedding": index(s, d)})).aggregates)
+define("ann_no_index", knn_sql("cosine", 10), lambda s, d: execute(table(s, d, "embeddings"), "vec_id", approximate(s, d)).rows.select("vec_id", F.round("score", 6).alias("score"), "rank"))
 
-@query(knn_sql("cosine", 10, where="id % 5 <> 1"))
+
+@query(f"""WITH {oracles.rows("vec_id % 2 = 0")},
+{oracles.lloyd("", "e", "cosine")},
+{oracles.probes("cosine")},
+every AS (SELECT a.vec_id, a.v FROM a JOIN pr USING (c) WHERE a.vec_id % 6 <> 0 UNION ALL SELECT vec_id, embedding::DOUBLE[] FROM embeddings WHERE vec_id % 2 = 1 AND vec_id % 5 <> 1),
+hits AS (SELECT vec_id AS id, list_cosine_similarity(every.v, q.v) AS score FROM every, q)""" + top_sql(10, "vec_id"))
 def ann_overlay(s, d):
-    """An index over the even ids, the odd ones appended, every fifth deleted."""
+    """An index over the even ids; since then the odd ones were written but for some, and every sixth id was deleted."""
     e = table(s, d, "embeddings")
-    i = ivf.Index.build(e.where("vec_id % 2 = 0"), "vec_id", "embedding", "cosine").append(e.where("vec_id % 2 = 1"))
-    live = i.table.join(e.where("vec_id % 5 = 1").select("vec_id"), "vec_id", "left_anti")
-    return ranking.top(ivf.Index("vec_id", "embedding", "cosine", i.centroids, live).search(live, query_vector(s, d), "cosine", 16), "vec_id", 10).withColumn("score", F.round("score", 6))
+    fresh = e.where("vec_id % 2 = 1 AND vec_id % 5 <> 1")
+    gone = e.where("vec_id % 2 = 1 OR vec_id % 6 = 0").select("vec_id")
+    return rounded_scores(index(s, d, "cosine", "vec_id % 2 = 0").search(query_vector(s, d), fresh=fresh, gone=gone), 10)
 
 
-@query("SELECT vec_id, 2 AS version FROM embeddings WHERE vec_id % 3 = 0 UNION ALL SELECT vec_id, 1 FROM embeddings WHERE vec_id % 3 <> 0")
+@query("SELECT vec_id, CASE WHEN vec_id % 3 = 0 THEN 1 ELSE 0 END AS version, CASE WHEN vec_id % 3 = 0 THEN -1 ELSE 1 END AS sign FROM embeddings WHERE vec_id % 7 <> 2 OR vec_id % 3 = 0")
 def ann_versions(s, d):
-    """Of every row's copies in the index the one that the version map names is alive."""
-    e = table(s, d, "embeddings").select("vec_id")
-    copies = e.withColumn("version", F.lit(1)).union(e.where("vec_id % 3 = 0").withColumn("version", F.lit(2)))
-    live = copies.groupBy("vec_id").agg(F.max("version").alias("version"))
-    return copies.join(live, ["vec_id", "version"])
+    """Every third row was written again with its vector turned round, others deleted: of each row's versions in the index the newest counts."""
+    e = table(s, d, "embeddings")
+    turned = e.where("vec_id % 3 = 0").withColumn("embedding", F.transform("embedding", lambda x: -x))
+    dead = work_path(s, "touched-")
+    e.where("vec_id % 3 = 0 OR vec_id % 7 = 2").select("vec_id").write.parquet(dead)
+    i = index(s, d).append(turned, work_path(s, "vectors-"), 1, dead)
+    was = e.select("vec_id", F.element_at("embedding", 1).alias("x"))
+    return i.rows().join(was, "vec_id").select("vec_id", "version", F.when(F.element_at("embedding", 1) == F.col("x"), 1).otherwise(-1).alias("sign"))
 
 
-@query()
+@query(ann_sql("l2"))
 def ann_l2_rabitq(s, d):
-    i = index(s, d, "l2")
-    return ranking.top(i.search_l2(query_vector(s, d), 10, 16), "vec_id", 10).withColumn("score", F.round("score", 6))
-
-
-define("rabitq_encode", None, lambda s, d: (lambda i: ivf.encode(i.table, "vec_id", "embedding", i.centroids))(index(s, d, "l2")))
-define("rabitq_estimate", None, lambda s, d: (lambda i: ivf.estimate(ivf.encode(i.table, "vec_id", "embedding", i.centroids), "vec_id", query_vector(s, d), i.centroids))(index(s, d, "l2")))
-define("ann_recall", None, lambda s, d: ivf.recall(index(s, d), s))
-define("recall_sample", None, lambda s, d: ivf.sample(table(s, d, "embeddings"), "vec_id", 25).select("vec_id"))
-define("ivf_build", "SELECT count(*) AS n, count(*) AS assigned FROM embeddings", lambda s, d: index(s, d).table.agg(F.count(F.lit(1)).alias("n"), F.count("cluster_id").alias("assigned")))
-define("ivf_centroids", None, lambda s, d: (lambda i: ivf.means(i.table, "embedding"))(index(s, d)))
-define("ivf_cluster_stats", None, lambda s, d: index(s, d).stats())
-define("ivf_append", "SELECT count(*) AS n FROM embeddings", lambda s, d: ivf.Index.build(table(s, d, "embeddings").where("vec_id % 2 = 0"), "vec_id", "embedding", "cosine").append(table(s, d, "embeddings").where("vec_id % 2 = 1")).table.agg(F.count(F.lit(1)).alias("n")))
-define("ivf_plan", None, lambda s, d: index(s, d).plan())
-define("ivf_reassign", None, lambda s, d: index(s, d).rebuild([0, 1], 2).reassign())
-define("ivf_rebuild", "SELECT count(*) AS n FROM embeddings", lambda s, d: index(s, d).rebuild([0, 1], 2).table.agg(F.count(F.lit(1)).alias("n")))
+    return rounded_scores(index(s, d, "l2").search_l2(query_vector(s, d), 10), 10)
+
+
+_L2 = f"WITH {oracles.rows()},\n{oracles.lloyd('', 'e', 'l2')}"
+_COSINE = f"WITH {oracles.rows()},\n{oracles.lloyd('', 'e', 'cosine')}"
+define("rabitq_encode", f"{_L2},\n{oracles.codes()} SELECT vec_id, c::INT AS cluster_id, {oracles.CODE} AS code, round(norm, 6) AS norm, round(product, 6) AS product FROM co", lambda s, d: index(s, d, "l2").rows().select("vec_id", "cluster_id", F.hex("code").alias("code"), F.round("norm", 6).alias("norm"), F.round("product", 6).alias("product")))
+define("rabitq_estimate", f"{_L2},\n{oracles.codes()},\n{oracles.estimates()}", lambda s, d: (lambda i: ivf.estimate(i.rows(), "vec_id", query_vector(s, d), i.centroids))(index(s, d, "l2")).select("vec_id", (F.round("estimate", 6) + 0.0).alias("estimate"), (F.round("error", 6) + 0.0).alias("error")))
+define("ann_recall", f"{_COSINE},\n{oracles.sample()},\n{oracles.recall('cosine')}", lambda s, d: ivf.recall(index(s, d)).withColumn("recall", F.round("recall", 6)))
+define("ann_recall_average", f"SELECT round(avg(recall), 6) AS recall, avg(n_exact) AS n_exact, avg(n_ann) AS n_ann, count(*) AS samples FROM ({_COSINE},\n{oracles.sample()},\n{oracles.recall('cosine')})", lambda s, d: ivf.averages(ivf.recall(index(s, d))).withColumn("recall", F.round("recall", 6)))
+define("recall_sample", f"WITH {oracles.sample()} SELECT vec_id FROM sm", lambda s, d: ivf.sample(table(s, d, "embeddings"), "vec_id", 25).select("vec_id"))
+_PLACED = "SELECT vec_id, c::INT AS cluster_id FROM {0}"
+define("ivf_build", f"{_COSINE} {_PLACED.format('a')}", lambda s, d: index(s, d).rows().select("vec_id", "cluster_id"))
+define("ivf_centroids", f"{_COSINE} SELECT c::INT AS cluster_id, generate_subscripts(v, 1)::INT AS pos, round(unnest(v), 6) + 0.0 AS x FROM c", lambda s, d: s.createDataFrame([(i, c) for i, c in enumerate(index(s, d).centroids)], "cluster_id int, v array<double>").select("cluster_id", F.posexplode("v").alias("pos", "x")).select("cluster_id", (F.col("pos") + 1).alias("pos"), (F.round("x", 6) + 0.0).alias("x")))
+define("ivf_cluster_stats", f"{_COSINE} SELECT c::INT AS cluster_id, count(*) AS n FROM a GROUP BY c", lambda s, d: index(s, d).stats())
+define("ivf_append", f"WITH {oracles.rows('vec_id % 2 = 0')},\n{oracles.lloyd('', 'e', 'cosine')},\nodd AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 2 = 1),\n{oracles.assigned('oa', 'odd', 'c', 'cosine')} {_PLACED.format('a')} UNION ALL {_PLACED.format('oa')}", lambda s, d: grown(s, d).rows().select("vec_id", "cluster_id"))
+define("ivf_version_stats", f"WITH {oracles.rows('vec_id % 2 = 0')},\n{oracles.lloyd('', 'e', 'cosine')},\nodd AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 2 = 1),\n{oracles.assigned('oa', 'odd', 'c', 'cosine')} SELECT c::INT AS cluster_id, count(*) AS live, 0::BIGINT AS stale, count(*) FILTER (new) AS appended FROM (SELECT c, false AS new FROM a UNION ALL SELECT c, true FROM oa) GROUP BY c", lambda s, d: grown(s, d).versions())
+define("ivf_plan", f"{_COSINE}, n AS (SELECT c::INT AS cluster_id, count(*) AS n FROM a GROUP BY c), t AS (SELECT ceil(sum(n)::DOUBLE / (SELECT count(*) FROM c)) AS t FROM n) SELECT cluster_id, n, CASE WHEN n > 2 * t THEN 'split' WHEN 2 * n < t THEN 'merge' ELSE 'keep' END AS action FROM n, t", lambda s, d: index(s, d).plan())
+define("ivf_rebuild", f"{_COSINE},\n{oracles.rebuilt('cosine', (0, 1), 2)} {_PLACED.format('na')}", lambda s, d: again(s, d).rows().select("vec_id", "cluster_id"))
+define("ivf_reassign", f"{_COSINE},\n{oracles.rebuilt('cosine', (0, 1), 2)},\nnx AS (SELECT vec_id, v, c AS label FROM na),\n{oracles.assigned('nn', 'nx', 'nc', 'cosine')} SELECT vec_id, label::INT AS cluster_id, c::INT AS nearest FROM nn WHERE label <> c", lambda s, d: again(s, d).reassign())
 
 # ---------------------------------------------------------------- mutations
 
@@ -360,7 +412,41 @@ def split_fold(s: SparkSession, d: str) -> DataFrame:
 
 
 define("overlay_scan", fold_sql(), split_fold)
-define("flush_equiv", fold_sql(), lambda s, d: mutations.fold(event_log(s, d).repartition(16), _ATTRS))
+
+
+def in_batches(s: SparkSession, d: str, n: int, flushed: bool = True) -> Collection:
+    """The event log in ``n`` batches of a collection, each flushed to a run of its own."""
+    log = event_log(s, d)
+    most = log.agg(F.max("seq")).first()[0] or 0
+    c = Collection.create(s, work_path(s), "users")
+    for i in range(n):
+        part = log.where((F.col("seq") > most * i // n) & (F.col("seq") <= most * (i + 1) // n) | (F.lit(i == 0) & (F.col("seq") <= 0)))
+        c.append_frame(part.select(F.col("seq").cast("int").alias("op_idx"), "id", "op", *_ATTRS, "set"), bulk=True)
+        if flushed:
+            c.flush()
+    return c
+
+
+def _kept(c: Collection) -> DataFrame:
+    return c.df().select("id", *_ATTRS)
+
+
+def _compacted_log(s, d):
+    c = in_batches(s, d, 2)
+    c.compact()
+    return _kept(c)
+
+
+def _tiered_log(s, d):
+    c = in_batches(s, d, 4)
+    c.tier()
+    return _kept(c)
+
+
+define("flush_equiv", fold_sql(), lambda s, d: _kept(in_batches(s, d, 2)))
+define("tier_equiv", fold_sql(), _tiered_log)
+define("compact_equiv", fold_sql(), _compacted_log)
+define("unflushed_equiv", fold_sql(), lambda s, d: _kept(in_batches(s, d, 2, False)))
 _NEWEST = "SELECT user_id, arg_max(event_type, event_id) AS event_type, max(event_id) AS event_id FROM events GROUP BY user_id"
 
 
@@ -377,9 +463,6 @@ def merge(parts: list[DataFrame]) -> DataFrame:
 
 
 define("lsm_merge", _NEWEST, lambda s, d: merge(runs(s, d, 3)))
-define("tier_equiv", _NEWEST, lambda s, d: merge([merge(runs(s, d, 4)[:2]), merge(runs(s, d, 4)[2:])]))
-define("compact_equiv", f"SELECT * FROM ({_NEWEST}) WHERE event_type <> 'error'", lambda s, d: merge(runs(s, d, 4)).where("event_type <> 'error'"))
-
 _BIG = "o_totalprice >= 100000"
 
 
@@ -416,68 +499,37 @@ def delete_by_filter(s, d):
 
 # ---------------------------------------------------------------- encodings and collections
 
-define("id_sort_key", "SELECT doc_id, '01' || lpad(printf('%X', doc_id), 16, '0') AS sort_key FROM documents", lambda s, d: table(s, d, "documents").select("doc_id", F.concat(F.lit("01"), F.lpad(F.hex("doc_id"), 16, "0")).alias("sort_key")))
+define("id_sort_key", "SELECT doc_id, '01' || lpad(printf('%X', doc_id), 16, '0') AS sort_key FROM documents", lambda s, d: table(s, d, "documents").select("doc_id", ids.sort_key(F.col("doc_id")).alias("sort_key")))
 define("content_sha256", "SELECT doc_id, sha256(text) AS sha FROM documents", lambda s, d: table(s, d, "documents").select("doc_id", F.sha2("text", 256).alias("sha")))
 _U = "substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-' || substr(h, 13, 4) || '-' || substr(h, 17, 4) || '-' || substr(h, 21, 12)"
 define("id_uuid", f"SELECT doc_id, {_U} AS uuid, h AS bytes FROM (SELECT doc_id, md5(doc_id::VARCHAR) AS h FROM documents)", lambda s, d: table(s, d, "documents").select("doc_id", F.upper(F.expr(_U.replace("h,", "md5(cast(doc_id AS string)),"))).alias("given")).where(F.col("given").rlike("^[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}$")).select("doc_id", F.lower("given").alias("uuid"), F.lower(F.hex(F.unhex(F.replace("given", F.lit("-"), F.lit(""))))).alias("bytes")))
 
 
-@query()
-def f16_roundtrip(s, d):
-    import numpy as np
-    import pandas as pd
-
-    def run(parts):
-        for p in parts:
-            x = np.array(p["embedding"].tolist(), np.float32)
-            half = x.astype(np.float16).astype(np.float32) if len(p) else x
-            yield pd.DataFrame({"vec_id": p["vec_id"], "half": list(half), "finite": np.isfinite(half).all(1) if len(p) else []})
-
-    return table(s, d, "embeddings").select("vec_id", "embedding").mapInPandas(run, "vec_id long, half array<float>, finite boolean")
-
-
-@query("SELECT event_id, (props->>'$.k')::BIGINT AS k FROM events")
-def ingest_json(s, d):
-    return table(s, d, "events").select("event_id", F.get_json_object("props", "$.k").cast("bigint").alias("k"))
-
-
-def folder(s: SparkSession, prefix: str) -> str:
-    """A folder of its own under the one that all executors share, until the driver ends; on the driver's disk only where the session names none."""
-    current = s.sparkContext._jsc.sc().getCheckpointDir()
-    given = s.conf.get("spark.checkpoint.dir", None) or (None if current.isEmpty() else current.get())
-    at = urlparse(given or tempfile.gettempdir())
-    if at.scheme not in ("", "file"):
-        raise InvalidWrite(f"control files need a file system that the driver can reach, not {given}")
-    os.makedirs(at.path, exist_ok=True)
-    root = tempfile.mkdtemp(prefix=prefix, dir=at.path)
-    os.chmod(root, 0o755)  # executors may be another user's
-    atexit.register(shutil.rmtree, root, True)
-    return root
-
+_HALF = "list_transform(embedding::DOUBLE[], lambda x: CASE WHEN x = 0 THEN 0.0 ELSE round_even(x / pow(2, greatest(floor(log2(abs(x))), -14) - 10), 0) * pow(2, greatest(floor(log2(abs(x))), -14) - 10) END)"
+define("f16_roundtrip", f"SELECT vec_id, generate_subscripts(h, 1)::INT AS pos, unnest(h)::DOUBLE + 0.0 AS x FROM (SELECT vec_id, {_HALF} AS h FROM embeddings)", lambda s, d: table(s, d, "embeddings").select("vec_id", F.posexplode(vectors.half(F.col("embedding"))).alias("pos", "x")).select("vec_id", (F.col("pos") + 1).alias("pos"), (F.col("x").cast("double") + 0.0).alias("x")))
+define("ingest_json", "SELECT event_id, (props->>'$.k')::BIGINT AS k FROM events", lambda s, d: json_documents(table(s, d, "events"), "props", "event_id").select("event_id", "k"))
 
 _FILL = {
-    "nation": lambda s, d: table(s, d, "nation").select(F.col("n_nationkey").cast("long").alias("id"), F.col("n_name").alias("name"), F.col("n_regionkey").cast("long").alias("region")),
+    "orders": lambda s, d: table(s, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("name"), F.col("o_custkey").cast("long").alias("region"), F.col("o_totalprice").alias("price")),
     "documents": lambda s, d: table(s, d, "documents").select(F.col("doc_id").alias("id"), "lang", "source", "text"),
     "events": lambda s, d: table(s, d, "events").select(F.col("event_id").alias("id"), F.col("user_id").cast("long").alias("user_id"), "event_type", "value"),
 }
 
 
-def collection(s: SparkSession, d: str, source: str = "nation"):
-    """A collection in the shared folder, filled from every row of a table in one batch; control files live with one driver."""
-    from orrery.sources.collection import Collection
-
-    root = folder(s, "orrery-collection-")
-    c = Collection.create(s, root, "orders")
+def collection(s: SparkSession, d: str, source: str = "orders", **options) -> tuple[Collection, str]:
+    """A collection in the shared folder, filled from every row of a table in one batch."""
+    root = work_path(s)
+    c = Collection.create(s, root, "orders", **options)
     c.append_frame(_FILL[source](s, d).withColumn("op", F.lit("upsert")), bulk=True)
     return c, root
 
 
-_NATION = "SELECT n_nationkey::BIGINT AS id, n_name AS name, n_regionkey::BIGINT AS region FROM nation"
+_ORDERS = "SELECT o_orderkey::BIGINT AS id, o_orderstatus AS name, o_custkey::BIGINT AS region, o_totalprice::DOUBLE AS price FROM orders"
 _DOCUMENTS = "SELECT doc_id AS id, lang, source, text FROM documents"
 
 
-def _with(f: Callable, source: str = "nation"):
-    return lambda s, d: f(s, *collection(s, d, source))
+def _with(f: Callable, source: str = "orders", **options):
+    return lambda s, d: f(s, *collection(s, d, source, **options))
 
 
 def _export(s, c, root):
@@ -500,24 +552,63 @@ def _compacted(s, c, root):
 
 
 def _idempotent(s, c, root):
-    one = [{"id": 100, "op": "upsert", "attributes": {"name": "new", "region": 9}}]
+    one = [{"id": -100, "op": "upsert", "attributes": {"name": "new", "region": 9}}]
     a, b = c.append(one, key="k"), c.append(one, key="k")
-    return c.df().where("id >= 100").withColumn("same", F.lit(a == b))
+    return c.df().where("id < 0").select("id", "name", "region", F.lit(a == b).alias("same"))
 
 
-define("wal_append", _NATION, _with(lambda s, c, root: c.df()))
-define("export_roundtrip", _NATION, _with(_export))
-define("copy_equiv", _NATION, _with(lambda s, c, root: (c.flush(), c.copy_to(root, "copy").df())[1]))
-define("collection_compact", f"SELECT * FROM ({_NATION}) WHERE id <> 2", _with(_compacted))
-define("branch_diverge", f"SELECT 'parent' AS side, * FROM ({_NATION}) UNION ALL SELECT 'child', id, CASE WHEN id = 1 THEN 'changed' ELSE name END, region FROM ({_NATION}) WHERE id <> 0", _with(_branch))
-define("idempotent_append", "SELECT 100::BIGINT AS id, 'new' AS name, 9::BIGINT AS region, true AS same", _with(_idempotent))
+def _written_by_filter(s, c, root):
+    """Patches and deletions by filter, before and after a flush, as batches that Spark writes."""
+    c.patch_by_filter(eq("name", "O"), {"name": "open"}, max_rows=10**9)
+    c.flush()
+    c.delete_by_filter(gte("price", 200000.0), key="d")
+    c.delete_by_filter(gte("price", 200000.0), key="d")
+    return c.df()
+
+
+def _searched(s, c, root):
+    """Text and filters through a collection whose text index a flush has made."""
+    c.flush()
+    found = c.query({"text": {"column": "text", "query": "attion thing", "k": 20}, "filter": {"Eq": {"column": "lang", "value": "en"}}}).rows
+    return found.select(F.col("id").alias("doc_id"), F.round("score", 6).alias("score"), "rank")
+
+
+_TURNED = "SELECT vec_id AS id, list_transform(embedding::DOUBLE[], lambda x: CASE WHEN vec_id % 4 = 1 THEN -x ELSE x END) AS v FROM embeddings WHERE vec_id % 9 <> 8"
+
+
+@query(f"WITH q AS (SELECT embedding::DOUBLE[] AS qv FROM embeddings WHERE vec_id = 0), hits AS (SELECT id, list_cosine_similarity(v, qv) AS score FROM ({_TURNED}), q)" + top_sql(10, "id"))
+def collection_ann(s, d):
+    """A collection's own vector index after a flush, an appended flush and a tail that isn't flushed, all clusters probed."""
+    e = table(s, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    turned = e.where("id % 4 = 1").withColumn("embedding", F.transform("embedding", lambda x: -x))
+    c = Collection.create(s, work_path(s), "vectors")
+    c.append_frame(e.withColumn("op", F.lit("upsert")), bulk=True)
+    c.flush()
+    c.append_frame(turned.where("id % 8 = 1").withColumn("op", F.lit("upsert")))
+    c.flush()
+    c.append_frame(turned.where("id % 8 = 5").withColumn("op", F.lit("upsert")))
+    c.append_frame(e.where("id % 9 = 8").select("id", F.lit("delete").alias("op")))
+    found = c.query({"approx_vector": {"column": "embedding", "vector": query_vector(s, d), "k": 10, "probes": 16}}).rows
+    return found.select("id", F.round("score", 6).alias("score"), "rank")
+
+
+define("wal_append", _ORDERS, _with(lambda s, c, root: c.df()))
+define("export_roundtrip", _ORDERS, _with(_export))
+define("copy_equiv", _ORDERS, _with(lambda s, c, root: (c.flush(), c.copy_to(root, "copy").df())[1]))
+define("collection_compact", f"SELECT * FROM ({_ORDERS}) WHERE id <> 2", _with(_compacted))
+define("branch_diverge", f"SELECT 'parent' AS side, * FROM ({_ORDERS}) UNION ALL SELECT 'child', id, CASE WHEN id = 1 THEN 'changed' ELSE name END, region, price FROM ({_ORDERS}) WHERE id <> 0", _with(_branch))
+define("idempotent_append", "SELECT -100::BIGINT AS id, 'new' AS name, 9::BIGINT AS region, true AS same", _with(_idempotent))
+define("collection_by_filter", f"SELECT id, CASE WHEN name = 'O' THEN 'open' ELSE name END AS name, region, price FROM ({_ORDERS}) WHERE price < 200000", _with(_written_by_filter))
+define("collection_text", bm25_sql({"attion": 1, "thing": 1}, where="lang = 'en'") + top_sql(20), _with(_searched, "documents", text=("text",)))
 define("wal_append_events", "SELECT event_id AS id, user_id::BIGINT AS user_id, event_type, value FROM events", _with(lambda s, c, root: c.df(), "events"))
 define("export_documents", _DOCUMENTS, _with(_export, "documents"))
 define("copy_documents", _DOCUMENTS, _with(lambda s, c, root: (c.flush(), c.copy_to(root, "copy").df())[1], "documents"))
 define("compact_documents", f"SELECT * FROM ({_DOCUMENTS}) WHERE id <> 2", _with(_compacted, "documents"))
 define("branch_documents", f"SELECT 'parent' AS side, * FROM ({_DOCUMENTS}) UNION ALL SELECT 'child', id, CASE WHEN id = 1 THEN 'changed' ELSE lang END, source, text FROM ({_DOCUMENTS}) WHERE id <> 0", _with(lambda s, c, root: _branch(s, c, root, "lang"), "documents"))
-define("metadata", "SELECT 'orders' AS name, 0::BIGINT AS generation, 0::BIGINT AS indexed, 1::BIGINT AS committed, 1::BIGINT AS lag, 0::INT AS runs", _with(lambda s, c, root: c.metadata(), "documents"))
-define("index_lag", "SELECT 0::BIGINT AS lag", _with(lambda s, c, root: (c.flush(), c.metadata().select("lag"))[1], "documents"))
+_META = "SELECT 'orders' AS name, {0}::BIGINT AS generation, {0}::BIGINT AS indexed, 1::BIGINT AS committed, {1}::BIGINT AS lag, {0}::INT AS runs, count(*) AS approx_rows, 'bigint' AS ids, 1::BIGINT AS schema_version FROM documents"
+_META_COLUMNS = ["name", "generation", "indexed", "committed", "lag", "runs", "approx_rows", "ids", "schema_version"]
+define("metadata", _META.format(0, 1), _with(lambda s, c, root: c.metadata().select(*_META_COLUMNS), "documents"))
+define("index_lag", _META.format(1, 0), _with(lambda s, c, root: (c.flush(), c.metadata().select(*_META_COLUMNS))[1], "documents"))
 
 
 @query(fold_sql())
@@ -525,7 +616,7 @@ def streamed_fold(s, d):
     """The log read as a stream, in batches written to their own places, and folded."""
     from orrery.streaming.ingest import stream_log
 
-    root = folder(s, "orrery-stream-")
+    root = work_path(s, "stream-")
     log = event_log(s, d)
     log.repartition(3).write.parquet(f"{root}/log")
     done = stream_log(s, f"{root}/log", log.schema, lambda df, n: df.write.mode("overwrite").parquet(f"{root}/out/batch={n}"), f"{root}/checkpoint", 1)

@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from orrery.errors import InvalidQuery
-from orrery.functions import vectors
+from orrery.functions import ids, vectors
 from orrery.operators import filters, ranking
 from orrery.operators.filters import Filter
+from orrery.operators.ivf import Index
+from orrery.operators.textindex import TextIndex
 
 MAX_QUERIES = 16
 
@@ -67,8 +69,25 @@ def aggregate(df: DataFrame, wanted: tuple[Any, ...]) -> DataFrame:
     return df.agg(*cols)
 
 
-def execute(df: DataFrame, id_col: str, q: Query, index: Any = None) -> Result:
-    """The request's rows and aggregates; ``index`` is an ``operators.ivf.Index`` for approximate vectors."""
+@dataclass(frozen=True)
+class Indexes:
+    """What a snapshot has beside its rows: by column the stored vector and text indexes and the vectors' default metrics; ``fresh`` and ``gone`` are the rows
+    written, and the ids written or deleted, since the vector indexes were published.  A text index is given only where it is of the snapshot itself."""
+
+    vector: dict[str, Index] = field(default_factory=dict)
+    text: dict[str, TextIndex] = field(default_factory=dict)
+    metric: dict[str, str] = field(default_factory=dict)
+    dims: dict[str, int] = field(default_factory=dict)
+    fresh: DataFrame | None = None
+    gone: DataFrame | None = None
+
+
+def execute(df: DataFrame, id_col: str, q: Query, indexes: Indexes = Indexes()) -> Result:
+    """The request's rows and aggregates.
+
+    Text is scored from the column's index if there is one.  An approximate search without aggregates or an order goes by the column's index and is
+    answered exactly without one, or where its filter compares whole arrays.
+    """
     if q.exact_vector and q.approx_vector:
         raise InvalidQuery("exact and approximate vectors exclude each other")
     if q.text and (q.exact_vector or q.approx_vector):
@@ -82,24 +101,33 @@ def execute(df: DataFrame, id_col: str, q: Query, index: Any = None) -> Result:
     if q.text:
         t = q.text
         ranking.check_k(t["k"])
-        hits = ranking.bm25(df, id_col, t["column"], t["query"], ranking.Bm25(**t.get("params", {})), q.filter)
-        full = hits.join(df, id_col)
-        return Result(ranking.top(hits, id_col, t["k"], limit).join(df, id_col), aggregate(full, q.aggregates) if q.aggregates else None)
+        index = indexes.text.get(t["column"])
+        best = None if q.aggregates else min(t["k"], limit)
+        hits = ranking.bm25(df, id_col, t["column"], t["query"], ranking.Bm25(**t.get("params", {})), q.filter, index, best)
+        totals = aggregate(df.join(hits.select(id_col), id_col, "left_semi"), q.aggregates) if q.aggregates else None
+        return Result(ranking.top(hits, id_col, t["k"], limit).join(df, id_col), totals, index.notes if index else {})
     if v := q.exact_vector or q.approx_vector:
+        column = v["column"]
         ranking.check_k(v["k"])
-        if v["column"] not in df.columns or not isinstance(df.schema[v["column"]].dataType, T.ArrayType):
-            raise InvalidQuery(f"no vector column {v['column']}")
-        metric = v.get("metric", "cosine")
-        vectors.literal(v["vector"], None, metric)
-        dim = df.where(F.col(v["column"]).isNotNull()).select(F.size(v["column"])).first()
-        vectors.literal(v["vector"], dim and dim[0], metric)
-        aggregates = aggregate(kept, q.aggregates) if q.aggregates else None
-        # an approximate search with aggregates or an order is answered exactly
-        if q.approx_vector and index is not None and not q.aggregates and not q.order_by:
-            scored = index.search(df, v["vector"], metric, v.get("probes"), q.filter)
+        if column not in df.columns or not isinstance(df.schema[column].dataType, T.ArrayType) or not isinstance(df.schema[column].dataType.elementType, T.FractionalType):
+            raise InvalidQuery(f"no vector column {column}")
+        metric = v.get("metric") or indexes.metric.get(column, "cosine")
+        vectors.check(v["vector"], None, metric)
+        dim = indexes.dims.get(column)
+        if dim is None:  # any row's: a collection knows it from its schema
+            some = df.where(F.col(column).isNotNull()).select(F.size(column)).first()
+            dim = some and some[0]
+        vectors.check(v["vector"], dim, metric)
+        totals = aggregate(kept, q.aggregates) if q.aggregates else None
+        index = indexes.vector.get(column)
+        if q.approx_vector and index is not None and not q.aggregates and not q.order_by and not filters.whole_arrays(q.filter):
+            if metric == "l2" and q.filter is None and indexes.gone is None:
+                scored = index.search_l2(v["vector"], min(v["k"], max(limit, 1)), v.get("probes"))
+            else:
+                scored = index.search(v["vector"], metric, v.get("probes"), q.filter, indexes.fresh, indexes.gone)
         else:
-            scored = ranking.knn(kept, id_col, v["column"], v["vector"], metric)
-        return Result(ranking.top(scored, id_col, v["k"], limit).join(df, id_col), aggregates)
+            scored = ranking.knn(kept, id_col, column, v["vector"], metric)
+        return Result(ranking.top(scored, id_col, v["k"], limit).join(df, id_col), totals)
     return Result(ordered(kept, id_col, q.order_by).limit(limit), aggregate(kept, q.aggregates) if q.aggregates else None)
 
 
@@ -107,17 +135,17 @@ def ordered(df: DataFrame, id_col: str, by: tuple[str | None, bool] | None) -> D
     """By id, or by an attribute: missing values last either way, ties by ascending id."""
     column, down = by or (None, False)
     if column is None:
-        return df.orderBy(F.col(id_col).desc() if down else F.col(id_col).asc())
+        return df.orderBy(*(ids.descending(df, id_col) if down else ids.ascending(df, id_col)))
     if column not in df.columns:
-        return df.orderBy(F.col(id_col).asc())
+        return df.orderBy(*ids.ascending(df, id_col))
     x = F.col(column)
     if isinstance(df.schema[column].dataType, T.ArrayType):
         x = F.when(x.isNotNull(), F.raise_error(F.lit(f"{column} holds arrays")).cast("int"))
-    return df.orderBy(x.desc_nulls_last() if down else x.asc_nulls_last(), F.col(id_col).asc())
+    return df.orderBy(x.desc_nulls_last() if down else x.asc_nulls_last(), *ids.ascending(df, id_col))
 
 
-def multi(df: DataFrame, id_col: str, queries: list[Query], index: Any = None) -> list[Result]:
+def multi(df: DataFrame, id_col: str, queries: list[Query], indexes: Indexes = Indexes()) -> list[Result]:
     """Up to 16 requests over one snapshot."""
     if not 1 <= len(queries) <= MAX_QUERIES:
         raise InvalidQuery(f"between 1 and {MAX_QUERIES} queries")
-    return [execute(df, id_col, q, index) for q in queries]
+    return [execute(df, id_col, q, indexes) for q in queries]
