@@ -160,7 +160,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
 def _press(*parts: np.ndarray | bytes) -> tuple[int, bytes]:
     """Size and compressed bytes of ``parts`` in a row, each after its length."""
     raw = b"".join(len(b).to_bytes(8, "little") + b for b in (p if isinstance(p, bytes) else p.tobytes() for p in parts))
-    return len(raw), pa.compress(raw, "zstd", asbytes=True)
+    return len(raw), pa.Codec("zstd", compression_level=6).compress(raw, asbytes=True)
 
 
 def _unpress(size: int, blob: bytes) -> list[memoryview]:
@@ -181,6 +181,19 @@ def _message(slots: list[int], blocks: list[bytes], buckets: list[int], sizes: l
     return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip((slots, blocks, buckets, sizes, data, rows), kinds)], names=_NAMES)
 
 
+def _positions(ranks: np.ndarray, single: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two bytes for each word: its rank, or that it is the next of those that occur once, or that its rank stands in the second array."""
+    rare = ~single & (ranks >= 65534)
+    return np.where(single, 65535, np.where(rare, 65534, ranks)).astype(np.uint16), ranks[rare].astype(np.uint32)
+
+
+def _ranks(short: np.ndarray, rare: np.ndarray, n_words: int) -> np.ndarray:
+    ranks, single = short.astype(np.int64), short == 65535
+    ranks[short == 65534] = rare
+    ranks[single] = n_words - single.sum() + np.arange(single.sum())
+    return ranks
+
+
 def _ask(buckets: int, keep: list[str]):
     """For each block its positions (bucket -1) and, by bucket, its distinct words."""
 
@@ -190,17 +203,16 @@ def _ask(buckets: int, keep: list[str]):
             sizes, index, distinct = _flat(words)
             text = distinct.cast(pa.binary()).to_pylist()
             bucket = np.fromiter((xxhash.xxh3_64_intdigest(w) % buckets for w in text), np.int64, len(text))
-            by_word = pc.sort_indices(distinct).to_numpy().astype(np.int64)
-            order = by_word[np.argsort(bucket[by_word], kind="stable")]  # by bucket, then by word
-            # positions hold ranks by frequency, which compress best
-            frequent = np.argsort(-np.bincount(index, minlength=len(text)), kind="stable")
-            rank, place = np.empty(len(text), np.int64), np.empty(len(text), np.int64)
-            rank[frequent], place[order] = np.arange(len(text)), np.arange(len(text))
-            width = np.uint16 if len(text) <= 1 << 16 else np.uint32
+            # words by frequency; those that occur once come last, in the order in which they occur
+            times = np.bincount(index, minlength=len(text))
+            frequent = np.argsort(-times, kind="stable")
+            rank = np.empty(len(text), np.int64)
+            rank[frequent] = np.arange(len(text))
             lengths = np.fromiter(map(len, text), np.int64, len(text))
             ends, stops = np.r_[0, np.cumsum(lengths[index])], np.cumsum(sizes)
             whole = ends[stops] - ends[stops - sizes] == pc.fill_null(table.column("size"), 0).to_numpy()
-            size, data = _press(place[frequent].astype(np.uint32), rank[index].astype(width))
+            size, data = _press(*_positions(rank[index], times[index] == 1), bucket[frequent].astype(np.uint16))
+            order = frequent[np.argsort(bucket[frequent], kind="stable")]  # by bucket, then by rank
             split = np.searchsorted(bucket[order], np.arange(buckets + 1))
             full = [k for k in range(buckets) if split[k] < split[k + 1]]
             asked = []
@@ -301,17 +313,19 @@ def _assemble(raw: bytes, keep: list[str]):
             if buckets.count(-1) != 1:
                 raise lost
             body = pa.ipc.open_stream(block.column("rows")[order[0]].as_py()).read_all()
-            place, codes = _unpress(sizes[order[0]], data[order[0]])
-            place = np.frombuffer(place, np.uint32).astype(np.int64)
-            codes = np.frombuffer(codes, np.uint16 if len(place) <= 1 << 16 else np.uint32).astype(np.int64)
+            short, rare, bucket = _unpress(sizes[order[0]], data[order[0]])
+            bucket = np.frombuffer(bucket, np.uint16)
+            codes = _ranks(np.frombuffer(short, np.uint16), np.frombuffer(rare, np.uint32), len(bucket))
             given = [_unpress(sizes[i], data[i]) for i in order[1:]]
             n = np.concatenate([np.empty(0, np.int64), *(np.frombuffer(g[0], np.uint32) for g in given)]).astype(np.int64)
-            if len(n) != len(place):
+            if len(n) != len(bucket):
                 raise lost
             ids = np.concatenate([np.empty(0, width), *(np.frombuffer(g[1], width) for g in given)])
             sound = np.concatenate([np.empty(0, bool), *(np.frombuffer(g[2], bool) for g in given)])
+            place = np.empty(len(bucket), np.int64)
+            place[np.argsort(bucket, kind="stable")] = np.arange(len(bucket))  # of each rank in the answers
             starts = np.cumsum(n) - n
-            n, starts, sound = n[place], starts[place], sound[place]  # by rank
+            n, starts, sound = n[place], starts[place], sound[place]
             counts = pc.fill_null(body.column("n"), 0).to_numpy()
             stops = np.cumsum(counts)
             tokens, wrong = np.r_[0, np.cumsum(n[codes])], np.r_[0, np.cumsum(~sound[codes])]
