@@ -81,6 +81,7 @@ class TextIndex:
     path: str
     doc_count: int
     total_len: int
+    id_type: str = "bigint"
     notes: dict = field(default_factory=dict)
 
     @staticmethod
@@ -92,17 +93,18 @@ class TextIndex:
         counted = rows.mapInArrow(_count, kind).withColumn("bucket", _bucket(F.col("term")))
         salts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // BUCKETS)
         dealt = counted.repartition(F.col("bucket"), F.pmod(F.xxhash64("id"), F.lit(salts))).sortWithinPartitions("bucket", "term", "id").select("bucket", "term", "id", "tf", "len", "first")
-        blocks = T.StructType([*T.StructType.fromDDL("bucket int, term string, n int, max_tf int, min_len int, firsts long, tokens long"), T.StructField("ids", T.ArrayType(rows.schema["id"].dataType)), *T.StructType.fromDDL("tfs array<int>, lens array<int>")])
-        dealt.mapInArrow(_blocks, blocks).write.mode("overwrite").partitionBy("bucket").parquet(path)
-        spark.createDataFrame([], blocks).write.mode("append").partitionBy("bucket").parquet(path)  # a schema where there are no rows
-        own = TextIndex(spark, path, 0, 0)
-        sums = spark.read.schema(blocks).parquet(path).agg(F.coalesce(F.sum("firsts"), F.lit(0)), F.coalesce(F.sum("tokens"), F.lit(0))).first()
-        own.doc_count, own.total_len = sums
+        own = TextIndex(spark, path, 0, 0, rows.schema["id"].dataType.simpleString())
+        dealt.mapInArrow(_blocks, own.schema).write.mode("overwrite").partitionBy("bucket").parquet(path)
+        own.doc_count, own.total_len = own.blocks.agg(F.coalesce(F.sum("firsts"), F.lit(0)), F.coalesce(F.sum("tokens"), F.lit(0))).first()
         return own
 
+    @property
+    def schema(self) -> T.StructType:
+        return T.StructType.fromDDL(f"bucket int, term string, n int, max_tf int, min_len int, firsts long, tokens long, ids array<{self.id_type}>, tfs array<int>, lens array<int>")
+
     @property
     def blocks(self) -> DataFrame:
-        return self.spark.read.parquet(self.path)
+        return self.spark.read.schema(self.schema).parquet(self.path)
 
     def terms(self, query: str) -> dict[str, tuple[int, int]]:
         """The query's terms with their counts and buckets."""

@@ -447,7 +447,7 @@ class Collection:
         """What the snapshot's manifest names, and what was written since."""
         snap = snap or self.snapshot()
         m, late = snap.manifest, snap.commit > snap.manifest["indexed"]
-        text = {} if late else {c: TextIndex(self.spark, x["path"], x["doc_count"], x["total_len"]) for c, x in m["indexes"]["text"].items()}
+        text = {} if late else {c: TextIndex(self.spark, x["path"], x["doc_count"], x["total_len"], m["ids"] or id_kinds.BIGINT) for c, x in m["indexes"]["text"].items()}
         vector = {c: ivf.Index(self.spark, "id", c, x["metric"], x["centroids"], tuple(map(tuple, x["tables"])), tuple(map(tuple, x["touched"]))) for c, x in m["indexes"]["vector"].items()}
         _, vecs = self.schema(snap)
         gone = self.overlay(snap).select("id").distinct() if late and vector else None

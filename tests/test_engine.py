@@ -184,6 +184,18 @@ def test_index_of_live_rows(spark, tmp_path):
     assert ivf.recall_at([1, 2, 3], [3, 9, 1], 2) == 0.0 and ivf.recall_at([1, 2], [2, 1], 5) == 1.0
 
 
+def test_one_bit_estimates():
+    """Within their error bounds of the true distances; the query in four bits comes close to the one in full."""
+    x, c = vectors_of(300, 64).astype(float), np.zeros(64)
+    q = vectors_of(1, 64, 5)[0].astype(float)
+    bits, norm, product = ivf.codes(x, c)
+    estimate, error = ivf.estimates(bits, norm, product, q, c)
+    true = ((x - q) ** 2).sum(1)
+    assert (np.abs(estimate - true) <= error).mean() > 0.9
+    short = ivf.packed_estimates(np.packbits(bits, axis=1), norm, product, q, c)
+    assert np.abs(short - estimate).mean() < 0.03 * true.mean()
+
+
 def test_index_of_nothing(spark, tmp_path):
     index = ivf.Index.build(spark.createDataFrame([(1, None)], "id bigint, v array<float>"), "id", "v", str(tmp_path / "i"))
     assert index.search([1.0, 0.0]).collect() == [] and index.rows().count() == 0
