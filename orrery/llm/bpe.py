@@ -172,13 +172,15 @@ def _unpress(size: int, blob: bytes) -> list[memoryview]:
     return out
 
 
-_SHUFFLED = "slot int, block binary, bucket int, size long, data binary, rows binary"
-_NAMES = ["slot", "block", "bucket", "size", "data", "rows"]
+_SHUFFLED = "slot int, home int, block binary, bucket int, size long, data binary, rows binary"
+_NAMES = ["slot", "home", "block", "bucket", "size", "data", "rows"]
 
 
-def _message(slots: list[int], blocks: list[bytes], buckets: list[int], sizes: list[int], data: list[bytes], rows: list[bytes | None]) -> pa.RecordBatch:
-    kinds = [pa.int32(), pa.binary(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip((slots, blocks, buckets, sizes, data, rows), kinds)], names=_NAMES)
+def _message(slots: list[int], home: int, block: bytes, buckets: list[int], sizes: list[int], data: list[bytes], rows: bytes | None = None) -> pa.RecordBatch:
+    """Parts of a block, each for a task ``slot``; ``home`` is the task that will put the block together."""
+    n = len(slots)
+    kinds = [pa.int32(), pa.int32(), pa.binary(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip((slots, [home] * n, [block] * n, buckets, sizes, data, [rows] * n), kinds)], names=_NAMES)
 
 
 def _positions(ranks: np.ndarray, single: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -198,7 +200,11 @@ def _ask(buckets: int, keep: list[str]):
     """For each block its positions (bucket -1) and, by bucket, its distinct words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _blocks(batches):
+        from pyspark import TaskContext
+
+        context = TaskContext.get()
+        for k_block, table in enumerate(_blocks(batches)):
+            home = ((context.partitionId() if context else 0) + 31 * k_block) % buckets  # blocks go round the tasks
             words = _words(table)
             sizes, index, distinct = _flat(words)
             text = distinct.cast(pa.binary()).to_pylist()
@@ -225,9 +231,9 @@ def _ask(buckets: int, keep: list[str]):
                 w.write_table(body.combine_chunks())
             rows = sink.getvalue().to_pybytes()
             name = hashlib.md5(b"".join([data, rows, *(d for _, d in asked)])).digest()
-            yield _message([int.from_bytes(name[:6], "little") % buckets], [name], [-1], [size], [data], [rows])
+            yield _message([home], home, name, [-1], [size], [data], rows)
             if full:
-                yield _message(full, [name] * len(full), full, [n for n, _ in asked], [d for _, d in asked], [None] * len(full))
+                yield _message(full, home, name, full, [n for n, _ in asked], [d for _, d in asked])
 
     return run
 
@@ -281,7 +287,7 @@ def _answer(raw: bytes):
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1)
-                slot, block, bucket, size, data = (row.column(k)[0].as_py() for k in range(5))
+                slot, home, block, bucket, size, data = (row.column(k)[0].as_py() for k in range(6))
                 if bucket < 0:
                     yield row
                     continue
@@ -297,7 +303,7 @@ def _answer(raw: bytes):
                     n.append(len(x[0]))
                     sound.append(x[1])
                 size, data = _press(np.array(n, np.uint32), np.array(ids, np.uint16 if len(ranks) <= 1 << 16 else np.uint32), np.array(sound, bool))
-                yield _message([slot], [block], [bucket], [size], [data], [None])
+                yield _message([slot], home, block, [bucket], [size], [data])
 
     return run
 
@@ -361,7 +367,7 @@ def encode(docs: DataFrame, tokenizer: str = TOKENIZER, keep: tuple[str, ...] =
     asked = source.mapInArrow(_ask(buckets, list(keep)), _SHUFFLED)
     answers = asked.repartitionById(buckets, F.col("slot")).mapInArrow(_answer(raw), _SHUFFLED)
     schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField("token_ids", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.LongType()), T.StructField("round_trip", T.BooleanType())])
-    return answers.repartition("block").sortWithinPartitions("block").mapInArrow(_assemble(raw, list(keep)), schema)
+    return answers.repartitionById(buckets, F.col("home")).sortWithinPartitions("block").mapInArrow(_assemble(raw, list(keep)), schema)
 
 
 # ---------------------------------------------------------------- decoding
