@@ -12,6 +12,7 @@ one directory for each 64 kB, whose compression, layout, byte order, predictor a
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -56,21 +57,22 @@ def unpack_bits(raw: bytes, need: int = MOST_BYTES) -> bytes:
     return b"".join(out)
 
 
+_RUN = re.compile(rb"(.)\1{2,}", re.S)
+
+
 def pack_bits(raw: bytes) -> bytes:
-    out, i, n = [], 0, len(raw)
-    while i < n:
-        run = 1
-        while i + run < n and run < 128 and raw[i + run] == raw[i]:
-            run += 1
-        if run > 2:
-            out.append(bytes([257 - run]) + raw[i : i + 1])
-            i += run
-            continue
-        j = i
-        while j < n and j - i < 128 and not (j + 2 < n and raw[j] == raw[j + 1] == raw[j + 2]):
-            j += 1
-        out.append(bytes([j - i - 1]) + raw[i:j])
-        i = j
+    out, at = [], 0
+
+    def literal(stop: int) -> None:
+        out.extend(bytes([min(128, stop - i) - 1]) + raw[i : min(i + 128, stop)] for i in range(at, stop, 128))
+
+    for m in _RUN.finditer(raw):
+        literal(m.start())
+        for i in range(m.start(), m.end(), 128):
+            n = min(128, m.end() - i)
+            out.append(bytes([257 - n if n > 1 else 0]) + m[1])
+        at = m.end()
+    literal(len(raw))
     return b"".join(out)
 
 
@@ -122,37 +124,40 @@ def unpack_lzw(raw: bytes, need: int = MOST_BYTES) -> bytes:
 
 
 def pack_lzw(raw: bytes) -> bytes:
-    out = bytearray()
-    held, bits, width = 256, 9, 9
-    table = {b: i for i, b in enumerate(_SINGLE)}
-    size, word = 258, b""
-    for i in range(len(raw)):
-        longer = word + raw[i : i + 1]
-        if longer in table:
+    codes, widths = [256], [9]
+    table: dict[int, int] = {}
+    size, width, word = 258, 9, -1
+    for c in raw:
+        if word < 0:
+            word = c
+            continue
+        key = word << 8 | c
+        if (longer := table.get(key)) is not None:
             word = longer
             continue
-        held = (held << width) | table[word]
-        bits += width
-        table[longer] = size
+        codes.append(word)
+        widths.append(width)
+        table[key] = size
         size += 1
-        width = 9 if size < 512 else 10 if size < 1024 else 11 if size < 2048 else 12
+        if size >= 512:
+            width = 10 if size < 1024 else 11 if size < 2048 else 12
         if size >= 4094:
-            held = (held << 12) | 256
-            bits += 12
-            table = {b: i for i, b in enumerate(_SINGLE)}
-            size, width = 258, 9
-        word = raw[i : i + 1]
-        if bits > 4096:
-            spare = bits % 8
-            out += (held >> spare).to_bytes(bits // 8, "big")
-            held, bits = held & ((1 << spare) - 1), spare
-    if word:
-        held, bits = (held << width) | table[word], bits + width
+            codes.append(256)
+            widths.append(12)
+            table, size, width = {}, 258, 9
+        word = c
+    if word >= 0:
+        codes.append(word)
+        widths.append(width)
         size += 1
         width = 9 if size < 512 else 10 if size < 1024 else 11 if size < 2048 else 12
-    held, bits = (held << width) | 257, bits + width
-    spare = -bits % 8
-    return bytes(out) + (held << spare).to_bytes((bits + spare) // 8, "big")
+    code, wide = np.array([*codes, 257], np.uint32), np.array([*widths, width])
+    ends = np.cumsum(wide)
+    bits = np.zeros(int(ends[-1]), np.uint8)
+    for b in range(12):
+        has = wide > b
+        bits[ends[has] - 1 - b] = code[has] >> b & 1
+    return np.packbits(bits).tobytes()
 
 
 def _decompress(raw: bytes, how: int, need: int) -> bytes:
@@ -331,7 +336,8 @@ def write(images: list[np.ndarray], how: int, predictor: int = 1, tiled: bool =
         image = image if image.ndim == 3 else image[:, :, None]
         height, width, samples = image.shape
         bits = 1 if image.dtype == bool else 8 * image.dtype.itemsize
-        rows, cols = (64, 64) if tiled else (max(1, min(height, 8192 // width)), width)
+        pixel = max(bits // 8, 1) * (1 if planar else samples)
+        rows, cols = (16, max(16, 64 // pixel // 16 * 16)) if tiled else (max(1, min(height, 8192 // width // pixel)), width)
         places, sizes = [], []
         for plane in np.split(image, samples, 2) if planar else [image]:
             for y in range(0, height, rows):
@@ -377,15 +383,21 @@ def write(images: list[np.ndarray], how: int, predictor: int = 1, tiled: bool =
 SAMPLES = [("u1", 1, False), ("u2", 1, False), ("u1", 3, False), ("u1", 3, True), ("u4", 1, False), ("?", 1, False)]
 
 
+def width_of(kind: str, samples: int) -> int:
+    """Pixels in a row: as many, in sixteens, as ``WIDTH`` bytes hold, but ``WIDTH`` single bits."""
+    return WIDTH if kind == "?" else WIDTH // (samples * int(kind[1])) // 16 * 16
+
+
 def raster(raw: bytes, kind: str = "u1", samples: int = 1) -> list[np.ndarray]:
-    """Bytes, or their bits, in rows of ``WIDTH`` pixels, zero-padded, ``PAGE_BYTES`` to a page; no bytes are one row of zeros."""
+    """Bytes, or their bits, in rows of ``width_of`` pixels, zero-padded, ``PAGE_BYTES`` to a page; no bytes are one row of zeros."""
     out = []
     for i in range(0, max(1, len(raw)), PAGE_BYTES):
         part = raw[i : i + PAGE_BYTES]
-        line = WIDTH // 8 if kind == "?" else WIDTH * samples * int(kind[1])
+        wide = width_of(kind, samples)
+        line = wide // 8 if kind == "?" else wide * samples * int(kind[1])
         rows = max(1, -(-len(part) // line))
         x = np.frombuffer(part.ljust(rows * line, b"\0"), np.uint8)
-        out.append(np.unpackbits(x).astype(bool).reshape(rows, WIDTH, 1) if kind == "?" else x.view(f"<{kind}").astype(kind).reshape(rows, WIDTH, samples))
+        out.append(np.unpackbits(x).astype(bool).reshape(rows, wide, 1) if kind == "?" else x.view(f"<{kind}").astype(kind).reshape(rows, wide, samples))
     return out
 
 

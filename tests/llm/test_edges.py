@@ -84,3 +84,26 @@ def test_mixing_weights(spark, clashing):
             mixing.mix(clashing, {"a": bad})
     with pytest.raises(ValueError):
         mixing.mix(clashing, columns=("doc_id", "copy_no"))
+
+
+def test_queries_on_edge_tables(spark, clashing, tmp_path):
+    """Every registered query and the last stage over tables of such rows, and over the same tables without a row."""
+    from orrery.llm.queries import QUERIES
+
+    extra = [F.lit("own").alias(c) for c in ("id", "q", "rank", "distance", "vec", "key", "error", "page_no", "license", "p_quality")]
+    tables = {
+        "documents": clashing,
+        "labels": spark.createDataFrame([(1, 1, 0), (2, 0, 1), (2, 0, 1), (None, None, None)], "doc_id bigint, quality int, toxic int").select("*", F.lit(1).alias("text")),
+        "embeddings": spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (1, [0.0, 1.0]), (2, None), (None, [1.0, 1.0]), (100, []), (200, [1.0, float("nan")])], "vec_id bigint, embedding array<float>").select("*", *extra),
+        "pages": spark.createDataFrame([(1, "<p>one</p>"), (1, "<p>one</p>"), (2, None), (None, ""), (3, "é" * 70_000)], "page_id bigint, html string").select("*", *extra),
+    }
+    for name, df in tables.items():
+        df.write.parquet(str(tmp_path / "full" / f"{name}.parquet"))
+        df.where("false").write.parquet(str(tmp_path / "none" / f"{name}.parquet"))
+    got = {name: f(spark, str(tmp_path / "full")).collect() for name, f in QUERIES.items()}
+    assert {n: len(r) for n, r in got.items()} == {"op1_simhash": 1, "op2_bpe": 9, "op2_bpe_decoded": 9, "op3_licenses": 0, "op4_tiff": 6, "op5_topk": 1, "op6_token_counts": 9, "op7_mixing": len(got["op7_mixing"]), "op8_quality": 9, "op9_toxicity": 9, "op10_repeats": 1}
+    assert 7 <= len(got["op7_mixing"]) <= 11 and tuple(got["op5_topk"][0]) == (0, 1, 1, 1.414214)
+    assert {name: f(spark, str(tmp_path / "none")).collect() for name, f in QUERIES.items()} == {name: [] for name in QUERIES}
+    staged = bpe.encode_stage(spark, clashing, "")
+    assert staged.columns == ["doc_id", "lang", "source", "token_ids", "n_tokens", "round_trip"] and staged.count() == 9
+    assert bpe.encode_stage(spark, clashing.where("false"), "").collect() == []
