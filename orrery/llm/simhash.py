@@ -3,20 +3,18 @@
 A document's fingerprint has 256 bits: for each bit, the sign of the sum of its distinct
 words' random signs, longer words weighing more.  All bits take part in the search, as 16 blocks of 16.  In a block the 4,096
 words of the covering code [15, 11] (Hamming) x {0, 1} are the anchors: every value is within covering radius 1 of exactly one of them, its home.
-Two values that differ in at most one bit share an anchor within radius 1 + 1 of both, so a fingerprint is replicated to
-all anchors within distance 2 of each block's value (home included, 9 at most) and compared, per anchor, with those whose
-home that anchor is.  Pairs within ``threshold`` of 256 bits are near-duplicates; groups are their connected components.
+A fingerprint is replicated to all anchors within distance 2 of each block's value (home included, 9 at most).  Pairs within ``threshold``
+of 256 bits are near-duplicates; groups are their connected components.
 
-What is found.  Every pair up to 31 bits apart, for 32 differing bits are needed to put two into each of 16 blocks.  Further apart a pair
-is missed only if in no block one's home lies within 2 of the other's value: of random pairs at the threshold of 47 itself 4 in 10,000, at 44 bits
-1 in 10,000, at 40 bits 5 in a million (simulated; a test holds it).  Covering the threshold itself, three bits in a block, would take 37 anchors a block
-in place of 9, and compare every second pair of the corpus.
+What is found.  Every pair within the threshold.  Two fingerprints at most 47 bits apart differ in at most two bits of some block, as three in each of 16
+blocks are 48.  Between two such values lies one that is within 1 of both, and its home is within 2 of both: both were sent there.  Each pair of values at most
+two bits apart is dealt to one such anchor, and all rows of the one are compared with all of the other in its group (``pairs_of``).  A greater threshold is an error.
 
 Scale.  Anchors are dealt to groups by ``k`` of their bits, and a fingerprint travels once to every group that has an anchor near it (5 of
 the 32 groups of a block at ``k`` = 5, and 7.4 of 2,048 at 11); ``k`` follows the number of distinct fingerprints, so that a group's rows fit a task.  Groups that stay
-large at the greatest ``k`` are split: each part has a share of the homes and all rows.  Inside an anchor, rows within the threshold of a common
-leader are linked to it and not compared among each other, so a cluster of near copies costs its size and not the square of it.  The number of
-anchors is fixed: comparisons between unlike documents grow as 0.035 n^2, divided among all tasks.
+large at the greatest ``k`` are split: each part has a share of the rows to compare with all.  Inside a group, rows within the threshold of a common
+leader are linked to it and not compared among each other, so a cluster of near copies costs its size and not the square of it.  The values two bits apart
+are 137 of 65,536, so comparisons between unlike documents grow as 0.017 n^2, divided among all tasks.
 """
 
 from __future__ import annotations
@@ -36,8 +34,10 @@ from orrery.llm.common import by_key, column, components, cut, fresh, hash_words
 BLOCKS, BITS, WORDS = 16, 16, 4
 FP = [f"f{k}" for k in range(WORDS)]
 THRESHOLD = 47
-#: Distinct fingerprints for each group of a block; least and most bits that deal anchors to groups; tasks at least; homes in one part of a group that is larger; comparisons in an anchor from which leaders are sought, and how many.
-GROUP_ROWS, LEAST_BITS, MOST_BITS, LEAST_TASKS, PART_HOMES, MANY, LEADERS = 250_000, 5, 11, 128, 200_000, 4_000_000, 64
+#: Distinct fingerprints for each group of a block; least and most bits that deal anchors to groups; tasks at least; homes in one part of a group that is larger; comparisons from which leaders are sought, and how many; rows of a leader, fewer of which are few, and after how many such leaders of a group no more are sought.
+GROUP_ROWS, LEAST_BITS, MOST_BITS, LEAST_TASKS, PART_HOMES, MANY, LEADERS, LED, FEW = 250_000, 5, 11, 128, 200_000, 4_000_000, 64, 256, 8
+#: Comparisons of one value's rows from which they are made as a matrix, and of a group from which leaders are sought; pairs compared at once.
+MATRIX, AT_ONCE = 20_000, 1_000_000
 _WORD = re.compile(r"\w+")
 
 
@@ -97,6 +97,32 @@ def groups_of(k: int) -> np.ndarray:
     return _groups[k]
 
 
+_pairs: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+
+
+def pairs_of(k: int, group: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of values ``(u, v)`` at most two bits apart that a group, by the low ``k`` bits, compares, in order of ``u``; each pair is in one group, in one order.
+
+    It is the group of one's home, ``u``, where that is within 2 of the other; else that of the home of a value between the two.
+    """
+    if k not in _pairs:
+        u = np.arange(1 << BITS, dtype=np.int32)
+        home = NEAR[:, 0]
+        found = [(u, u, home)]
+        for flip in [1 << i for i in range(BITS)] + [1 << i | 1 << j for i in range(BITS) for j in range(i)]:
+            v = u ^ flip
+            reach, back = np.bitwise_count(home ^ v) <= 2, np.bitwise_count(home[v] ^ u) <= 2
+            first = np.where(reach == back, u < v, reach)
+            at = np.where(reach, home, home[u ^ (flip & -flip)])
+            found.append((u[first], v[first], at[first]))
+        left, right, at = (np.concatenate(c).astype(np.int64) for c in zip(*found))
+        at &= (1 << k) - 1
+        order = np.argsort(at << 32 | left << 16 | right)
+        _pairs[k] = left[order].astype(np.uint16), right[order].astype(np.uint16), np.r_[0, np.cumsum(np.bincount(at, minlength=1 << k))]
+    left, right, cuts = _pairs[k]
+    return left[cuts[group] : cuts[group + 1]], right[cuts[group] : cuts[group + 1]]
+
+
 def blocks(fp: np.ndarray) -> np.ndarray:
     """The 16-bit values of each fingerprint."""
     return np.ascontiguousarray(fp).view(np.uint16).reshape(len(fp), BLOCKS).astype(np.int32)
@@ -132,7 +158,7 @@ def _homes(k: int):
 
 
 def _replicate(k: int, parts: np.ndarray):
-    """Every row to the groups in which it has an anchor, and there to each part; ``own`` in the part that has its home."""
+    """Every row to the groups in which it has an anchor, and there to each part; ``own`` in the part that compares it with all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, 2048):
@@ -143,7 +169,7 @@ def _replicate(k: int, parts: np.ndarray):
             turn = (splitmix(ids.view(np.uint64)) >> np.uint64(33)).astype(np.int64)[row] % parts[key]
             again = np.repeat(np.arange(len(row)), parts[key])
             part = np.arange(len(again)) - np.repeat(np.cumsum(parts[key]) - parts[key], parts[key])
-            row, key, own = row[again], key[again], (place[again] == 0) & (turn[again] == part)
+            row, key, own = row[again], key[again], turn[again] == part
             cols = [pa.array((key * (1 << 20) + part).astype(np.int64)), pa.array(own), pa.array(ids[row])]
             yield pa.RecordBatch.from_arrays(cols + [pa.array(fp[row, j].view(np.int64)) for j in range(WORDS)], names=["key", "own", "rep", *FP])
 
@@ -202,21 +228,85 @@ def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             return nodes, nodes[root]
 
 
+def _led(fp: np.ndarray, value: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each row its leader's class, -1 for none, and the links to leaders.
+
+    A leader has the value most frequent among rows without one; ``FEW`` leaders of fewer than ``LED`` rows end the search.
+    """
+    led, few = np.full(len(fp), -1), 0
+    a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for c in range(LEADERS):
+        free = np.flatnonzero(led < 0)
+        if not len(free) or few == FEW:
+            break
+        lead = free[np.argmax(value[free] == np.argmax(np.bincount(value[free])))]
+        hit = np.flatnonzero(np.bitwise_count(fp ^ fp[lead]).sum(1) <= threshold)
+        hit = hit[hit != lead]
+        few += len(hit) < LED
+        a.append(np.full(len(hit), lead))
+        b.append(hit)
+        led[lead] = c
+        led[hit[led[hit] < 0]] = c
+    return led, np.concatenate(a), np.concatenate(b)
+
+
+def _runs(n: np.ndarray) -> np.ndarray:
+    """0, 1, ... for each of ``n``."""
+    return np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+
+
+def _across(fp: np.ndarray, value: np.ndarray, homes: np.ndarray, members: np.ndarray, pairs: tuple[np.ndarray, np.ndarray], block: int, threshold: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs within the threshold of one of ``homes`` of a value ``u`` and one of ``members`` of ``v``, for all ``pairs (u, v)``; or pairs that join the same rows."""
+    homes, members = (x[np.argsort(value[x], kind="stable")] for x in (homes, members))
+    n, m = (np.bincount(value[x], minlength=1 << BITS) for x in (homes, members))
+    at_n, at_m = np.cumsum(n) - n, np.cumsum(m) - m
+    there = (n[pairs[0]] > 0) & (m[pairs[1]] > 0)
+    u, v = (x[there].astype(np.int64) for x in pairs)
+    work = np.bincount(u, n[u] * m[v], 1 << BITS)
+    matrix = work[u] >= MATRIX
+    for one in np.unique(u[matrix]):
+        own = homes[at_n[one] : at_n[one] + n[one]]
+        others = np.concatenate([members[at_m[x] : at_m[x] + m[x]] for x in v[u == one]])
+        yield linked(fp, own, np.union1d(own, others), threshold)
+    u, v = u[~matrix], v[~matrix]
+    # every home once for each v, then once for each member of it; the words of other blocks first
+    words = [(block // 4 + i) % 4 for i in (1, 2)]
+    row, to = homes[np.repeat(at_n[u], n[u]) + _runs(n[u])], np.repeat(v, n[u])
+    steps = np.cumsum(m[to]) // AT_ONCE
+    cuts = np.r_[0, np.flatnonzero(np.diff(steps)) + 1, len(to)]
+    for i, j in zip(cuts[:-1], cuts[1:]):
+        x, y, many = row[i:j], to[i:j], m[to[i:j]]
+        other = members[np.repeat(at_m[y], many) + _runs(many)]
+        half = sum(np.bitwise_count(np.repeat(fp[x, w], many) ^ fp[other, w]) for w in words)
+        ok = np.flatnonzero(half <= threshold)
+        x, y = np.repeat(x, many)[ok], other[ok]
+        ok = np.bitwise_count(fp[x] ^ fp[y]).sum(1) <= threshold
+        yield x[ok], y[ok]
+
+
 def compare_group(ids: np.ndarray, own: np.ndarray, fp: np.ndarray, block: int, group: int, k: int, threshold: int) -> tuple[np.ndarray, np.ndarray]:
-    """Edges of a forest over ``ids``, from comparing the rows of each anchor of the group with its homes."""
-    near = NEAR[blocks(fp)[:, block]]
-    row, place = np.nonzero((near >= 0) & ((near & ((1 << k) - 1)) == group))
-    anchor = near[row, place]
-    order = np.argsort(anchor, kind="stable")
-    row, anchor, home = row[order], anchor[order], ((place == 0) & own[row])[order]
-    cuts = np.r_[0, np.flatnonzero(anchor[1:] != anchor[:-1]) + 1, len(anchor)]
+    """Edges of a forest over ``ids``, from comparing the ``own`` rows of each value with all rows of the values that the group pairs with it."""
+    mine, led = np.flatnonzero(own), np.full(len(fp), -1)
+    value = blocks(fp)[:, block]
     a, b = [], []
-    for i, j in zip(cuts[:-1], cuts[1:]):
-        if j - i > 1 and home[i:j].any():
-            x, y = linked(fp, row[i:j][home[i:j]], row[i:j], threshold)
+    if len(mine) * len(fp) > MATRIX:
+        led, x, y = _led(fp, value, threshold)
+        a.append(x)
+        b.append(y)
+    for c in np.unique(led[mine]):
+        homes, others = mine[led[mine] == c], np.arange(len(fp)) if c < 0 else np.flatnonzero(led != c)
+        if len(homes) * len(others) <= AT_ONCE:  # few enough to compare every two
+            x, y = near_pairs(fp[homes], fp[others], threshold)
+            found = iter([(homes[x], others[y])])
+        else:
+            found = _across(fp, value, homes, others, pairs_of(k, group), block, threshold)
+        for x, y in found:
             ok = x != y
             a.append(x[ok])
             b.append(y[ok])
+            if sum(map(len, a)) > MANY:
+                x, y = _forest(np.concatenate(a), np.concatenate(b))
+                a, b = [x], [y]
     if not sum(map(len, a)):
         return ids[:0], ids[:0]
     return _forest(ids[np.concatenate(a)], ids[np.concatenate(b)])
@@ -243,6 +333,8 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, group_rows: int
     stands in each text's group).  ``doc_id`` must hold whole numbers.  Only ``doc_id`` and ``text`` are read, whatever else there is;
     an empty table gives no rows.
     """
+    if threshold >= 3 * BLOCKS:
+        raise ValueError(f"the search is for pairs at most {3 * BLOCKS - 1} bits apart, not {threshold}")
     whole_ids(docs, "doc_id")
     base = spread(docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
     prints = cut(base.mapInArrow(_fingerprint, "doc_id long, worded boolean, " + ", ".join(f"{f} long" for f in FP)))

@@ -98,6 +98,40 @@ def test_simhash_groups_and_leaders():
         assert (got[1] == want[1]).all()
 
 
+def unmet(rng, d):
+    """Values ``d`` bits apart, neither of which has its home within 2 of the other."""
+    while True:
+        u = int(rng.integers(0, 1 << 16))
+        v = u ^ sum(1 << int(i) for i in rng.choice(16, d, replace=False))
+        if simhash.NEAR[u, 0] not in simhash.NEAR[v] and simhash.NEAR[v, 0] not in simhash.NEAR[u]:
+            return u, v
+
+
+def test_simhash_loses_no_pair():
+    """Pairs at the threshold itself of which no home is near the other, in any block, are linked, however groups are split and whatever is led."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(8)
+    two = [[unmet(rng, 2 if b == k else 3) for b in range(16)] for k in range(16)]
+    fp = np.array([[p[side] for p in of] for of in two for side in (0, 1)], np.uint16).view(np.uint64)
+    many = flipped(np.repeat(fp[:1], 3000, 0), 8, rng)
+    fp = np.concatenate([fp, many, rng.integers(0, 2**63, (3000, 4)).astype(np.uint64)])
+    ids = rng.permutation(len(fp)) * 7
+    assert set(np.bitwise_count(fp[0:32:2] ^ fp[1:32:2]).sum(1)) == {simhash.THRESHOLD}
+    batch = pa.RecordBatch.from_arrays([pa.array(ids), *(pa.array(fp[:, j].view(np.int64)) for j in range(4))], names=["rep", *simhash.FP])
+    for k, parts in ((0, 1), (5, 1), (5, 3)):
+        copies = pa.Table.from_batches(simhash._replicate(k, np.full(16 << k, parts))(iter([batch]))).sort_by("key").to_batches()
+        out = pa.Table.from_batches(simhash._compare(k, simhash.THRESHOLD)(iter(copies)))
+        node, root = simhash._forest(np.r_[out["a"].to_numpy(), ids], np.r_[out["b"].to_numpy(), ids])
+        of = dict(zip(node.tolist(), root.tolist()))
+        assert all(of[ids[i]] == of[ids[i + 1]] for i in range(0, 32, 2)) and len({of[i] for i in ids}) == 3016
+    pairs = [simhash.pairs_of(5, g) for g in range(32)]
+    u, v = (np.concatenate(x).astype(int) for x in zip(*pairs))
+    assert len(u) == (1 << 16) * 137 // 2 + (1 << 15) == len(np.unique(np.minimum(u, v) << 16 | np.maximum(u, v))) and np.bitwise_count(u ^ v).max() == 2
+    with pytest.raises(ValueError, match="47"):
+        simhash.near_duplicates(None, threshold=48)
+
+
 def test_simhash_split_groups(docs):
     want = {tuple(r) for r in simhash.near_duplicates(docs).collect()}
     assert {tuple(r) for r in simhash.near_duplicates(docs, group_rows=0.005, part_homes=1).collect()} == want
