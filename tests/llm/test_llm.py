@@ -544,6 +544,20 @@ def test_toxicity_train_is_fit(spark):
     assert left.toxic  # a tie with the threshold
 
 
+def test_toxicity_trains_on_every_label(spark, monkeypatch):
+    """A word that only the toxic documents last by a hash of their ids have is learnt; the executors' steps are the driver's."""
+    order = [r.id for r in spark.range(4600).orderBy(F.xxhash64("id"), "id").collect()]
+    toxic, late = set(order[::3]), set(order[::3][-30:])
+    rows = [(i, f"{prose(8)} {'' if i not in toxic else 'wretchedness' if i in late else 'vilestem'} {prose(8)}") for i in range(4600)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, int(i in toxic)) for i, _ in rows], "doc_id bigint, toxic int")
+    model = toxicity.train(docs, labels)
+    assert sum(model.toxic(t) for i, t in rows if i in late) >= 28 and sum(model.toxic(t) for i, t in rows if i not in toxic) <= 30
+    monkeypatch.setattr(toxicity, "BLOCK", 10_000)
+    alone = toxicity.train(docs, labels)
+    assert max(abs(model.probability(t) - alone.probability(t)) for _, t in rows[::10]) < 0.01
+
+
 def test_pipeline_by_brute_force(spark, tmp_path):
     """All five stages over a small corpus with copies, near copies, shared passages and toxic documents, each stage written out here."""
     import hashlib
