@@ -46,28 +46,82 @@ SIZES, BITS, LEVELS, KEEP = (5, 6, 7), 18, 2, 2000
 _GAP = re.compile(r"\W+")
 
 
-def _runs(text: str) -> np.ndarray:
-    """The bucket of every run of bytes that lies in one word; a blank before or after the word counts as part of it."""
-    raw = np.frombuffer(f" {_GAP.sub(' ', text.lower())} ".encode(), np.uint8).astype(np.uint64)
-    blank = raw == 32
-    out = [np.empty(0, np.int64)]
-    for n in SIZES:
-        k = len(raw) - n + 1
-        if k < 1:
-            break
-        h, inside = np.full(k, n, np.uint64), np.ones(k, bool)
-        for j in range(n):
-            h = h << np.uint64(8) | raw[j : j + k]
-            if 0 < j < n - 1:
-                inside &= ~blank[j : j + k]
-        out.append((splitmix(h[inside]) >> np.uint64(64 - BITS)).astype(np.int64))
-    return np.concatenate(out)
+#: Lower case of the signs of one byte in Latin-1, a blank for those outside words.
+_LATIN = bytes(ord(c.lower()) if not _GAP.match(c) else 32 for c in map(chr, range(256)))
+
+
+def _words(text: str) -> bytes:
+    """The text in lower case with blanks for all that isn't in words; how many blanks part two words doesn't matter."""
+    try:
+        return text.encode("latin-1").translate(_LATIN).decode("latin-1").encode()
+    except UnicodeEncodeError:
+        return _GAP.sub(" ", text.lower()).encode()
+
 
+def _runs(texts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
+    """By size, the bucket of every run of bytes that lies in one word and where it starts; where each text starts, and the end.
 
-def _features(text: str) -> np.ndarray:
-    """Distinct features: a bucket plus ``l << BITS`` if it occurs more than ``l`` times."""
-    found, n = np.unique(_runs(text), return_counts=True)
-    return np.concatenate([found[n > l] + (l << BITS) for l in range(LEVELS)]).astype(np.int32)
+    A blank before or after the word counts as part of it.  All texts lie in one array, with a blank before each and behind the last.
+    """
+    each = [_words(t) for t in texts]
+    begins = np.cumsum([0, *(len(x) + 1 for x in each)])
+    k = int(begins[-1])
+    raw = np.frombuffer(b" ".join([b"", *each, bytes(8)]), np.uint8)
+    blank = raw == 32
+    blank[k:] = True  # no run goes on behind the last text
+    inside = np.ones(k, bool)
+    at = eight = None
+    runs, places, seen = [], [], 1
+    for n in SIZES:
+        for j in range(seen, n - 1):
+            inside &= ~blank[j : j + k]
+        seen = n - 1
+        if at is None:
+            at = np.flatnonzero(inside)
+            eight = np.ndarray(k, ">u8", raw, strides=(1,)).astype(np.uint64)[at]
+        else:
+            on = inside[at]
+            at, eight = at[on], eight[on]
+        runs.append((splitmix(eight >> np.uint64(64 - 8 * n) | np.uint64(n << 8 * n)) >> np.uint64(64 - BITS)).astype(np.int64))
+        places.append(at)
+    return runs, places, begins
+
+
+def _together(texts: list[str], least: int = 100_000) -> Iterator[tuple[int, list[str]]]:
+    """The texts in lists of ``least`` signs or a little more, so that arrays over a list are neither short nor large; each with the place of its first."""
+    first = signs = 0
+    for i, t in enumerate(texts):
+        signs += len(t)
+        if signs >= least or i == len(texts) - 1:
+            yield first, texts[first : i + 1]
+            first, signs = i + 1, 0
+
+
+def _features(texts: list[str]) -> Iterator[np.ndarray]:
+    """For each text its distinct features: a bucket plus ``l << BITS`` if it occurs more than ``l`` times."""
+    last = np.empty(1 << BITS, np.int32)
+    for _, some in _together(texts):
+        runs, places, begins = _runs(some)
+        parts = [np.searchsorted(at, begins) for at in places]
+        for i in range(len(some)):
+            rest, found = np.concatenate([x[p[i] : p[i + 1]] for x, p in zip(runs, parts)]), []
+            for l in range(LEVELS):
+                order = np.arange(len(rest), dtype=np.int32)
+                last[rest] = order
+                one = last[rest] == order  # of equal buckets the one written last
+                found.append(rest[one] + (l << BITS))
+                rest = rest[~one]
+            yield np.concatenate(found).astype(np.int32)
+
+
+def _counted(texts: list[str], at: np.ndarray, n_buckets: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """For every list of texts the place of its first and how many they are; then, in order, a text's place in the list, one of its buckets as ``at`` numbers them, how often it has it."""
+    for first, some in _together(texts):
+        runs, places, begins = _runs(some)
+        hits = [at[x] for x in runs]
+        owner = np.concatenate([np.searchsorted(begins, where[hit >= 0], "right") - 1 for hit, where in zip(hits, places)])
+        found, n = np.unique(owner * n_buckets + np.concatenate([hit[hit >= 0] for hit in hits]), return_counts=True)
+        yield first, len(some), found // max(n_buckets, 1), found % max(n_buckets, 1), n
 
 
 @dataclass(frozen=True)
@@ -84,14 +138,21 @@ class Model:
         at[list(self.weights)] = np.arange(len(self.weights))
         return at, np.array(list(self.weights.values())).reshape(-1, LEVELS, len(self.bias))
 
-    def probability(self, text: str) -> float:
+    def probabilities(self, texts: list[str | None]) -> list[float | None]:
+        """That of every text, null for null."""
         at, weights = self._table
-        hit = at[_runs(text)]
-        n = np.bincount(hit[hit >= 0], minlength=len(weights))
-        z = np.array(self.bias)
-        for l in range(LEVELS):
-            z = z + weights[n > l, l].sum(0)
-        return round(float(np.mean(1 / (1 + np.exp(-np.clip(z, -30, 30))))), 6)
+        out = []
+        for _, size, owner, bucket, n in _counted([t for t in texts if t is not None], at, len(weights)):
+            z = np.tile(self.bias, (size, 1))
+            for l in range(LEVELS):
+                own, by = owner[n > l], weights[bucket[n > l], l]
+                z += np.stack([np.bincount(own, by[:, m], size) for m in range(z.shape[1])], 1)
+            out += [round(x, 6) for x in (1 / (1 + np.exp(-np.clip(z, -30, 30)))).mean(1).tolist()]
+        found = iter(out)
+        return [None if t is None else next(found) for t in texts]
+
+    def probability(self, text: str) -> float:
+        return self.probabilities([text])[0]
 
     def toxic(self, text: str | None) -> bool:
         return text is not None and self.probability(text) >= self.threshold
@@ -140,13 +201,17 @@ class Block:
         owner, starts, used = by
         out = np.zeros((len(g), n_features))
         if len(owner):
-            out[:, used] = np.add.reduceat(g[:, owner], starts, axis=1)
+            owner = owner.astype(np.intp)
+            for own, of in zip(out, g):  # a fit at a time gathers faster than all at once, and "clip", with nothing to clip, faster than looking for places outside
+                own[used] = np.add.reduceat(of.take(owner, mode="clip"), starts)
         return out
 
     def logits(self, w: np.ndarray, b: np.ndarray) -> np.ndarray:
         z = np.repeat(b[:, None], len(self.fold), 1)
         if len(self.rows):
-            z[:, self.rows] += np.add.reduceat(w[:, self.cols], self.starts, axis=1)
+            cols = self.cols.astype(np.intp)
+            for own, of in zip(z, w):
+                own[self.rows] += np.add.reduceat(of.take(cols, mode="clip"), self.starts)
         return z
 
     def totals(self, n_features: int) -> list[np.ndarray]:
@@ -243,7 +308,7 @@ def fit(positive: list[str], unlabelled: list[str], prior: float, members: int =
     """A model from texts.  With no positives, no unlabelled text or no feature that tells them apart it finds nothing toxic."""
     if not positive or not unlabelled:
         return _nothing(members)
-    pos, unl = ([_features(t) for t in sorted(set(texts))] for texts in (positive, unlabelled))
+    pos, unl = ([np.sort(x) for x in _features(sorted(set(texts)))] for texts in (positive, unlabelled))
     chosen = _choose(_counts(pos), _counts(unl), len(pos), len(unl))
     if not len(chosen):
         return _nothing(members)
@@ -273,9 +338,8 @@ def least_loss(toxic: np.ndarray, clean: np.ndarray, strict: float = STRICT, n_t
 def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of a task's texts: by fold and kind, unlabelled (all of them) or positive, how many have each feature; -1 stands for the texts themselves."""
     seen, texts = np.zeros((4, LEVELS << BITS), np.int64), np.zeros(4, np.int64)
-    for batch in pieces(batches, 64):
-        for text, fold, toxic in zip(*(column(batch, c) for c in ("text", "fold", "toxic"))):
-            own = _features(text)
+    for batch in pieces(batches):
+        for own, fold, toxic in zip(_features(column(batch, "text")), column(batch, "fold"), column(batch, "toxic")):
             for kind in (2 * fold, 2 * fold + 1)[: 2 if toxic else 1]:
                 seen[kind][own] += 1
                 texts[kind] += 1
@@ -296,14 +360,17 @@ def _keep(chosen: np.ndarray):
         at[buckets] = np.arange(len(buckets))
         place = np.full((LEVELS, len(buckets)), -1)
         place[chosen >> BITS, at[chosen & ((1 << BITS) - 1)]] = np.arange(len(chosen))
-        for batch in pieces(batches, 64):
-            found = []
-            for text in column(batch, "text"):
-                hit = at[_runs(text)]
-                n = np.bincount(hit[hit >= 0], minlength=len(buckets))
-                own = np.concatenate([place[l][n > l] for l in range(LEVELS)])
-                found.append(own[own >= 0].astype(np.int32))
-            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in ("key", "fold", "toxic")), pa.array(found, pa.list_(pa.int32()))], names=["key", "fold", "toxic", "features"])
+        for batch in pieces(batches):
+            each = []
+            for first, _, owner, bucket, n in _counted(column(batch, "text"), at, len(buckets)):
+                own = np.concatenate([owner[n > l] for l in range(LEVELS)]) + first
+                found = np.concatenate([place[l][bucket[n > l]] for l in range(LEVELS)])
+                order = np.argsort(own, kind="stable")
+                each.append((own[order][found[order] >= 0], found[order][found[order] >= 0]))
+            own, found = (np.concatenate(x) for x in zip(*each))
+            ends = np.cumsum(np.bincount(own, minlength=batch.num_rows))
+            features = pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), pa.array(found.astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in ("key", "fold", "toxic")), features], names=["key", "fold", "toxic", "features"])
 
     return run
 
@@ -412,7 +479,7 @@ def _over_executors(blocks) -> Over:
 def _score(model: Model, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, 512):
-            p = [None if t is None else model.probability(t) for t in column(batch, "text")]
+            p = model.probabilities(column(batch, "text"))
             toxic = [x is not None and x >= threshold for x in p]
             yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("doc_id")), pa.array(p, pa.float64()), pa.array(toxic, pa.bool_())], names=["doc_id", "p_toxic", "toxic"])
 
@@ -432,7 +499,7 @@ def score(docs: DataFrame, model: Model, threshold: float | None = None) -> Data
 def _reject(model: Model, text: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, 512):
-            yield batch.filter(pa.array([not model.toxic(t) for t in column(batch, text)], pa.bool_()))
+            yield batch.filter(pa.array([p is None or p < model.threshold for p in model.probabilities(column(batch, text))], pa.bool_()))
 
     return run
 
