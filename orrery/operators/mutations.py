@@ -63,10 +63,11 @@ def outcome(tried: DataFrame) -> DataFrame:
     return tried.agg(F.count_if("applied").alias("affected"), n(UPSERT).alias("upserted"), n(PATCH).alias("patched"), n(DELETE).alias("deleted"), F.count_if(~F.col("applied")).alias("skipped"))
 
 
-def select_for_write(state: DataFrame, where: Filter, max_rows: int, partial: bool, id_col: str = "id") -> tuple[DataFrame, bool]:
-    """Ids that a write by filter touches, and whether rows remain.  More than ``max_rows`` is an error unless ``partial``, which takes the first by id."""
+def select_for_write(state: DataFrame, where: Filter, max_rows: int | None, partial: bool, id_col: str = "id") -> tuple[DataFrame, bool]:
+    """Ids that a write by filter touches, and whether rows remain.  More than ``max_rows`` is an error unless ``partial``, which takes the first by id;
+    without ``max_rows`` every row that matches is written."""
     matching = state.where(flag(where, state.schema)).select(id_col)
-    over = matching.limit(max_rows + 1).count() > max_rows
+    over = max_rows is not None and matching.count() > max_rows  # each task counts its own; a limit would pass the rows through one
     if over and not partial:
         raise InvalidWrite(f"more than {max_rows} rows match")
     return (matching.orderBy(id_col).limit(max_rows) if over else matching), over

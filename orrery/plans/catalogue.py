@@ -485,7 +485,7 @@ def write_outcome(s, d):
 @query("SELECT o_orderkey AS id, CASE WHEN o_orderstatus = 'O' THEN 'X' ELSE o_orderstatus END AS o_orderstatus FROM orders")
 def patch_by_filter(s, d):
     orders, _ = order_ops(s, d)
-    ids, _ = mutations.select_for_write(orders, eq("o_orderstatus", "O"), 10**9, False)
+    ids, _ = mutations.select_for_write(orders, eq("o_orderstatus", "O"), None, False)
     hit = ids.withColumnRenamed("id", "hit")
     return orders.join(hit, orders["id"] == hit["hit"], "left").select("id", F.when(F.col("hit").isNotNull(), "X").otherwise(F.col("o_orderstatus")).alias("o_orderstatus"))
 
@@ -559,10 +559,10 @@ def _idempotent(s, c, root):
 
 def _written_by_filter(s, c, root):
     """Patches and deletions by filter, before and after a flush, as batches that Spark writes."""
-    c.patch_by_filter(eq("name", "O"), {"name": "open"}, max_rows=10**9)
+    c.patch_by_filter(eq("name", "O"), {"name": "open"}, max_rows=None)
     c.flush()
-    c.delete_by_filter(gte("price", 200000.0), key="d")
-    c.delete_by_filter(gte("price", 200000.0), key="d")
+    c.delete_by_filter(gte("price", 200000.0), max_rows=None, key="d")
+    c.delete_by_filter(gte("price", 200000.0), max_rows=None, key="d")
     return c.df()
 
 

@@ -387,7 +387,7 @@ class Collection:
 
         return self._once(key, _sha("append_if" + json.dumps([[{k: v for k, v in op.items() if k != "condition"}, repr(of(op))] for op in ops], sort_keys=True)), write)
 
-    def _by_filter(self, where: Filter, op: str, attributes: dict, max_rows: int, partial: bool, key: str | None) -> dict:
+    def _by_filter(self, where: Filter, op: str, attributes: dict, max_rows: int | None, partial: bool, key: str | None) -> dict:
         def write(held: str | None) -> dict:
             attrs, _, _ = self._extend([{"id": 0, "op": op, "attributes": attributes}], self._state() | {"ids": None})
             chosen, remain = mutations.select_for_write(self.df(), where, max_rows, partial)
@@ -397,11 +397,11 @@ class Collection:
 
         return self._once(key, _sha(op + "_by_filter" + json.dumps([repr(where), attributes, max_rows, partial], sort_keys=True)), write)
 
-    def patch_by_filter(self, where: Filter, attributes: dict, max_rows: int = PATCH_ROWS, partial: bool = False, key: str | None = None) -> dict:
-        """Patches every row that passes, by a batch that Spark writes; ``batch`` reads which."""
+    def patch_by_filter(self, where: Filter, attributes: dict, max_rows: int | None = PATCH_ROWS, partial: bool = False, key: str | None = None) -> dict:
+        """Patches every row that passes, by a batch that Spark writes; ``batch`` reads which.  More than ``max_rows`` is an error, or with ``partial`` left over; None is no limit."""
         return self._by_filter(where, mutations.PATCH, attributes, max_rows, partial, key)
 
-    def delete_by_filter(self, where: Filter, max_rows: int = DELETE_ROWS, partial: bool = False, key: str | None = None) -> dict:
+    def delete_by_filter(self, where: Filter, max_rows: int | None = DELETE_ROWS, partial: bool = False, key: str | None = None) -> dict:
         return self._by_filter(where, mutations.DELETE, {}, max_rows, partial, key)
 
     # ------------------------------------------------------------ reads

@@ -493,3 +493,26 @@ def test_text_columns_only(spark):
         execute(df, "id", Query(text={"column": "x", "query": "a", "k": 1}))
     with pytest.raises(InvalidQuery):
         execute(df, "id", Query(approx_vector={"column": "x", "vector": [1.0], "k": 1}), Indexes())
+
+
+def test_writes_of_every_row(spark, tmp_path, monkeypatch):
+    """Without a limit a write by filter takes all that match, however many; a limit counts them without passing them through one task."""
+    c = Collection.create(spark, str(tmp_path), "docs")
+    c.append_frame(spark.range(40).select("id", F.lit("upsert").alias("op"), (F.col("id") % 4).alias("n")))
+    monkeypatch.setattr(Collection.delete_by_filter, "__defaults__", (9, False, None))
+    with pytest.raises(InvalidWrite):
+        c.delete_by_filter(gte("n", 1))
+    assert c.delete_by_filter(gte("n", 3), partial=True)["rows_remaining"] and c.df().count() == 31
+    assert c.patch_by_filter(gte("n", 0), {"n": 5}, max_rows=None)["patched"] == 31
+    done = c.delete_by_filter(gte("n", 1), max_rows=None, key="d")
+    assert done["deleted"] == 31 and not done["rows_remaining"] and c.delete_by_filter(gte("n", 1), max_rows=None, key="d") == done and c.df().isEmpty()
+
+
+def test_collection_by_filter_has_no_limit(spark, tmp_path, monkeypatch):
+    """The registered query deletes all that its SQL does, though a call's default limit is less."""
+    from orrery.plans import catalogue
+
+    spark.createDataFrame([(i, "O" if i % 2 else "F", 1, 100000.0 * (1 + i % 3)) for i in range(30)], "o_orderkey bigint, o_orderstatus string, o_custkey int, o_totalprice double").write.parquet(f"{tmp_path}/orders.parquet")
+    monkeypatch.setattr(Collection.delete_by_filter, "__defaults__", (9, False, None))
+    rows = catalogue.QUERIES["collection_by_filter"](spark, str(tmp_path)).collect()
+    assert sorted((r.id, r.name) for r in rows) == [(i, "open" if i % 2 else "F") for i in range(0, 30, 3)]
