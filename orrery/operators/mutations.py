@@ -15,8 +15,9 @@ from orrery.operators.filters import Filter, flag
 UPSERT, PATCH, DELETE = "upsert", "patch", "delete"
 
 
-def fold(log: DataFrame, attributes: list[str], id_col: str = "id") -> DataFrame:
+def fold(log: DataFrame, attributes: list[str], id_col: str = "id", dead: bool = False) -> DataFrame:
     """The live documents: for each id the last upsert or delete resets it, and what comes after is laid over by attribute.
+    With ``dead`` those that were deleted are there too, and a column ``deleted`` tells them.
 
     One aggregate by id, which combines before its shuffle and holds one value of each attribute however long an id's history is.
     A delete followed by patches recreates the document.
@@ -25,9 +26,10 @@ def fold(log: DataFrame, attributes: list[str], id_col: str = "id") -> DataFrame
     mentioned = lambda a: F.array_contains("set", a) & (F.col("op") != DELETE)
     # a mention is kept as a struct, so that a cleared attribute differs from one not mentioned
     cells = [F.max_by(F.when(mentioned(a), F.struct(pos.alias("p"), F.col(f"`{a}`").alias("v"))), F.when(mentioned(a), pos)).alias(f"_c{i}") for i, a in enumerate(attributes)]
-    last = log.groupBy(id_col).agg(F.max_by("op", pos).alias("_last"), F.max(F.when(F.col("op") != PATCH, pos)).alias("_reset"), *cells).where(F.col("_last") != DELETE)
+    last = log.groupBy(id_col).agg(F.max_by("op", pos).alias("_last"), F.max(F.when(F.col("op") != PATCH, pos)).alias("_reset"), *cells)
+    gone = F.col("_last") == DELETE
     live = lambda c: F.when(F.col("_reset").isNull() | (F.col(f"{c}.p") >= F.col("_reset")), F.col(f"{c}.v"))
-    return last.select(id_col, *(live(f"_c{i}").alias(a) for i, a in enumerate(attributes)))
+    return (last if dead else last.where(~gone)).select(id_col, *(live(f"_c{i}").alias(a) for i, a in enumerate(attributes)), *([gone.alias("deleted")] if dead else []))
 
 
 def newest(rows: DataFrame, id_col: str, order: str) -> DataFrame:
@@ -37,10 +39,11 @@ def newest(rows: DataFrame, id_col: str, order: str) -> DataFrame:
     return best.where("NOT deleted").drop("deleted") if "deleted" in rows.columns else best
 
 
-def overlay(base: DataFrame, ops: DataFrame, attributes: list[str], id_col: str = "id") -> DataFrame:
-    """``base`` with later operations laid over: a base row counts as the first upsert of its id."""
+def overlay(base: DataFrame, ops: DataFrame, attributes: list[str], id_col: str = "id", parts: int | None = None, dead: bool = False) -> DataFrame:
+    """``base`` with later operations laid over: a base row counts as the first upsert of its id.  ``parts`` is the number of tasks that fold."""
     first = base.select(F.lit(-1).cast("long").alias("seq"), F.lit(0).alias("op_idx"), F.col(id_col), F.lit(UPSERT).alias("op"), *attributes, F.array(*map(F.lit, attributes)).alias("set"))
-    return fold(first.unionByName(ops.select("seq", F.col("op_idx").cast("int"), id_col, "op", *attributes, "set")), attributes, id_col)
+    log = first.unionByName(ops.select("seq", F.col("op_idx").cast("int"), id_col, "op", *attributes, "set"))
+    return fold(log.repartition(parts, id_col) if parts else log, attributes, id_col, dead)
 
 
 def conditional(state: DataFrame, ops: DataFrame, condition: Filter | list[Filter | None], id_col: str = "id") -> DataFrame:

@@ -34,6 +34,8 @@ from orrery.sources.storage import Storage
 
 MAX_COLUMNS, MAX_VECTORS, MAX_DIMENSIONS, MAX_NAME, MAX_UNINDEXED = 1024, 2, 10_752, 128, 2 << 30
 PATCH_ROWS, DELETE_ROWS, TIER_RUNS, COMPACT_RUNS, COMPACT_APPENDS = 50_000, 5_000_000, 4, 8, 4
+#: Rows and bytes of Parquet that one task folds by id, so that its memory stays the same whatever the collection's size.
+PART_ROWS, PART_BYTES = 1 << 18, 16 << 20
 _NAME = re.compile(r"[A-Za-z0-9\-_.]{1,128}")
 
 
@@ -302,7 +304,9 @@ class Collection:
         n, wrong, odd, print_, up, patched, deleted, *sizes = there.agg(F.count(F.lit(1)), F.count_if(unsound), F.count_if(infinite), mark, *counts, *sizes).first()
 
         def admit(held: str | None) -> dict:
-            if wrong or not there.groupBy("id", "op_idx").count().where("count > 1").isEmpty():
+            bytes_ = self.store.size(name)
+            own = there.select("id", "op_idx").repartition(self._parts([{"rows": n, "bytes": bytes_}]), "id")
+            if wrong or not own.groupBy("id", "op_idx").count().where("count > 1").isEmpty():
                 raise InvalidWrite("an unknown operation, no id, or an id that occurs twice without an order")
             for c, least, most in zip(dims, sizes[::2], sizes[1::2]):
                 if most is not None:
@@ -311,7 +315,6 @@ class Collection:
                         raise InvalidSchema(f"{c}: a vector of the column's dimensions is needed")
             if odd:
                 raise InvalidSchema("a float that isn't finite")
-            bytes_ = self.store.size(name)
             if self.unindexed_bytes(snap) + bytes_ > MAX_UNINDEXED and not (bulk and not patched):
                 raise Backpressure("too much isn't indexed yet")
             outcome = {"seq": seq, "affected": n, "upserted": up, "patched": patched, "deleted": deleted, **(more or {})}
@@ -422,13 +425,21 @@ class Collection:
         whole = T.StructType([kind["id"], T.StructField("deleted", T.BooleanType()), T.StructField("run", T.LongType()), *(f for f in kind if f.name in names)])
         return self.spark.read.schema(whole).parquet(*(r["path"] for r in runs)) if runs else self.spark.createDataFrame([], whole)
 
+    @staticmethod
+    def _parts(some: list[dict]) -> int:
+        """The tasks that fold these runs or batches by id."""
+        return 1 + max(sum(x["rows"] for x in some) // PART_ROWS, sum(x["bytes"] for x in some) // PART_BYTES)
+
+    def _late(self, snap: Snapshot) -> list[dict]:
+        return [self._record(s) for s in range(snap.manifest["indexed"] + 1, snap.commit + 1)]
+
     def base(self, snap: Snapshot | None = None) -> DataFrame:
         """The newest version of each row in the snapshot's runs; deletions stand in the newer runs."""
         snap = snap or self.snapshot()
         names, _ = self._columns(snap)
         runs = snap.manifest["docs"]
         rows = self._runs(snap, runs)
-        return (mutations.newest(rows, "id", "run").drop("run") if len(runs) > 1 else rows.where("NOT deleted").drop("deleted", "run")).select("id", *(f"`{c}`" for c in names))
+        return (mutations.newest(rows.repartition(self._parts(runs), "id"), "id", "run").drop("run") if len(runs) > 1 else rows.where("NOT deleted").drop("deleted", "run")).select("id", *(f"`{c}`" for c in names))
 
     def df(self, snap: Snapshot | None = None) -> DataFrame:
         """Every document as of the last batch."""
@@ -436,7 +447,7 @@ class Collection:
         names, _ = self._columns(snap)
         if snap.commit == snap.manifest["indexed"]:
             return self.base(snap)
-        return mutations.overlay(self.base(snap), self.overlay(snap), names)
+        return mutations.overlay(self.base(snap), self.overlay(snap), names, parts=self._parts([*snap.manifest["docs"], *self._late(snap)]))
 
     def get(self, *ids: Any) -> DataFrame:
         kind = self._state()["ids"] or id_kinds.BIGINT
@@ -482,7 +493,7 @@ class Collection:
         """One row: cursors, runs, rows and bytes (each version of a row counts), schema, vectors, and which indexes there are."""
         snap = self.snapshot()
         m, state = snap.manifest, self._state(snap)
-        late = [self._record(s) for s in range(m["indexed"] + 1, snap.commit + 1)]
+        late = self._late(snap)
         row = (self.name, m["generation"], m["indexed"], snap.commit, snap.commit - m["indexed"], len(m["docs"]), sum(r["rows"] for r in m["docs"]) + sum(r["rows"] for r in late), sum(r["bytes"] for r in m["docs"]) + sum(r["bytes"] for r in late))
         row += (self.unindexed_bytes(snap), state["ids"], state["version"], _dump(state["schema"]).decode(), _dump(state["vectors"]).decode(), sorted(m["indexes"]["text"]), sorted(m["indexes"]["vector"]))
         return self.spark.createDataFrame([row], "name string, generation long, indexed long, committed long, lag long, runs int, approx_rows long, approx_bytes long, unindexed_bytes long, ids string, schema_version long, schema string, vectors string, text_indexes array<string>, vector_indexes array<string>")
@@ -538,16 +549,18 @@ class Collection:
         return out
 
     def flush(self) -> int:
-        """The overlay becomes a run of whole documents and deletions, and the indexes follow."""
+        """The overlay becomes a run of whole documents and deletions, and the indexes follow.  One aggregate by id makes both."""
         snap, before = self.snapshot(), self.store.get("CURRENT")
         m = snap.manifest
         if snap.commit == m["indexed"]:
             return m["generation"]
         state, generation = self._state(snap), m["generation"] + 1
-        touched = self.overlay(snap).select("id").distinct()
-        now = self.df(snap).join(touched, "id", "left_semi").withColumn("deleted", F.lit(False))
-        gone = touched.join(now, "id", "left_anti").withColumn("deleted", F.lit(True))
-        run = self._write_run(now.unionByName(gone, allowMissingColumns=True), generation, 0)
+        late, (names, _) = self._late(snap), self._columns(snap)
+        base, touched, parts = self.base(snap), self.overlay(snap).select("id"), self._parts([*m["docs"], *late])
+        if m["docs"]:
+            few = self._parts(late) == 1
+            base = (base if few else base.repartition(parts, "id")).join(F.broadcast(touched) if few else touched.repartition(parts, "id"), "id", "left_semi")
+        run = self._write_run(mutations.overlay(base, self.overlay(snap), names, parts=parts if m["docs"] else self._parts(late), dead=True), generation, 0)
         m = m | {"generation": generation, "indexed": snap.commit, "indexed_bytes": state["total"], "schema": state["schema"], "version": state["version"], "vectors": state["vectors"], "ids": state["ids"], "docs": [*m["docs"], run]}
         new = Snapshot(m, snap.commit)
         self._publish(m | {"indexes": {"text": self._text_indexes(new, generation), "vector": self._vector_indexes(new, generation, run)}}, before)
@@ -575,7 +588,7 @@ class Collection:
             generation = m["generation"] + 1
             rows = self._runs(snap, own)
             packed = F.struct(*(f"`{c}`" for c in rows.columns if c != "id"))
-            best = rows.groupBy("id").agg(F.max_by(packed, "run").alias("r")).select("id", "r.*").drop("run")
+            best = rows.repartition(self._parts(own), "id").groupBy("id").agg(F.max_by(packed, "run").alias("r")).select("id", "r.*").drop("run")
             run = self._write_run(best, max(r["run"] for r in own), level + 1)
             self._publish(m | {"generation": generation, "docs": sorted([r for r in m["docs"] if r not in own] + [run], key=lambda r: r["run"])}, before)
             return generation
