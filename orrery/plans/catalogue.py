@@ -162,7 +162,7 @@ def thread_index(s: SparkSession, d: str) -> TextIndex:
     return once(s, ("threads", d), lambda: TextIndex.build(threads(s, d), "conv_id", "texts", work_path(s, "threads-")))
 
 
-define("tokenize", f"SELECT doc_id, len({_TOK.format('text')})::INT AS n_tokens, md5(list_aggregate({_TOK.format('text')}, 'string_agg', ' ')) AS digest FROM documents", lambda s, d: table(s, d, "documents").select("doc_id", F.size(text.tokens(F.col("text"))).alias("n_tokens"), F.md5(F.array_join(text.tokens(F.col("text")), " ")).alias("digest")))
+define("tokenize", f"SELECT doc_id, len({_TOK.format('text')})::INT AS n_tokens, md5(list_aggregate({_TOK.format('text')}, 'string_agg', ' ')) AS digest FROM documents", lambda s, d: table(s, d, "documents").select("doc_id", F.size(text.tokens(F.col("text"))).alias("n_tokens"), F.md5(F.nullif(F.array_join(text.tokens(F.col("text")), " "), F.lit(""))).alias("digest")))
 define("tokenize_array", f"SELECT conv_id, len(flatten(list_transform(texts, lambda x: {_TOK.format('x')})))::INT AS n_tokens FROM ({_CONV})", lambda s, d: (lambda t: t.select("conv_id", F.size(text.column_tokens(t, "texts")).alias("n_tokens")))(threads(s, d)))
 define("text_tf", _TF, lambda s, d: text.term_frequencies(table(s, d, "documents"), "doc_id", "text"))
 define("text_term_df", f"SELECT term, count(*) AS df, sum(tf)::BIGINT AS n FROM ({_TF}) GROUP BY term", lambda s, d: text.term_frequencies(table(s, d, "documents"), "doc_id", "text").groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("n")))

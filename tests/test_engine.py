@@ -540,3 +540,17 @@ def test_folding_takes_as_many_tasks_as_rows_ask_for(spark, tmp_path, monkeypatc
     assert now() == want and c.manifest()["docs"][2]["rows"] == 200
     c.compact()
     assert now() == want and files() == 25  # of 1,205 versions
+
+
+def test_tokenize_of_no_tokens(spark, tmp_path):
+    """A text without a token has no digest, as in the SQL; nor has no text."""
+    import duckdb
+
+    from orrery.plans import catalogue
+
+    texts = ["One two", "", "!! --", "x" * 40, None, "é" * 20 + " é"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    own = sorted(map(tuple, catalogue.QUERIES["tokenize"](spark, str(tmp_path)).collect()))
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert own == sorted(db.execute(catalogue.SQL["tokenize"]).fetchall()) and [d for _, n, d in own if not n] == [None] * 4
