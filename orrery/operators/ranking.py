@@ -54,7 +54,7 @@ def bm25(df: DataFrame, id_col: str, column: str, query: str, params: Bm25 = Bm2
     if index is not None:
         hits = index.search(query, params.k1, params.b, params.k3, k if keep is None else None).withColumnRenamed("id", id_col)
         return hits if keep is None else hits.join(df.where(compile_filter(keep, df.schema)).select(id_col), id_col, "left_semi")
-    terms = sorted(Counter(text.tokenize_query(df.sparkSession, query)).items())
+    terms = list(Counter(text.tokenize_query(df.sparkSession, query)).items())  # added in the query's order, as an index adds them
     if not terms:
         return df.select(id_col, F.lit(0.0).alias("score")).where(F.lit(False))
     kept = compile_filter(keep, df.schema) if keep is not None else F.lit(True)

@@ -132,9 +132,13 @@ class TextIndex:
             return none
         of = F.element_at(F.create_map(*(F.lit(x) for t, w in weights.items() for x in (t, w))), F.col("term"))
 
+        place = F.element_at(F.create_map(*(F.lit(x) for i, t in enumerate(weights) for x in (t, i))), F.col("term"))
+
         def scored(some: DataFrame) -> DataFrame:
             each = some.select("term", F.inline(F.arrays_zip(F.col("ids").alias("id"), F.col("tfs").alias("tf"), F.col("lens").alias("len"))))
-            return each.groupBy("id").agg(F.sum(of * part(F.col("tf"), F.col("len"))).alias("score"))
+            # a sum's last bits depend on its order: that of the query, for copies of a document to tie and the scan to give the same
+            parts = F.array_sort(F.collect_list(F.struct(place.alias("at"), (of * part(F.col("tf"), F.col("len"))).alias("x"))))
+            return each.groupBy("id").agg(parts.alias("_p")).select("id", F.aggregate("_p", F.lit(0.0), lambda total, p: total + p["x"]).alias("score"))
 
         total = sum(r.blocks for r in stats.values())
         self.notes = {"read": total, "skipped": 0, "scored": sum(r.df for r in stats.values())}

@@ -554,3 +554,20 @@ def test_tokenize_of_no_tokens(spark, tmp_path):
     db = duckdb.connect()
     db.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
     assert own == sorted(db.execute(catalogue.SQL["tokenize"]).fetchall()) and [d for _, n, d in own if not n] == [None] * 4
+
+
+def test_scores_add_in_the_querys_order(spark, tmp_path):
+    """To the last bit, with an index and without: copies of a document tie, and the lesser id comes first."""
+    rng = random.Random(5)
+    once = [" ".join(rng.choice("abcdefg") for _ in range(rng.randint(3, 40))) for _ in range(60)]
+    df = spark.createDataFrame(list(enumerate(once * 3)), "id bigint, t string").repartition(7)
+    index = TextIndex.build(df, "id", "t", str(tmp_path / "i"))
+    for own in (None, index):
+        score = lambda q: {r.id: r.score for r in ranking.bm25(df, "id", "t", q, index=own).collect()}  # noqa: E731, B023
+        parts = [score(t) for t in "fbda"]
+        found = score("f b d a")
+        for i, x in found.items():
+            total = 0.0
+            for p in parts:
+                total += p.get(i, 0.0)
+            assert x == total == found[i % 60]
