@@ -22,7 +22,8 @@ from pyspark.sql import types as T
 
 from orrery.functions import text
 
-BLOCK, BUCKETS = 256, 32
+#: Tokens that are counted at once, whatever a batch holds of them.
+BLOCK, BUCKETS, SLICE = 256, 32, 1 << 17
 
 
 def _bucket(term: Column) -> Column:
@@ -32,14 +33,17 @@ def _bucket(term: Column) -> Column:
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From ids and token lists a row for each document and term; ``first`` marks one row of each document."""
     for batch in batches:
-        lists = batch.column(1)
-        sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-        coded = lists.flatten().dictionary_encode()
-        n = max(len(coded.dictionary), 1)
-        found, tf = np.unique(np.repeat(np.arange(len(sizes)), sizes) * n + coded.indices.to_numpy(zero_copy_only=False), return_counts=True)
-        row = found // n
-        cols = [batch.column(0).take(pa.array(row)), coded.dictionary.take(pa.array(found % n)), pa.array(tf.astype(np.int32)), pa.array(sizes[row].astype(np.int32)), pa.array(np.diff(row, prepend=-1) != 0)]
-        yield pa.RecordBatch.from_arrays(cols, names=["id", "term", "tf", "len", "first"])
+        every = pc.fill_null(pc.list_value_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        # whole documents, cut where another SLICE of tokens begins
+        cuts = np.flatnonzero(np.diff((np.cumsum(every) - every) // SLICE)) + 1
+        for start, stop in zip([0, *cuts], [*cuts, len(every)]):
+            part, sizes = batch.slice(start, stop - start), every[start:stop]
+            coded = part.column(1).flatten().dictionary_encode()
+            n = max(len(coded.dictionary), 1)
+            found, tf = np.unique(np.repeat(np.arange(len(sizes)), sizes) * n + coded.indices.to_numpy(zero_copy_only=False), return_counts=True)
+            row = found // n
+            cols = [part.column(0).take(pa.array(row)), coded.dictionary.take(pa.array(found % n)), pa.array(tf.astype(np.int32)), pa.array(sizes[row].astype(np.int32)), pa.array(np.diff(row, prepend=-1) != 0)]
+            yield pa.RecordBatch.from_arrays(cols, names=["id", "term", "tf", "len", "first"])
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -518,30 +518,6 @@ def test_collection_by_filter_has_no_limit(spark, tmp_path, monkeypatch):
     assert sorted((r.id, r.name) for r in rows) == [(i, "open" if i % 2 else "F") for i in range(0, 30, 3)]
 
 
-def test_folding_takes_as_many_tasks_as_rows_ask_for(spark, tmp_path, monkeypatch):
-    """More tasks than the session's four, unflushed, in a flush, over several runs and in a compaction; and the same rows."""
-    monkeypatch.setattr(collections_, "PART_ROWS", 50, raising=False)
-    c = Collection.create(spark, str(tmp_path), "docs")
-    files = lambda: len([n for n in c.store.list(c.manifest()["docs"][-1]["path"].removeprefix(c.store.path() + "/")) if n.startswith("part-")])
-    c.append_frame(spark.range(1000).select("id", F.lit("upsert").alias("op"), (F.col("id") % 4).alias("n"), F.lit("x").alias("s")))
-    assert c.df().rdd.getNumPartitions() == 21
-    c.flush()
-    assert files() == 21
-    c.append([{"id": 3, "op": "delete"}, {"id": 4, "op": "patch", "attributes": {"n": 9}}, {"id": 5, "op": "delete"}, {"id": 5, "op": "patch", "attributes": {"n": 7}}, {"id": 2000, "op": "patch", "attributes": {"s": "y"}}, {"id": 3000, "op": "delete"}])
-    want = {i: (i % 4, "x") for i in range(1000)} | {4: (9, "x"), 5: (7, None), 2000: (None, "y")}
-    del want[3]
-    now = lambda: {r.id: (r.n, r.s) for r in c.df().collect()}
-    assert now() == want and c.df().rdd.getNumPartitions() == 21
-    c.flush()
-    assert now() == want and c.df().rdd.getNumPartitions() == 21 and c.manifest()["docs"][1]["rows"] == 5
-    c.append_frame(spark.range(0, 400, 2).select("id", F.lit("patch").alias("op"), F.lit(1).cast("long").alias("n")))
-    want |= {i: (1, "x") for i in range(0, 400, 2)}
-    c.flush()
-    assert now() == want and c.manifest()["docs"][2]["rows"] == 200
-    c.compact()
-    assert now() == want and files() == 25  # of 1,205 versions
-
-
 def test_tokenize_of_no_tokens(spark, tmp_path):
     """A text without a token has no digest, as in the SQL; nor has no text."""
     import duckdb
@@ -571,3 +547,42 @@ def test_scores_add_in_the_querys_order(spark, tmp_path):
             for p in parts:
                 total += p.get(i, 0.0)
             assert x == total == found[i % 60]
+
+
+def test_counting_takes_few_tokens_at_once(monkeypatch):
+    import pyarrow as pa
+
+    from orrery.operators import textindex
+
+    rng = random.Random(6)
+    docs = [[rng.choice("abcd") for _ in range(rng.choice((0, 1, 30, 900)))] for _ in range(300)] + [None]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(301)), pa.array(docs, pa.list_(pa.string()))], names=["id", "_t"])
+    monkeypatch.setattr(textindex, "SLICE", 1000, raising=False)
+    out = list(textindex._count(iter([batch])))
+    rows = [(r["id"], r["term"], r["tf"], r["len"]) for b in out for r in b.to_pylist()]
+    assert sorted(rows) == sorted((i, t, n, len(d)) for i, d in enumerate(docs) if d for t, n in Counter(d).items())
+    assert max(sum(b.column("tf").to_pylist()) for b in out) < 1000 + 900 and sum(sum(b.column("first").to_pylist()) for b in out) == sum(map(bool, docs))
+
+
+def test_folding_takes_as_many_tasks_as_rows_ask_for(spark, tmp_path, monkeypatch):
+    """More tasks than the session's four, unflushed, in a flush, over several runs and in a compaction; and the same rows."""
+    monkeypatch.setattr(collections_, "PART_ROWS", 50, raising=False)
+    c = Collection.create(spark, str(tmp_path), "docs")
+    files = lambda: len([n for n in c.store.list(c.manifest()["docs"][-1]["path"].removeprefix(c.store.path() + "/")) if n.startswith("part-")])
+    c.append_frame(spark.range(1000).select("id", F.lit("upsert").alias("op"), (F.col("id") % 4).alias("n"), F.lit("x").alias("s")))
+    assert c.df().rdd.getNumPartitions() == 21
+    c.flush()
+    assert files() == 21
+    c.append([{"id": 3, "op": "delete"}, {"id": 4, "op": "patch", "attributes": {"n": 9}}, {"id": 5, "op": "delete"}, {"id": 5, "op": "patch", "attributes": {"n": 7}}, {"id": 2000, "op": "patch", "attributes": {"s": "y"}}, {"id": 3000, "op": "delete"}])
+    want = {i: (i % 4, "x") for i in range(1000)} | {4: (9, "x"), 5: (7, None), 2000: (None, "y")}
+    del want[3]
+    now = lambda: {r.id: (r.n, r.s) for r in c.df().collect()}
+    assert now() == want and c.df().rdd.getNumPartitions() == 21
+    c.flush()
+    assert now() == want and c.df().rdd.getNumPartitions() == 21 and c.manifest()["docs"][1]["rows"] == 5
+    c.append_frame(spark.range(0, 400, 2).select("id", F.lit("patch").alias("op"), F.lit(1).cast("long").alias("n")))
+    want |= {i: (1, "x") for i in range(0, 400, 2)}
+    c.flush()
+    assert now() == want and c.manifest()["docs"][2]["rows"] == 200
+    c.compact()
+    assert now() == want and files() == 25  # of 1,205 versions
